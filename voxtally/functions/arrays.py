@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -59,3 +59,15 @@ def tally(items: Column) -> Column:
     empty = F.array().cast("array<struct<item:string,n:int,first:int>>")
     return let(F.sort_array(placed),
                lambda arr: F.when(F.size(arr) > 0, count(arr)).otherwise(empty))
+
+
+def explode_rows(df: DataFrame, keys: list[str], array: Column, item: str,
+                 pos: str | None = None) -> DataFrame:
+    """One row per element: keys, the position if named, the element.
+
+    A plain ``explode`` makes the optimizer add a ``size(array) > 0`` filter
+    below it, which evaluates a computed array twice; the outer form does not.
+    """
+    if pos is None:
+        return df.select(*keys, F.explode_outer(array).alias(item)).filter(F.col(item).isNotNull())
+    return df.select(*keys, F.posexplode_outer(array).alias(pos, item)).filter(F.col(pos).isNotNull())

@@ -46,14 +46,32 @@ def drop_words(tokens: Column, words: Sequence[str]) -> Column:
     return F.filter(tokens, lambda x: ~x.isin(words)) if words else tokens
 
 
+def lookup(word: Column, mapping: dict) -> Column:
+    """Value of ``word`` in a dictionary of literals, NULL when absent.
+
+    A map column is searched entry by entry, so words are tested against hash
+    sets instead: one for all keys, then one per distinct value while those are
+    few. Most words are in none and cost one probe.
+    """
+    keys = list(mapping)
+    by_value: dict = {}
+    for key, value in mapping.items():
+        by_value.setdefault(value, []).append(key)
+    if len(by_value) <= 100:
+        found = F.lit(None)
+        for value, members in by_value.items():
+            found = F.when(word.isin(members), F.lit(value)).otherwise(found)
+    else:
+        found = F.try_element_at(
+            F.create_map(*[F.lit(v) for pair in mapping.items() for v in pair]), word)
+    return F.when(word.isin(keys), found)
+
+
 def replace_words(tokens: Column, mapping: dict[str, str]) -> Column:
     """Map each token through a small dictionary; unknown tokens stay."""
     if not mapping:
         return tokens
-    keys = list(mapping)
-    table = F.create_map(*[F.lit(v) for pair in mapping.items() for v in pair])
-    return F.transform(tokens, lambda x: F.when(
-        x.isin(keys), F.try_element_at(table, x)).otherwise(x))
+    return F.transform(tokens, lambda x: F.coalesce(lookup(x, mapping), x))
 
 
 def clean_text(c: Column, stop: Sequence[str] = (), lemmas: dict[str, str] | None = None) -> Column:

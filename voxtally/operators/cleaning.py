@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import explode_rows
 from ..functions.text import as_text, clean_text, clean_tokens, drop_words, word_count
 from ..session import INLINE_LIMIT, bounded_rows
 from .reshape import quoted, text_columns
@@ -20,22 +21,24 @@ def lemma_dict(lemmas: DataFrame | None) -> dict[str, str] | None:
     return None if rows is None else {r["word"]: r["lemma"] for r in rows}
 
 
-def lemmatise_joined(df: DataFrame, tokens: str, lemmas: DataFrame, key: str,
-                     out: str) -> DataFrame:
-    """Lemmatise a token array through a table of any size.
+def with_entries(df: DataFrame, tokens: Column, table: DataFrame, key: str, out: str) -> DataFrame:
+    """Add ``out``: a map of the row's tokens found in a ``(word, value)`` table of any size.
 
-    Tokens are joined by word and collected again per row in their old order.
-    Rows are hashed by ``key`` first, so that collecting and joining back need
-    no second shuffle of the wider side.
+    Only distinct tokens that are in the table are shuffled by key; the rows
+    themselves are shuffled once, to join the maps back.
     """
-    base = df.repartition(F.col(key))
-    flat = base.select(key, F.posexplode(tokens).alias("_pos", "word"))
-    mapped = flat.join(lemmas.select("word", "lemma"), "word", "left").select(
-        key, F.struct("_pos", F.coalesce("lemma", "word").alias("w")).alias("_t"))
-    back = mapped.groupBy(key).agg(F.array_sort(F.collect_list("_t")).alias("_ts"))
-    return base.join(back, key, "left").withColumn(
-        out, F.coalesce(F.transform("_ts", lambda t: t["w"]), F.array().cast("array<string>"))
-    ).drop("_ts")
+    words = explode_rows(df, [key], F.array_distinct(tokens), "word")
+    found = words.join(table.select("word", "value"), "word").groupBy(key).agg(
+        F.map_from_entries(F.collect_list(F.struct("word", "value"))).alias(out))
+    return df.join(found, key, "left")
+
+
+def lemmatise_joined(df: DataFrame, tokens: Column, lemmas: DataFrame, key: str,
+                     out: str) -> DataFrame:
+    """Lemmatise a token array through a table of any size."""
+    table = lemmas.select("word", F.col("lemma").alias("value"))
+    return with_entries(df, tokens, table, key, "_lemma").withColumn(out, F.transform(
+        tokens, lambda t: F.coalesce(F.try_element_at("_lemma", t), t))).drop("_lemma")
 
 
 def preprocess(df: DataFrame, stop: Sequence[str], lemmas: dict[str, str] | DataFrame | None = None,
@@ -64,9 +67,9 @@ def _preprocess_joined(df: DataFrame, stop: Sequence[str], lemmas: DataFrame,
                        key: str) -> DataFrame:
     out = _keep_raw(df)
     for name in ("question_text", "response_text"):
-        out = out.withColumn("_tokens", drop_words(clean_tokens(F.col(name)), stop))
-        out = lemmatise_joined(out, "_tokens", lemmas, key, "_lemmas").withColumn(
-            name, F.array_join("_lemmas", " ")).drop("_tokens", "_lemmas")
+        tokens = drop_words(clean_tokens(F.col(name)), stop)
+        out = lemmatise_joined(out, tokens, lemmas, key, "_lemmas").withColumn(
+            name, F.array_join("_lemmas", " ")).drop("_lemmas")
     return out.withColumn("word_count", word_count(F.col("response_text")))
 
 

@@ -8,24 +8,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import phrases as P
+from ..functions.arrays import explode_rows
 from ..functions.wordlists import GENERIC_WORDS
+from ..session import stage
 from .matching import Keywords, with_matches
 
 
 def rake_candidates(df: DataFrame, text: str, key: str, stop: Sequence[str]) -> DataFrame:
     """``(key, pos, phrase)``: candidate phrases in text order."""
-    return df.select(key, F.posexplode(P.candidate_phrases(F.col(text), stop)).alias("pos", "phrase"))
+    return explode_rows(df, [key], P.candidate_phrases(F.col(text), stop), "phrase", "pos")
 
 
 def rake_scores(df: DataFrame, text: str, key: str, stop: Sequence[str]) -> DataFrame:
     """``(key, phrase, score)`` per distinct phrase of a text."""
-    return df.select(key, F.explode(P.ranked_phrases(F.col(text), stop)).alias("p")).select(
+    return explode_rows(df, [key], P.ranked_phrases(F.col(text), stop), "p").select(
         key, "p.phrase", "p.score")
 
 
 def bag_rows(df: DataFrame, bag: str, *keys: str) -> DataFrame:
     """One row per bag entry: keys, rank (from 0), keyword, count."""
-    return df.select(*keys, F.posexplode(bag).alias("rank", "_e")).select(
+    return explode_rows(df, list(keys), F.col(bag), "_e", "rank").select(
         *keys, "rank", F.col("_e.keyword").alias("keyword"), F.col("_e.count").alias("count"))
 
 
@@ -55,10 +57,11 @@ def keep_similar(df: DataFrame, bag: str, similar: Callable[[DataFrame], DataFra
                  key: str) -> DataFrame:
     """Reduce each bag to the keywords that ``similar`` keeps.
 
-    Each distinct keyword is judged once; the survivors are joined back to the
-    bag entries and collected per row in rank order.
+    The bags are written once, since three steps read them. Each distinct
+    keyword is judged once; the survivors are joined back to the bag entries and
+    collected per row in rank order.
     """
-    base = df.repartition(F.col(key))
+    base = stage(df)
     entries = bag_rows(base, bag, key)
     kept = similar(entries.select("keyword").distinct()).select("keyword")
     packed = entries.join(kept, "keyword").groupBy(key).agg(F.array_sort(F.collect_list(

@@ -12,9 +12,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import RUN, matching_keywords, normalise_keywords, replace_words, run_ngrams
+from ..functions.arrays import explode_rows
+from ..functions.text import (RUN, SPACE, WORD, matching_keywords, normalise_keywords,
+                              replace_words, run_ngrams, strip)
 from ..session import INLINE_LIMIT, bounded_rows, stage
 
+ANCHOR_RUNS = 7
+
 Keywords = Sequence[str] | DataFrame   # a list, or a table (pos, keyword)
 
 
@@ -46,23 +50,49 @@ def _keyword_table(df: DataFrame, keywords: Keywords) -> DataFrame:
     return df.sparkSession.createDataFrame(list(enumerate(keywords)), "pos long, keyword string")
 
 
+def _pattern(span: str) -> Column:
+    """Whole-word regular expression of a keyword column."""
+    word, other = rf"[{WORD}]", rf"[^{WORD}]"
+    body = F.regexp_replace(span, rf"([^{WORD}{SPACE}])", r"\\$1")
+    return F.concat(
+        F.when(F.col(span).rlike(f"^{word}"), f"(^|{other})").otherwise(word), body,
+        F.when(F.col(span).rlike(f"{word}$"), f"($|{other})").otherwise(word))
+
+
 def matches_joined(df: DataFrame, keywords: DataFrame, text: str, key: str) -> DataFrame:
-    """``(key, pos, keyword, spelling)`` per match, by a join with the keyword table."""
-    norm = F.trim(F.lower("keyword"))
-    runs = F.regexp_extract_all(F.col("span"), F.lit(RUN), F.lit(0))
-    word = r"^[\p{L}\p{N}_]"
-    table = stage(keywords.select("pos", "keyword", norm.alias("span")).filter("span <> ''")
-                  .groupBy("span").agg(F.min("pos").alias("pos"),
-                                       F.min_by("keyword", "pos").alias("spelling"))
-                  .select("span", "pos", "spelling", F.size(runs).alias("n"),
-                          (~F.col("span").rlike(word)).alias("need_lead"),
-                          (~F.reverse("span").rlike(word)).alias("need_trail")))
-    # distinct keyword lengths in runs: a handful
-    sizes = [r["n"] for r in table.select("n").distinct().orderBy("n").collect()]
-    grams = df.select(key, F.explode(run_ngrams(F.col(text), sizes)).alias("g")).select(key, "g.*")
-    return (grams.join(table, "span")
-            .filter((~F.col("need_lead") | F.col("lead")) & (~F.col("need_trail") | F.col("trail")))
-            .select(key, "pos", F.col("span").alias("keyword"), "spelling").distinct())
+    """``(key, pos, keyword, spelling)`` per match, by a join with the keyword table.
+
+    A keyword is joined on its first ANCHOR_RUNS runs (four words), which is all
+    of nearly every keyword; a longer one is then verified on the few texts that
+    hold its anchor.
+    """
+    runs = F.regexp_extract_all(F.col("keyword"), F.lit(RUN), F.lit(0))
+    word = rf"^[{WORD}]"
+    named = keywords.select("pos", F.col("keyword").alias("spelling"),
+                            strip(F.lower("keyword")).alias("keyword")).filter("keyword <> ''")
+    table = stage(named.groupBy("keyword").agg(F.min("pos").alias("pos"),
+                                               F.min_by("spelling", "pos").alias("spelling"))
+                  .withColumns({
+                      "long": F.size(runs) > ANCHOR_RUNS,
+                      "size": F.least(F.size(runs), F.lit(ANCHOR_RUNS)),
+                      "span": F.array_join(F.slice(runs, 1, ANCHOR_RUNS), ""),
+                      "need_lead": ~F.col("keyword").rlike(word),
+                      "need_trail": ~F.reverse("keyword").rlike(word)}))
+    # sizes present: at most ANCHOR_RUNS rows
+    found = table.groupBy("size").agg(F.bool_or("long").alias("long")).orderBy("size").collect()
+    grams = explode_rows(df, [key], run_ngrams(F.col(text), [r["size"] for r in found]), "g")
+    hits = (grams.select(key, "g.*").join(table, "span")
+            .filter((~F.col("need_lead") | F.col("lead"))
+                    & (~F.col("need_trail") | F.col("trail") | F.col("long")))
+            .select(key, "pos", "keyword", "spelling", "long").distinct())
+    if not any(r["long"] for r in found):
+        return hits.drop("long")
+    hits = stage(hits)
+    low = F.lower(text)
+    verified = df.select(key, text).join(hits.filter("long"), key).filter(
+        F.contains(low, F.col("keyword")) & F.rlike(low, _pattern("keyword")))
+    columns = (key, "pos", "keyword", "spelling")
+    return hits.filter("not long").select(*columns).unionByName(verified.select(*columns))
 
 
 def matches(df: DataFrame, keywords: Keywords, text: str, key: str,
@@ -73,7 +103,7 @@ def matches(df: DataFrame, keywords: Keywords, text: str, key: str,
     if listed is None:
         found = matches_joined(df, _keyword_table(df, keywords), text, key)
         return found.select(key, F.col("spelling" if spelled else "keyword").alias("keyword"))
-    return df.select(key, F.explode(_inline_matches(text, listed, spelled)).alias("keyword"))
+    return explode_rows(df, [key], _inline_matches(text, listed, spelled), "keyword")
 
 
 def with_matches(df: DataFrame, keywords: Keywords, text: str, out: str,
@@ -82,12 +112,11 @@ def with_matches(df: DataFrame, keywords: Keywords, text: str, out: str,
     listed = inline_keywords(keywords)
     if listed is not None:
         return df.withColumn(out, _inline_matches(text, listed, spelled))
-    base = df.repartition(F.col(key))
-    found = matches_joined(base, _keyword_table(df, keywords), text, key)
+    found = matches_joined(df, _keyword_table(df, keywords), text, key)
     name = F.col("spelling" if spelled else "keyword")
     packed = found.groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct("pos", name.alias("name")))).alias("_m"))
-    return base.join(packed, key, "left").withColumn(out, F.coalesce(
+    return df.join(packed, key, "left").withColumn(out, F.coalesce(
         F.transform("_m", lambda m: m["name"]), F.array().cast("array<string>"))).drop("_m")
 
 

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import wordlists as L
 from ..functions.arrays import let
-from ..functions.text import as_text, space_tokens
+from ..functions.text import as_text, lookup, space_tokens
+from ..session import bounded_rows
+from .cleaning import with_entries
 
 
 def label_of(score: Column) -> Column:
@@ -61,126 +63,139 @@ def _emphasis(text: Column) -> Column:
     return bangs * 0.292 + F.when(marks <= 1, 0.0).when(marks <= 3, marks * 0.18).otherwise(0.96)
 
 
-def _scored_hits(docs: DataFrame, key: str, lexicon: DataFrame, boosters: Sequence[str],
-                 dampeners: Sequence[str], negations: Sequence[str],
-                 idioms: dict[str, float]) -> DataFrame:
-    """One row per lexicon hit with its valence after the look-back rules."""
-    in_context = let(F.col("_w"), lambda ws: F.transform(ws, lambda w, i: F.struct(
-        w.alias("w"), F.get(ws, i - 1).alias("w1"), F.get(ws, i - 2).alias("w2"),
-        F.get(ws, i - 3).alias("w3"), F.get(ws, i + 1).alias("n1"),
-        F.get(ws, i + 2).alias("n2"))))
-    words = docs.select(key, "_cap", "_but", F.posexplode(in_context).alias("pos", "_c"))
-    hits = words.select(key, "_cap", "_but", "pos", "_c.*")
-    hits = hits.withColumns({f"l{c}": F.lower(c) for c in ("w", "w1", "w2", "w3", "n1", "n2")})
+def _valence(x: Column, boosters: Sequence[str], dampeners: Sequence[str],
+             negations: Sequence[str], idioms: dict[str, float]) -> Column:
+    """Valence of one lexicon word after the look-back rules.
 
-    # words that only scale others carry no valence of their own
-    degree = [b for b in [*boosters, *dampeners] if " " not in b]
-    hits = hits.filter(~F.col("lw").isin(degree)
-                       & ~((F.col("lw") == "kind") & F.col("ln1").eqNullSafe("of")))
-    terms = lexicon.select(F.col("term").alias("lw"), F.col("valence").alias("lex"))
-    hits = hits.join(terms, "lw")
-    for c in ("lw1", "lw2", "lw3", "ln1"):
-        known = lexicon.select(F.col("term").alias(c), F.lit(True).alias(f"in_{c}"))
-        hits = hits.join(known, c, "left").withColumn(
-            f"in_{c}", F.coalesce(f"in_{c}", F.lit(False)))
-
-    def is_(c: str, *values: str) -> Column:
-        return F.coalesce(F.col(c).isin(list(values)), F.lit(False))
-
-    def negated(c: str) -> Column:
-        return F.coalesce(F.col(c).isin(list(negations)) | F.contains(F.col(c), F.lit("n't")),
-                          F.lit(False))
-
-    base = F.when(is_("lw", "no") & F.col("in_ln1"), 0.0).otherwise(F.col("lex"))
-    after_no = (is_("lw1", "no") | is_("lw2", "no") | (is_("lw3", "no") & is_("lw1", "or", "nor")))
-    base = F.when(after_no, F.col("lex") * L.NEGATION_SCALE).otherwise(base)
-    hits = hits.withColumn("v", base)
-    loud = F.when(_is_upper(F.col("w")) & F.col("_cap"), L.CAPS_BOOST).otherwise(0.0)
-    hits = hits.withColumn("v", F.col("v") + F.when(F.col("v") > 0, loud).otherwise(-loud))
-
-    scale = [1.0, 0.95, 0.9]
-    for back in range(3):
-        prev, raw = f"lw{back + 1}", f"w{back + 1}"
-        seen = F.col(prev).isNotNull() & ~F.col(f"in_{prev}")
-        push = F.when(F.col(prev).isin(list(boosters)), L.BOOST).when(
-            F.col(prev).isin(list(dampeners)), L.DAMPEN).otherwise(0.0)
-        sign = F.when(F.col("v") < 0, -1.0).otherwise(1.0)
-        caps = F.when((push != 0) & _is_upper(F.col(raw)) & F.col("_cap"),
-                      F.when(F.col("v") > 0, L.CAPS_BOOST).otherwise(-L.CAPS_BOOST)).otherwise(0.0)
-        hits = hits.withColumn("_s", seen).withColumn(
-            "v", F.when(F.col("_s"), F.col("v") + (push * sign + caps) * scale[back])
-            .otherwise(F.col("v")))
-        flip = F.when(negated(prev), L.NEGATION_SCALE).otherwise(1.0)
-        if back == 0:
-            factor = flip
-        elif back == 1:
-            factor = F.when(is_("lw2", "never") & is_("lw1", "so", "this"), 1.25).when(
-                is_("lw2", "without") & is_("lw1", "doubt"), 1.0).otherwise(flip)
-        else:
-            factor = F.when(is_("lw3", "never") & (is_("lw2", "so", "this") | is_("lw1", "so", "this")),
-                            1.25).when(is_("lw3", "without") & (is_("lw2", "doubt") | is_("lw1", "doubt")),
-                                       1.0).otherwise(flip)
-        hits = hits.withColumn("v", F.when(F.col("_s"), F.col("v") * factor).otherwise(F.col("v")))
-
-    def gram(*cols: str) -> Column:
-        return F.concat_ws(" ", *[F.col(c) for c in cols])
-
-    # set phrases replace the valence; two-word degree adverbs before it add to it
-    value = F.col("v")
-    if idioms:
-        table = F.create_map(*[F.lit(x) for pair in idioms.items() for x in pair])
-        grams = [gram("lw1", "lw"), gram("lw2", "lw1", "lw"), gram("lw2", "lw1"),
-                 gram("lw3", "lw2", "lw1"), gram("lw3", "lw2")]
-        value = F.coalesce(*[F.try_element_at(table, g) for g in grams], value)
-        value = F.coalesce(F.try_element_at(table, gram("lw", "ln1")), value)
-        value = F.coalesce(F.try_element_at(table, gram("lw", "ln1", "ln2")), value)
-    for g in (gram("lw3", "lw2", "lw1"), gram("lw3", "lw2"), gram("lw2", "lw1")):
-        value = value + F.when(g.isin(list(boosters)), L.BOOST).when(
-            g.isin(list(dampeners)), L.DAMPEN).otherwise(0.0)
-    hits = hits.withColumn("v", F.when(F.col("_s"), value).otherwise(F.col("v")))
-    least = is_("lw1", "least") & ~F.col("in_lw1") & ~is_("lw2", "at", "very")
-    return hits.select(key, "pos", "_but", (F.col("v") * F.when(least, L.NEGATION_SCALE)
-                                            .otherwise(1.0)).alias("v"))
-
-
-def compound_scores(df: DataFrame, lexicon: DataFrame, text: str, key: str,
-                    boosters: Sequence[str] = L.BOOSTERS, dampeners: Sequence[str] = L.DAMPENERS,
-                    negations: Sequence[str] = L.NEGATIONS,
-                    idioms: dict[str, float] | None = None) -> DataFrame:
-    """``(key, sentiment_score)`` in [-1, 1] by lexicon valences and rules.
-
-    Every token is looked at in its context of three words before and two
-    after, taken from the row itself, and only tokens found in the lexicon go
-    on; the lexicon ``(term, valence)`` is a table of any size and is broadcast
-    only if the optimizer finds it small.
+    ``x`` is the word's context: ``w0..w3`` the word and the three before it, ``l0..l3``
+    the same in lower case, ``n1, n2`` the next two, ``k1..k3, kn`` whether those
+    are in the lexicon, ``lex`` the word's own valence, ``cap`` whether only part
+    of the text is in capitals.
+    """
+    def is_(field: str, *values: str) -> Column:
+        return F.coalesce(x[field].isin(list(values)), F.lit(False))
+
+    def flip(field: str) -> Column:
+        negated = x[field].isin(list(negations)) | F.contains(x[field], F.lit("n't"))
+        return F.when(negated, L.NEGATION_SCALE).otherwise(1.0)
+
+    def push(word: Column) -> Column:
+        return F.when(word.isin(list(boosters)), L.BOOST).when(
+            word.isin(list(dampeners)), L.DAMPEN).otherwise(0.0)
+
+    def signed(v: Column, amount: Column) -> Column:
+        return F.when(v > 0, amount).otherwise(-amount)
+
+    def look_back(v: Column, back: int, scale: float, factor: Column) -> Column:
+        degree = push(x[f"l{back}"])
+        loud = F.when((degree != 0) & _is_upper(x[f"w{back}"]) & x["cap"],
+                      signed(v, F.lit(L.CAPS_BOOST))).otherwise(0.0)
+        moved = v + (degree * F.when(v < 0, -1.0).otherwise(1.0) + loud) * scale
+        seen = x[f"l{back}"].isNotNull() & ~x[f"k{back}"]
+        return F.when(seen, moved * factor).otherwise(v)
+
+    def grams(*fields: str) -> Column:
+        return F.concat_ws(" ", *[x[f] for f in fields])
+
+    def set_phrases(v: Column) -> Column:
+        """Idioms replace the valence; two-word degree adverbs before it add to it."""
+        looked_up = [grams("l0", "n1", "n2"), grams("l0", "n1"), grams("l1", "l0"),
+                     grams("l2", "l1", "l0"), grams("l2", "l1"), grams("l3", "l2", "l1"),
+                     grams("l3", "l2")] if idioms else []
+        value = F.coalesce(*[lookup(g, idioms) for g in looked_up], v)
+        for g in (grams("l3", "l2", "l1"), grams("l3", "l2"), grams("l2", "l1")):
+            value = value + push(g)
+        return F.when(x["l3"].isNotNull() & ~x["k3"], value).otherwise(v)
+
+    two = F.when(is_("l2", "never") & is_("l1", "so", "this"), 1.25).when(
+        is_("l2", "without") & is_("l1", "doubt"), 1.0).otherwise(flip("l2"))
+    three = F.when(is_("l3", "never") & (is_("l2", "so", "this") | is_("l1", "so", "this")), 1.25).when(
+        is_("l3", "without") & (is_("l2", "doubt") | is_("l1", "doubt")), 1.0).otherwise(flip("l3"))
+    after_no = is_("l1", "no") | is_("l2", "no") | (is_("l3", "no") & is_("l1", "or", "nor"))
+    own = F.when(after_no, x["lex"] * L.NEGATION_SCALE).when(
+        is_("l0", "no") & x["kn"], 0.0).otherwise(x["lex"])
+    capitals = F.when(_is_upper(x["w0"]) & x["cap"], L.CAPS_BOOST).otherwise(0.0)
+    least = is_("l1", "least") & ~x["k1"] & ~is_("l2", "at", "very")
+
+    v = let(own, lambda v: v + signed(v, capitals))
+    v = let(v, lambda v: look_back(v, 1, 1.0, flip("l1")))
+    v = let(v, lambda v: look_back(v, 2, 0.95, two))
+    v = let(v, lambda v: look_back(v, 3, 0.9, three))
+    v = let(v, set_phrases)
+    return F.when(least, v * L.NEGATION_SCALE).otherwise(v)
+
+
+def compound_score(text: Column, valence: Callable[[Column], Column],
+                   boosters: Sequence[str] = L.BOOSTERS, dampeners: Sequence[str] = L.DAMPENERS,
+                   negations: Sequence[str] = L.NEGATIONS,
+                   idioms: dict[str, float] | None = None) -> Column:
+    """Score in [-1, 1], 4 digits; ``valence`` gives a lower-cased word's valence or NULL.
+
+    All inside the row: each word is looked up once, and only the hits go
+    through the rules.
     """
     idioms = L.IDIOMS if idioms is None else idioms
-    raw = F.col(text)
-    docs = df.select(key, _emphasis(as_text(raw)).alias("_emph"), lexicon_tokens(raw).alias("_w"))
-    upper = F.size(F.filter("_w", _is_upper))
-    docs = docs.withColumns({
-        "_cap": (upper > 0) & (upper < F.size("_w")),
-        "_but": F.array_position(F.transform("_w", F.lower), "but"),
-    })
-    hits = _scored_hits(docs, key, lexicon, boosters, dampeners, negations, idioms)
-    at = F.col("pos") + 1
-    contrast = F.when(F.col("_but") == 0, 1.0).when(at < F.col("_but"), 0.5).when(
-        at > F.col("_but"), 1.5).otherwise(1.0)
-    return hits.groupBy(key).agg(F.sum(F.round(F.col("v") * contrast, 9)).alias("_sum"))
+    degree = [b for b in [*boosters, *dampeners] if " " not in b]
+
+    def score(s: Column) -> Column:
+        words, low, vals = s["words"], s["low"], s["vals"]
+        upper = F.size(F.filter(words, _is_upper))
+        but = F.array_position(low, "but")
+
+        def counts(i: Column) -> Column:
+            here = F.get(low, i - 1)
+            return (F.get(vals, i - 1).isNotNull() & ~here.isin(degree)
+                    & ~((here == "kind") & F.get(low, i).eqNullSafe("of")))
+
+        def hit(i: Column, doc: Column) -> Column:
+            context = F.struct(
+                *[F.get(words, i - 1 - b).alias(f"w{b}") for b in range(4)],
+                *[F.get(low, i - 1 - b).alias(f"l{b}") for b in range(4)],
+                *[F.get(low, i - 1 + b).alias(f"n{b}") for b in (1, 2)],
+                *[F.get(vals, i - 1 - b).isNotNull().alias(f"k{b}") for b in (1, 2, 3)],
+                F.get(vals, i).isNotNull().alias("kn"), F.get(vals, i - 1).alias("lex"),
+                doc["cap"].alias("cap"))
+            contrast = F.when(doc["but"] == 0, 1.0).when(i < doc["but"], 0.5).when(
+                i > doc["but"], 1.5).otherwise(1.0)
+            v = let(context, lambda x: _valence(x, boosters, dampeners, negations, idioms))
+            return F.round(v * contrast, 9)
+
+        def total(hits: Column) -> Column:
+            doc = F.struct(((upper > 0) & (upper < F.size(words))).alias("cap"), but.alias("but"))
+            return F.when(F.size(hits) > 0, let(doc, lambda d: F.aggregate(
+                hits, F.lit(0.0), lambda acc, i: acc + hit(i, d)))).otherwise(0.0)
+
+        hits = F.when(F.size(words) > 0, F.filter(F.sequence(F.lit(1), F.size(words)), counts)
+                      ).otherwise(F.array().cast("array<int>"))
+        return let(hits, total)
+
+    prepared = let(lexicon_tokens(text), lambda ws: let(
+        F.transform(ws, F.lower),
+        lambda low: F.struct(ws.alias("words"), low.alias("low"),
+                             F.transform(low, valence).alias("vals"))))
+    emphasis = _emphasis(as_text(text))
+    lifted = let(let(prepared, score), lambda t: F.when(t > 0, t + emphasis).when(
+        t < 0, t - emphasis).otherwise(t))
+    scaled = let(lifted, lambda t: t / F.sqrt(t * t + L.NORMALISER))
+    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.round(scaled, 4)))
 
 
 def add_lexicon_sentiment(df: DataFrame, lexicon: DataFrame, text: str = "response_text_original",
                           key: str = "response_id", **rules) -> DataFrame:
-    """Add the rule-based compound score (4 digits) and label.
+    """Add the rule-based compound score and label from a ``(term, valence)`` table.
 
-    Rows are hashed by key once; summing hits and joining back reuse that.
+    A lexicon of up to ``INLINE_LIMIT`` terms is inlined and nothing is
+    shuffled; a larger one is joined to the distinct words of each text.
     """
-    base = df.repartition(F.col(key))
-    sums = compound_scores(base, lexicon, text, key, **rules)
-    total = F.coalesce(F.col("_sum"), F.lit(0.0))
-    emph = _emphasis(as_text(F.col(text)))
-    lifted = F.when(total > 0, total + emph).when(total < 0, total - emph).otherwise(total)
-    score = F.round(lifted / F.sqrt(lifted * lifted + L.NORMALISER), 4)
-    return base.join(sums, key, "left").withColumn(
-        "sentiment_score", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), score))).withColumn(
-        "sentiment_label", label_of(F.col("sentiment_score"))).drop("_sum")
+    rows = bounded_rows(lexicon.select("term", "valence"))
+    if rows is not None:
+        known = {r["term"]: float(r["valence"]) for r in rows}
+        score = compound_score(F.col(text), lambda w: lookup(w, known).cast("double"), **rules)
+        df = df.withColumn("sentiment_score", score)
+    else:
+        table = lexicon.select(F.col("term").alias("word"), F.col("valence").cast("double").alias("value"))
+        words = F.transform(lexicon_tokens(F.col(text)), F.lower)
+        joined = with_entries(df, words, table, key, "_lex")
+        score = compound_score(F.col(text), lambda w: F.try_element_at("_lex", w), **rules)
+        df = joined.withColumn("sentiment_score", score).drop("_lex")
+    return df.withColumn("sentiment_label", label_of(F.col("sentiment_score")))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.arrays import let, tally
+from ..functions.arrays import explode_rows, let, tally
 from ..functions.text import WORD, as_text, is_blank
 from ..functions.wordlists import GENERIC_WORDS
 from ..session import stage
@@ -35,8 +35,9 @@ def terms(text: Column, stop: Sequence[str]) -> Column:
 def term_counts(df: DataFrame, text: str, key: str, stop: Sequence[str]) -> DataFrame:
     """``(key, term, tf)``. Counted inside the row, so nothing is shuffled."""
     counted = tally(terms(F.col(text), stop))
-    return df.filter(F.col(text).isNotNull() & ~is_blank(F.col(text))).select(
-        key, F.explode(counted).alias("t")).select(key, "t.item", "t.n").toDF(key, "term", "tf")
+    valid = df.filter(F.col(text).isNotNull() & ~is_blank(F.col(text)))
+    return explode_rows(valid, [key], counted, "t").select(
+        key, F.col("t.item").alias("term"), F.col("t.n").alias("tf"))
 
 
 def document_terms(counts: DataFrame, n: int, min_docs: int = MIN_DOCS,

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import explode_rows
 from ..functions.text import as_text, space_tokens
 from ..functions.wordlists import SIMILARITY_THRESHOLD
 
@@ -59,7 +60,7 @@ def mean_vectors(df: DataFrame, text: str, key: str, word_vectors: DataFrame, di
     Words without a vector are skipped; a text without any gives NULL, or a
     zero vector for batch use.
     """
-    words = df.select(key, F.explode(space_tokens(F.lower(as_text(F.col(text))))).alias("word"))
+    words = explode_rows(df, [key], space_tokens(F.lower(as_text(F.col(text)))), "word")
     means = mean_by(words.join(word_vectors.select("word", "vec"), "word"), key, "vec", dim, "_mean")
     vec = normalise(F.col("_mean"))
     if missing_as_zero:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import phrases as P
 from ..functions import text as X
 from ..functions import wordlists as L
+from ..functions.arrays import explode_rows
 from ..operators import (cleaning, ids, keyphrases, matching, quality, reports, reshape, sentiment,
                          summary, topics, vectors)
 from ..session import shared_dir, spread, stage
@@ -176,8 +177,8 @@ def clean_text(spark, folder):
 
 @query
 def tokenize(spark, folder):
-    return responses(spark, folder).select(
-        "response_id", F.posexplode(X.clean_tokens(F.col("response_text"))).alias("pos", "token"))
+    return explode_rows(responses(spark, folder), ["response_id"],
+                        X.clean_tokens(F.col("response_text")), "token", "pos")
 
 
 @query
@@ -235,8 +236,7 @@ def sentiment_wordset_custom(spark, folder):
 
 def lexicon_scored(spark, folder):
     lexicon = spark.createDataFrame(list(LEXICON), "term string, valence double")
-    return sentiment.add_lexicon_sentiment(responses(spark, folder), F.broadcast(lexicon),
-                                           "response_text", **RULES)
+    return sentiment.add_lexicon_sentiment(responses(spark, folder), lexicon, "response_text", **RULES)
 
 
 @query
@@ -369,7 +369,7 @@ def centroids(spark, folder):
 @query
 def vector_normalize(spark, folder):
     emb = table(spark, folder, "embeddings").withColumn("u", vectors.normalise(F.col("embedding")))
-    return emb.select("vec_id", F.posexplode("u").alias("dim", "x")).withColumn("x", F.round("x", 6))
+    return explode_rows(emb, ["vec_id"], F.col("u"), "x", "dim").withColumn("x", F.round("x", 6))
 
 
 @query
@@ -605,6 +605,8 @@ def keyword_min_frequency(spark, folder):
 @query
 def filter_by_topic(spark, folder):
     df = topics.with_topics(with_bags(spark, folder), PROVIDED_TOPICS, "response_text_original")
+    # filters on computed columns would be pushed down and evaluate them twice
+    df = stage(df.select("response_id", "sheet_name", "question_text_original", "keywords", "topics"))
     return reports.filter_responses(df, topic="Thing", keyword="the", question_contains="E").select(
         "response_id", "sheet_name", F.array_join("topics", ", ").alias("topics"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 # Rows a parameter list (vocabulary, topics, word lists) may have to be inlined
 # as literals. Longer lists stay tables and are joined.
-INLINE_LIMIT = 5_000
+INLINE_LIMIT = 10_000
 
 
 def build_session(app: str = "voxtally", master: str | None = None,
@@ -76,11 +76,6 @@ def bounded_rows(df: DataFrame, limit: int = INLINE_LIMIT) -> list | None:
     return rows if len(rows) <= limit else None
 
 
-def literal_table(spark: SparkSession, columns: str, rows: list[tuple]) -> DataFrame:
-    """A small table from rows already held by the caller."""
-    return spark.createDataFrame(rows, columns)
-
-
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash the rows of an input with fewer files than cores over all cores.
 
