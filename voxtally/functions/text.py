@@ -162,26 +162,31 @@ def matching_keywords(text: Column, keywords: Sequence[str]) -> Column:
     return let(text_runs(text), lambda runs: F.when(F.size(runs) > 0, search(runs)).otherwise(empty))
 
 
-def run_ngrams(text: Column, sizes: Sequence[int]) -> Column:
+def run_ngrams(text: Column, sizes: Sequence[int], heads: Sequence[str] | None = None) -> Column:
     """Distinct ``struct<span, lead, trail>`` of run n-grams of the given sizes.
 
     ``lead`` / ``trail`` tell whether a word character stands before / after,
-    which a keyword with a non-word edge requires.
+    which a keyword with a non-word edge requires. With ``heads`` only n-grams
+    that begin with one of those runs are made.
     """
     empty = F.array().cast("array<struct<span:string,lead:boolean,trail:boolean>>")
 
     def spans(runs: Column) -> Column:
-        def of_size(size: int) -> Column:
-            return F.when(F.size(runs) >= size, F.transform(
-                F.sequence(F.lit(1), F.size(runs) - (size - 1)),
-                lambda i: F.struct(
-                    F.array_join(F.slice(runs, i, size), "").alias("span"),
-                    (i > 1).alias("lead"),
-                    (i + (size - 1) < F.size(runs)).alias("trail")))).otherwise(empty)
+        every = F.sequence(F.lit(1), F.size(runs))
+        starts = every if heads is None else F.filter(
+            every, lambda i: F.get(runs, i - 1).isin(list(heads)))
 
-        return distinct_sorted(F.flatten(F.array(*[of_size(size) for size in sizes])))
+        def of_size(begin: Column, size: int) -> Column:
+            fitting = F.filter(begin, lambda i: i + (size - 1) <= F.size(runs))
+            return F.transform(fitting, lambda i: F.struct(
+                (F.array_join(F.slice(runs, i, size), "") if size > 1 else F.get(runs, i - 1))
+                .alias("span"),
+                (i > 1).alias("lead"), (i + (size - 1) < F.size(runs)).alias("trail")))
 
-    return let(text_runs(text), spans)
+        return let(starts, lambda begin: distinct_sorted(
+            F.flatten(F.array(*[of_size(begin, size) for size in sizes]))))
+
+    return let(text_runs(text), lambda runs: F.when(F.size(runs) > 0, spans(runs)).otherwise(empty))
 
 
 def whole_word_regex(keyword: str) -> str:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ..session import stage
+from ..session import bounded_rows, small_table, stage
 
 _ROW_BITS = 33   # monotonically_increasing_id keeps the row number in its low bits
 
@@ -49,11 +51,19 @@ def response_ids(df: DataFrame, *order: Column | str, out: str = "response_id")
 def first_seen_ids(df: DataFrame, value: str, row_id: str, out: str) -> DataFrame:
     """Add the rank of each distinct value by its earliest row.
 
-    The distinct values are found with map-side partial aggregation, numbered,
-    and joined back as a staged table: the optimizer broadcasts it by its real
-    size, or sort-merges with AQE splitting a hot value.
+    The distinct values are found with map-side partial aggregation. A few are
+    ranked here and broadcast; many are numbered by a range sort and joined back
+    as a staged table, which the optimizer broadcasts by its real size or
+    sort-merges with AQE splitting a hot value.
     """
     firsts = df.groupBy(value).agg(F.min(row_id).alias("__first"))
-    ranked = dense_index(firsts, "__first", out="_rank").select(
-        value, F.col("_rank").cast("int").alias(out))
+    few = bounded_rows(firsts)
+    if few is not None:
+        seen = [r[value] for r in sorted(few, key=lambda r: r["__first"])]
+        kind = to_arrow_type(df.schema[value].dataType)
+        ranks = small_table(df.sparkSession, list(zip(seen, range(1, len(seen) + 1))),
+                            **{value: kind, out: pa.int32()})
+        return df.join(F.broadcast(ranks), value, "left")   # at most INLINE_LIMIT rows
+    ranked = dense_index(firsts, "__first", out="__rank").select(
+        value, F.col("__rank").cast("int").alias(out))
     return df.join(stage(ranked), value, "left")

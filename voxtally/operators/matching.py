@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import explode_rows
 from ..functions.text import (RUN, SPACE, WORD, matching_keywords, normalise_keywords,
                               replace_words, run_ngrams, strip)
-from ..session import INLINE_LIMIT, bounded_rows, stage
+from ..session import INLINE_LIMIT, bounded_rows, small_table, stage
 
 ANCHOR_RUNS = 7
 
@@ -47,7 +48,7 @@ def _inline_matches(text: str, listed: dict[str, str], spelled: bool) -> Column:
 def _keyword_table(df: DataFrame, keywords: Keywords) -> DataFrame:
     if isinstance(keywords, DataFrame):
         return keywords
-    return df.sparkSession.createDataFrame(list(enumerate(keywords)), "pos long, keyword string")
+    return small_table(df.sparkSession, list(enumerate(keywords)), pos=pa.int64(), keyword=pa.string())
 
 
 def _pattern(span: str) -> Column:
@@ -80,7 +81,11 @@ def matches_joined(df: DataFrame, keywords: DataFrame, text: str, key: str) -> D
                       "need_trail": ~F.reverse("keyword").rlike(word)}))
     # sizes present: at most ANCHOR_RUNS rows
     found = table.groupBy("size").agg(F.bool_or("long").alias("long")).orderBy("size").collect()
-    grams = explode_rows(df, [key], run_ngrams(F.col(text), [r["size"] for r in found]), "g")
+    heads = bounded_rows(table.select(F.get(F.regexp_extract_all(
+        F.col("span"), F.lit(RUN), F.lit(0)), F.lit(0)).alias("head")).distinct())
+    grams = explode_rows(df, [key], run_ngrams(
+        F.col(text), [r["size"] for r in found],
+        None if heads is None else [r["head"] for r in heads]), "g")
     hits = (grams.select(key, "g.*").join(table, "span")
             .filter((~F.col("need_lead") | F.col("lead"))
                     & (~F.col("need_trail") | F.col("trail") | F.col("long")))

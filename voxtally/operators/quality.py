@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import SPACE, is_blank
+from ..session import small_table
 from .reshape import quoted
 
 REQUIRED = ("survey_id", "question_id", "question_text", "response_id", "response_text",
@@ -113,6 +115,6 @@ def validate(df: DataFrame) -> Validation:
     converted = df
     if timed and passed:
         converted = df.withColumn("Timestamp", F.to_timestamp("Timestamp"))
-    report = df.sparkSession.createDataFrame(
-        findings, "check string, column string, severity string, n long")
+    report = small_table(df.sparkSession, findings, check=pa.string(), column=pa.string(),
+                         severity=pa.string(), n=pa.int64())
     return Validation(passed, report, converted)

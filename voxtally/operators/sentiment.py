@@ -180,16 +180,19 @@ def compound_score(text: Column, valence: Callable[[Column], Column],
     return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.round(scaled, 4)))
 
 
-def add_lexicon_sentiment(df: DataFrame, lexicon: DataFrame, text: str = "response_text_original",
+def add_lexicon_sentiment(df: DataFrame, lexicon: DataFrame | dict[str, float], text: str = "response_text_original",
                           key: str = "response_id", **rules) -> DataFrame:
-    """Add the rule-based compound score and label from a ``(term, valence)`` table.
+    """Add the rule-based compound score and label from a ``(term, valence)`` table
+    or a dictionary.
 
     A lexicon of up to ``INLINE_LIMIT`` terms is inlined and nothing is
     shuffled; a larger one is joined to the distinct words of each text.
     """
-    rows = bounded_rows(lexicon.select("term", "valence"))
-    if rows is not None:
-        known = {r["term"]: float(r["valence"]) for r in rows}
+    known = lexicon
+    if isinstance(lexicon, DataFrame):
+        rows = bounded_rows(lexicon.select("term", "valence"))
+        known = None if rows is None else {r["term"]: float(r["valence"]) for r in rows}
+    if known is not None:
         score = compound_score(F.col(text), lambda w: lookup(w, known).cast("double"), **rules)
         df = df.withColumn("sentiment_score", score)
     else:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.arrays import explode_rows, let, tally
+from ..functions.arrays import explode_rows, let
 from ..functions.text import WORD, as_text, is_blank
 from ..functions.wordlists import GENERIC_WORDS
 from ..session import stage
@@ -32,34 +32,37 @@ def terms(text: Column, stop: Sequence[str]) -> Column:
         lambda a, b: F.concat(a, F.lit(" "), b)))).otherwise(ts))
 
 
-def term_counts(df: DataFrame, text: str, key: str, stop: Sequence[str]) -> DataFrame:
-    """``(key, term, tf)``. Counted inside the row, so nothing is shuffled."""
-    counted = tally(terms(F.col(text), stop))
-    valid = df.filter(F.col(text).isNotNull() & ~is_blank(F.col(text)))
-    return explode_rows(valid, [key], counted, "t").select(
-        key, F.col("t.item").alias("term"), F.col("t.n").alias("tf"))
+def usable(df: DataFrame, text: str) -> DataFrame:
+    """Rows with a non-blank text."""
+    return df.filter(F.col(text).isNotNull() & ~is_blank(F.col(text)))
 
 
-def document_terms(counts: DataFrame, n: int, min_docs: int = MIN_DOCS,
-                   max_share: float = MAX_DOC_SHARE) -> DataFrame:
-    """``(term, df, idf)`` of the terms in enough but not too many documents.
+def document_terms(df: DataFrame, n: int, text: str, key: str, stop: Sequence[str],
+                   min_docs: int = MIN_DOCS, max_share: float = MAX_DOC_SHARE) -> DataFrame:
+    """``(term, df, idf)`` of the terms in enough but not too many of the n documents.
 
-    Written once: it is used to prune, to weight and as a join side of known size.
+    Each document sends a term once, combined map-side. Written once: it is used
+    to prune, to weight and as a join side of known size.
     """
-    per_term = counts.groupBy("term").agg(F.count("*").alias("df"))
+    per_term = explode_rows(df, [key], F.array_distinct(terms(F.col(text), stop)), "term").groupBy(
+        "term").agg(F.count("*").alias("df"))
     idf = F.log((1.0 + F.lit(n)) / (1.0 + F.col("df"))) + 1.0
     return stage(per_term.filter((F.col("df") >= min_docs) & (F.col("df") <= max_share * n))
                  .select("term", "df", idf.alias("idf")))
 
 
-def weights(counts: DataFrame, vocabulary: DataFrame, key: str) -> DataFrame:
+def weights(df: DataFrame, vocabulary: DataFrame, text: str, key: str,
+            stop: Sequence[str]) -> DataFrame:
     """``(key, term, tf, weight)``: tf * idf scaled to length 1 per document.
 
-    The vocabulary is broadcast while small; otherwise the sort-merge join
-    splits frequent terms (AQE). One exchange by document follows.
+    Terms outside the vocabulary go first: it is broadcast while small, otherwise
+    the sort-merge join splits frequent terms (AQE). One exchange by document
+    then serves both the counts and the norm.
     """
-    raw = counts.join(vocabulary.select("term", "idf"), "term").withColumn(
-        "_w", F.col("tf") * F.col("idf"))
+    kept = explode_rows(df, [key], terms(F.col(text), stop), "term").join(
+        vocabulary.select("term", "idf"), "term").repartition(F.col(key))
+    counted = kept.groupBy(key, "term", "idf").agg(F.count("*").cast("int").alias("tf"))
+    raw = counted.withColumn("_w", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(W.partitionBy(key)))
     return raw.select(key, "term", "tf", (F.col("_w") / norm).alias("weight"))
 
@@ -67,9 +70,9 @@ def weights(counts: DataFrame, vocabulary: DataFrame, key: str) -> DataFrame:
 def tfidf(df: DataFrame, text: str, key: str, stop: Sequence[str], min_docs: int = MIN_DOCS,
           max_share: float = MAX_DOC_SHARE) -> DataFrame:
     """TF-IDF weights of all documents as a long table."""
-    counts = term_counts(df, text, key, stop)
-    n = df.filter(F.col(text).isNotNull() & ~is_blank(F.col(text))).count()
-    return weights(counts, document_terms(counts, n, min_docs, max_share), key)
+    valid = usable(df, text)
+    vocabulary = document_terms(valid, valid.count(), text, key, stop, min_docs, max_share)
+    return weights(valid, vocabulary, text, key, stop)
 
 
 def inferred_topics(df: DataFrame, text: str, key: str, stop: Sequence[str], num_topics: int = 5,
@@ -83,16 +86,15 @@ def inferred_topics(df: DataFrame, text: str, key: str, stop: Sequence[str], num
     as many again until enough pass, so the result is the same as testing all.
     """
     wanted = num_topics * TERMS_PER_TOPIC
-    valid = df.filter(F.col(text).isNotNull() & ~is_blank(F.col(text)))
+    valid = usable(df, text)
     n = valid.count()
     if n < 2 or max_share * n < min_docs:
         return []
-    counts = term_counts(valid, text, key, stop)
-    vocabulary = document_terms(counts, n, min_docs, max_share)
+    vocabulary = document_terms(valid, n, text, key, stop, min_docs, max_share)
     limit = max_text_share * n
     blocked = [w for w in {*stop, *excluded} if len(w) >= MIN_TERM_CHARS]
     scored = stage(
-        weights(counts, vocabulary, key).groupBy("term")
+        weights(valid, vocabulary, text, key, stop).groupBy("term")
         .agg(F.round(F.sum("weight"), 6).alias("score"))
         .filter((F.length("term") >= MIN_TERM_CHARS) & ~F.col("term").isin(blocked)
                 & ~F.replace("term", F.lit(" "), F.lit("")).rlike(r"^\p{Nd}+$"))

@@ -17,9 +17,11 @@ from pyspark.sql import functions as F
 from ..functions.arrays import explode_rows
 from ..functions.text import as_text, space_tokens
 from ..functions.wordlists import SIMILARITY_THRESHOLD
+from ..session import bounded_rows, stage
 
-# Vocabulary cells (rows x dimensions) that are broadcast as one matrix: 64 MB.
+# Size up to which a vocabulary is broadcast as one matrix: 64 MB.
 MATRIX_CELLS = 8_000_000
+MATRIX_ROWS = 20_000
 BLOCK_ROWS = 2_000     # vocabulary rows per block beyond that
 SHARD_ROWS = 20_000    # vectors per group beyond that
 
@@ -85,23 +87,22 @@ def best_match(df: DataFrame, key: str, vec: str, vocabulary: DataFrame) -> Data
     one product, with no shuffle. A larger one is cut into blocks. Vectors that
     are NULL give similarity 0 and an empty keyword.
     """
-    size = vocabulary.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("dim")).first()
     schema = f"{key} {dict(df.dtypes)[key]}, similarity double, keyword string"
-    absent = df.filter(F.col(vec).isNull())
-    nothing = df.select(key).select(key, F.lit(0.0).alias("similarity"), F.lit("").alias("keyword"))
-    if size["n"] == 0:
-        return nothing
+    absent = df.filter(F.col(vec).isNull()).select(
+        key, F.lit(0.0).alias("similarity"), F.lit("").alias("keyword"))
     present = df.filter(F.col(vec).isNotNull()).select(key, F.col(vec).alias("vec"))
-    if size["n"] * size["dim"] <= MATRIX_CELLS:
-        found = _best_broadcast(present, key, vocabulary, schema)
+    rows = bounded_rows(vocabulary.select("pos", "keyword", "vec"), MATRIX_ROWS)
+    if rows is None or len(rows) * len(rows[0]["vec"] if rows else ()) > MATRIX_CELLS:
+        found = _best_blocked(present, key, stage(vocabulary.select("pos", "keyword", "vec")))
+    elif rows:
+        found = _best_broadcast(present, key, rows, schema)
     else:
-        found = _best_blocked(present, key, vocabulary, size["n"])
-    return found.unionByName(absent.select(
-        key, F.lit(0.0).alias("similarity"), F.lit("").alias("keyword")))
+        found = present.select(key, F.lit(0.0).alias("similarity"), F.lit("").alias("keyword"))
+    return found.unionByName(absent)
 
 
-def _best_broadcast(df: DataFrame, key: str, vocabulary: DataFrame, schema: str) -> DataFrame:
-    rows = vocabulary.select("keyword", "vec").orderBy("pos").collect()   # size checked by caller
+def _best_broadcast(df: DataFrame, key: str, rows: list, schema: str) -> DataFrame:
+    rows = sorted(rows, key=lambda r: r["pos"])
     matrix = _unit(np.array([r["vec"] for r in rows], dtype=np.float64))
     shared = df.sparkSession.sparkContext.broadcast((matrix, [r["keyword"] for r in rows]))
 
@@ -120,14 +121,14 @@ def _best_broadcast(df: DataFrame, key: str, vocabulary: DataFrame, schema: str)
     return df.mapInArrow(score, schema)
 
 
-def _best_blocked(df: DataFrame, key: str, vocabulary: DataFrame, n_vocab: int) -> DataFrame:
+def _best_blocked(df: DataFrame, key: str, vocabulary: DataFrame) -> DataFrame:
     """Blocks of vocabulary meet shards of vectors; each pair fits in memory.
 
     Every (shard, block) pair is one co-group of bounded size and gives the best
     entry of that block; the best over blocks is an aggregate with map-side
     combine.
     """
-    blocks = -(-n_vocab // BLOCK_ROWS)
+    blocks = -(-vocabulary.count() // BLOCK_ROWS)
     shards = max(1, -(-df.count() // SHARD_ROWS))
     block_ids, shard_ids = F.sequence(F.lit(0), F.lit(blocks - 1)), F.sequence(F.lit(0), F.lit(shards - 1))
     left = df.withColumn("_shard", F.pmod(F.xxhash64(key), F.lit(shards)).cast("int")).withColumn(

@@ -10,6 +10,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ from ..functions import wordlists as L
 from ..functions.arrays import explode_rows
 from ..operators import (cleaning, ids, keyphrases, matching, quality, reports, reshape, sentiment,
                          summary, topics, vectors)
-from ..session import shared_dir, spread, stage
+from ..session import shared_dir, small_table, spread, stage
 from ..sources import csv_folder, vocabulary
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -235,8 +236,8 @@ def sentiment_wordset_custom(spark, folder):
 
 
 def lexicon_scored(spark, folder):
-    lexicon = spark.createDataFrame(list(LEXICON), "term string, valence double")
-    return sentiment.add_lexicon_sentiment(responses(spark, folder), lexicon, "response_text", **RULES)
+    return sentiment.add_lexicon_sentiment(responses(spark, folder), dict(LEXICON), "response_text",
+                                           **RULES)
 
 
 @query
@@ -414,6 +415,10 @@ def universe(spark, folder):
     return topics.topic_universe(PROVIDED_TOPICS, inferred(spark, folder))
 
 
+def topic_table(spark, rows):
+    return small_table(spark, list(rows), pos=pa.int64(), topic=pa.string())
+
+
 @query
 def tfidf_weights(spark, folder):
     out = topics.tfidf(responses(spark, folder), "response_text", "response_id", stop(spark))
@@ -422,13 +427,12 @@ def tfidf_weights(spark, folder):
 
 @query
 def topic_terms(spark, folder):
-    names = list(enumerate(inferred(spark, folder), 1))
-    return spark.createDataFrame(names, "pos long, topic string")
+    return topic_table(spark, enumerate(inferred(spark, folder), 1))
 
 
 @query
 def topic_universe(spark, folder):
-    provided = spark.createDataFrame(list(enumerate(PROVIDED_TOPICS)), "pos long, topic string")
+    provided = topic_table(spark, enumerate(PROVIDED_TOPICS))
     return topics.topic_universe_table(provided, topic_terms(spark, folder))
 
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +33,8 @@ def build_session(app: str = "voxtally", master: str | None = None,
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
+        # long expressions are built faster without a call site per column
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
     if shuffle_partitions:
         settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
@@ -76,13 +80,23 @@ def bounded_rows(df: DataFrame, limit: int = INLINE_LIMIT) -> list | None:
     return rows if len(rows) <= limit else None
 
 
+def small_table(spark: SparkSession, rows: Sequence[tuple], **columns: pa.DataType) -> DataFrame:
+    """A table from rows the caller already holds.
+
+    It becomes a local relation of known size, so that joins with it need no
+    Python worker and no hint.
+    """
+    arrays = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(columns.values())]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, names=list(columns)))
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash the rows of an input with fewer files than cores over all cores.
 
     A large input has more splits than cores and is returned as it is, so no
-    shuffle is added at scale.
+    shuffle is added at scale. A few partitions per core even out long texts.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     if len(df.inputFiles()) >= cores:
         return df
-    return df.repartition(cores, *[F.col(k) for k in keys])
+    return df.repartition(4 * cores, *[F.col(k) for k in keys])
