@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import zipfile
+from functools import lru_cache
+from pathlib import Path
+
+import pyspark
 from pyspark.ml.feature import StopWordsRemover
-from pyspark.sql import SparkSession
 
 # --- fixed values -----------------------------------------------------------
 # Values that results depend on, stated as they are.
@@ -88,6 +92,12 @@ IDIOMS = {
 }
 
 
-def english_stop_words(spark: SparkSession) -> list[str]:
-    """Spark's built-in English stop words."""
-    return StopWordsRemover.loadDefaultStopWords("english")
+@lru_cache(maxsize=1)
+def english_stop_words() -> tuple[str, ...]:
+    """Spark's built-in English stop words, read from its own jar so that no
+    session is needed; from the running session if the jar is elsewhere."""
+    for jar in sorted(Path(pyspark.__file__).parent.glob("jars/spark-mllib_*.jar")):
+        with zipfile.ZipFile(jar) as z:
+            text = z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode()
+        return tuple(text.split())
+    return tuple(StopWordsRemover.loadDefaultStopWords("english"))

@@ -80,16 +80,16 @@ def _unit(m: np.ndarray) -> np.ndarray:
 
 
 def best_match(df: DataFrame, key: str, vec: str, vocabulary: DataFrame) -> DataFrame:
-    """``(key, similarity, keyword)``: the vocabulary entry of largest cosine.
+    """``(key, similarity, closest)``: the vocabulary keyword of largest cosine.
 
     ``vocabulary`` has ``pos, keyword, vec``; the lowest ``pos`` wins ties. A
     vocabulary of up to 64 MB is broadcast as one matrix and every Arrow batch is
     one product, with no shuffle. A larger one is cut into blocks. Vectors that
     are NULL give similarity 0 and an empty keyword.
     """
-    schema = f"{key} {dict(df.dtypes)[key]}, similarity double, keyword string"
+    schema = f"{key} {dict(df.dtypes)[key]}, similarity double, closest string"
     absent = df.filter(F.col(vec).isNull()).select(
-        key, F.lit(0.0).alias("similarity"), F.lit("").alias("keyword"))
+        key, F.lit(0.0).alias("similarity"), F.lit("").alias("closest"))
     present = df.filter(F.col(vec).isNotNull()).select(key, F.col(vec).alias("vec"))
     rows = bounded_rows(vocabulary.select("pos", "keyword", "vec"), MATRIX_ROWS)
     if rows is None or len(rows) * len(rows[0]["vec"] if rows else ()) > MATRIX_CELLS:
@@ -97,7 +97,7 @@ def best_match(df: DataFrame, key: str, vec: str, vocabulary: DataFrame) -> Data
     elif rows:
         found = _best_broadcast(present, key, rows, schema)
     else:
-        found = present.select(key, F.lit(0.0).alias("similarity"), F.lit("").alias("keyword"))
+        found = present.select(key, F.lit(0.0).alias("similarity"), F.lit("").alias("closest"))
     return found.unionByName(absent)
 
 
@@ -116,7 +116,7 @@ def _best_broadcast(df: DataFrame, key: str, rows: list, schema: str) -> DataFra
             yield pa.RecordBatch.from_arrays([
                 batch.column(key), pa.array(sims[np.arange(len(best)), best]),
                 pa.array([names[i] for i in best], pa.string())],
-                names=[key, "similarity", "keyword"])
+                names=[key, "similarity", "closest"])
 
     return df.mapInArrow(score, schema)
 
@@ -142,18 +142,18 @@ def _best_blocked(df: DataFrame, key: str, vocabulary: DataFrame) -> DataFrame:
     def score(vectors: pa.Table, vocab: pa.Table) -> pa.Table:
         if not vectors.num_rows or not vocab.num_rows:
             return pa.table({key: vectors.column(key).slice(0, 0), "sim": pa.array([], pa.float64()),
-                             "pos": pa.array([], pa.int64()), "keyword": pa.array([], pa.string())})
+                             "pos": pa.array([], pa.int64()), "closest": pa.array([], pa.string())})
         vocab = vocab.sort_by("pos")
         sims = _unit(_matrix(vectors.column("vec"))) @ _unit(_matrix(vocab.column("vec"))).T
         best = np.round(sims, 12).argmax(axis=1)
         return pa.table({key: vectors.column(key), "sim": sims[np.arange(len(best)), best],
-                         "pos": vocab.column("pos").take(best), "keyword": vocab.column("keyword").take(best)})
+                         "pos": vocab.column("pos").take(best), "closest": vocab.column("keyword").take(best)})
 
     pairs = left.groupBy("_shard", "_block").cogroup(right.groupBy("_shard", "_block")).applyInArrow(
-        score, f"{key} {key_type}, sim double, pos long, keyword string")
-    best = F.max_by(F.struct("sim", "keyword"), F.struct(F.round("sim", 12), -F.col("pos")))
+        score, f"{key} {key_type}, sim double, pos long, closest string")
+    best = F.max_by(F.struct("sim", "closest"), F.struct(F.round("sim", 12), -F.col("pos")))
     return pairs.groupBy(key).agg(best.alias("_b")).select(
-        key, F.col("_b.sim").alias("similarity"), F.col("_b.keyword").alias("keyword"))
+        key, F.col("_b.sim").alias("similarity"), F.col("_b.closest").alias("closest"))
 
 
 def similar_to(df: DataFrame, key: str, vec: str, vocabulary: DataFrame,

@@ -62,12 +62,11 @@ def responses(spark: SparkSession, folder: str) -> DataFrame:
     return spread(docs, "response_id")
 
 
-def stop(spark: SparkSession) -> list[str]:
-    return L.english_stop_words(spark)
+STOP = L.english_stop_words()
 
 
 def cleaned(spark: SparkSession, folder: str) -> DataFrame:
-    return cleaning.preprocess(responses(spark, folder), stop(spark))
+    return cleaning.preprocess(responses(spark, folder), STOP)
 
 
 def scored(spark: SparkSession, folder: str) -> DataFrame:
@@ -76,7 +75,7 @@ def scored(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def with_bags(spark: SparkSession, folder: str) -> DataFrame:
-    return keyphrases.add_keywords(scored(spark, folder), stop(spark), VOCABULARY)
+    return keyphrases.add_keywords(scored(spark, folder), STOP, VOCABULARY)
 
 
 def with_ids(df: DataFrame) -> DataFrame:
@@ -184,7 +183,7 @@ def tokenize(spark, folder):
 
 @query
 def remove_stopwords(spark, folder):
-    kept = X.drop_words(X.clean_tokens(F.col("response_text")), stop(spark))
+    kept = X.drop_words(X.clean_tokens(F.col("response_text")), STOP)
     return responses(spark, folder).select(
         "response_id", F.array_join(kept, " ").alias("kept"), F.size(kept).alias("n_kept"))
 
@@ -192,24 +191,24 @@ def remove_stopwords(spark, folder):
 @query
 def lemmatize(spark, folder):
     return responses(spark, folder).select("response_id", X.clean_text(
-        F.col("response_text"), stop(spark), LEMMAS).alias("lemmas"))
+        F.col("response_text"), STOP, LEMMAS).alias("lemmas"))
 
 
 @query
 def preprocess(spark, folder):
-    return cleaning.preprocess(responses(spark, folder), stop(spark), LEMMAS)
+    return cleaning.preprocess(responses(spark, folder), STOP, LEMMAS)
 
 
 @query
 def preprocess_columns(spark, folder):
-    return cleaning.preprocess_columns(table(spark, folder, "part"), stop(spark))
+    return cleaning.preprocess_columns(table(spark, folder, "part"), STOP)
 
 
 @query
 def text_lengths(spark, folder):
     return responses(spark, folder).select(
         "response_id", F.length("response_text").alias("response_length"),
-        X.word_count(X.clean_text(F.col("response_text"), stop(spark))).alias("word_count"))
+        X.word_count(X.clean_text(F.col("response_text"), STOP)).alias("word_count"))
 
 
 @query
@@ -261,31 +260,31 @@ def sentiment_histogram(spark, folder):
 @query
 def rake_candidates(spark, folder):
     return keyphrases.rake_candidates(responses(spark, folder), "response_text", "response_id",
-                                      stop(spark))
+                                      STOP)
 
 
 @query
 def rake_scores(spark, folder):
     return keyphrases.rake_scores(responses(spark, folder), "response_text", "response_id",
-                                  stop(spark))
+                                  STOP)
 
 
 @query
 def keyphrases_topk(spark, folder):
-    df = keyphrases.add_keywords(responses(spark, folder), stop(spark), text="response_text")
+    df = keyphrases.add_keywords(responses(spark, folder), STOP, text="response_text")
     return keyphrases.bag_rows(df, "keywords", "response_id")
 
 
 @query
 def keyphrases_with_vocab(spark, folder):
-    df = keyphrases.add_keywords(responses(spark, folder), stop(spark), VOCABULARY,
+    df = keyphrases.add_keywords(responses(spark, folder), STOP, VOCABULARY,
                                  text="response_text")
     return keyphrases.bag_rows(df, "keywords", "response_id")
 
 
 @query
 def keyphrases_memo(spark, folder):
-    words, generic = stop(spark), L.GENERIC_WORDS
+    words, generic = STOP, L.GENERIC_WORDS
     df = keyphrases.per_distinct_text(responses(spark, folder), "response_text", "keywords",
                                       lambda t: P.top_phrases(t, words, generic))
     return keyphrases.bag_rows(df, "keywords", "response_id")
@@ -296,19 +295,19 @@ def keyphrases_simple(spark, folder):
     docs = responses(spark, folder).withColumn("combined", reshape.combine_row_text(
         ["question_text", "response_text"]))
     return docs.select("response_id", F.array_join(
-        P.top_phrases_simple(F.col("combined"), stop(spark)), ", ").alias("keywords"))
+        P.top_phrases_simple(F.col("combined"), STOP), ", ").alias("keywords"))
 
 
 @query
 def frequent_tokens_topk(spark, folder):
     df = responses(spark, folder).withColumn("bag", P.frequent_tokens(
-        F.col("response_text"), stop(spark), L.GENERIC_WORDS))
+        F.col("response_text"), STOP, L.GENERIC_WORDS))
     return keyphrases.bag_rows(df, "bag", "response_id")
 
 
 @query
 def keyword_json_roundtrip(spark, folder):
-    df = keyphrases.add_keywords(responses(spark, folder), stop(spark), text="response_text")
+    df = keyphrases.add_keywords(responses(spark, folder), STOP, text="response_text")
     df = df.withColumn("json", P.bag_to_json(F.col("keywords")))
     back = P.bag_from_json(F.col("json"))
     return df.select("response_id", "json", P.bag_keys(back).alias("keys"),
@@ -408,7 +407,7 @@ def similar_filter(spark, folder):
 
 
 def inferred(spark, folder):
-    return topics.inferred_topics(responses(spark, folder), "response_text", "response_id", stop(spark))
+    return topics.inferred_topics(responses(spark, folder), "response_text", "response_id", STOP)
 
 
 def universe(spark, folder):
@@ -421,7 +420,7 @@ def topic_table(spark, rows):
 
 @query
 def tfidf_weights(spark, folder):
-    out = topics.tfidf(responses(spark, folder), "response_text", "response_id", stop(spark))
+    out = topics.tfidf(responses(spark, folder), "response_text", "response_id", STOP)
     return out.withColumn("weight", F.round("weight", 6))
 
 
@@ -486,7 +485,7 @@ def summary_by_question(spark, folder):
 
 
 def pool(spark, folder):
-    base = stage(keyphrases.add_keywords(responses(spark, folder), stop(spark), text="response_text"))
+    base = stage(keyphrases.add_keywords(responses(spark, folder), STOP, text="response_text"))
     freq = matching.document_frequency(base, VOCABULARY, "response_text", "response_id")
     return summary.keyword_pool(summary.keyword_totals(base, []), freq)
 

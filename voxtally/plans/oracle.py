@@ -3,8 +3,6 @@ DataFrame code: tokens are unnested and counted with windows and groupings."""
 
 from __future__ import annotations
 
-from pyspark.ml.feature import StopWordsRemover
-
 from ..functions import wordlists as L
 from . import catalog as C
 
@@ -42,18 +40,8 @@ def rint(x: str, digits: int = 2) -> str:
     return f"round_even(({x}) * {float(10 ** digits)}, 0) / {float(10 ** digits)}"
 
 
-class _Stop:
-    words: list[str] | None = None
-
-
-def stop_words() -> list[str]:
-    if _Stop.words is None:
-        _Stop.words = StopWordsRemover.loadDefaultStopWords("english")
-    return _Stop.words
-
-
 def build() -> dict[str, str]:
-    stop = lst(stop_words())
+    stop = lst(L.english_stop_words())
     generic = tup(L.GENERIC_WORDS)
     docs = ("docs AS (SELECT doc_id AS response_id, text AS response_text, lang AS question_text, "
             "source AS sheet_name FROM documents)")
@@ -436,7 +424,7 @@ def build() -> dict[str, str]:
         round(max(x) FILTER (dim = 63), 6) AS x63
         FROM (SELECT DISTINCT l_orderkey FROM lineitem) o LEFT JOIN u USING (l_orderkey) GROUP BY 1"""
     out["best_match"] = f"""WITH {centroid} SELECT vec_id, round(sim, 4) AS similarity,
-        'label' || label AS keyword FROM best WHERE rn = 1"""
+        'label' || label AS closest FROM best WHERE rn = 1"""
     out["similar_filter"] = f"""WITH {centroid} SELECT vec_id, round(sim, 4) AS similarity
         FROM best WHERE rn = 1 AND sim >= {L.SIMILARITY_THRESHOLD}"""
     out["tfidf_weights"] = f"""WITH {tfidf} SELECT response_id, term, tf, round(weight, 6) AS weight
