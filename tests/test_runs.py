@@ -109,13 +109,23 @@ def test_similarity_in_run(spark, folder):
     assert bags["dup"] == []
 
 
+def test_wide_workbook(spark, folder):
+    tables = workbook.load_wide(spark, folder)
+    assert [t.columns for t in tables] == [["sheet_name", "Rating", "When", "Unnamed: 2"],
+                                           ["sheet_name", "x"]]
+    assert [tuple(r) for r in tables[0].orderBy("Rating").collect()] == [
+        ("Main", "4.5", None, "True"), ("Main", "5", "2024-01-01 12:00:00", "free & text")]
+
+
 def test_two_step(spark, tmp_path, tmp_path_factory):
+    write_xlsx(tmp_path / "w.xlsx", {"S": [["Q", "z"], ["Sheet words", 1]]})
     put(tmp_path / "one.csv", [["Q", "n"], ["The Big Data!", "5"], ["Jobs", "6"]])
     put(tmp_path / "two.csv", [["Q", "other"], ["more jobs", ""]])
     out = str(tmp_path_factory.mktemp("two"))
     paths = two_step.run_two_step(spark, str(tmp_path), out, ["the"])
     got = {r["Q"]: r["keywords"] for r in csv_folder.read_table(spark, paths["with_keywords"]).collect()}
-    assert got == {"big data": "big data", "jobs": "jobs", "more jobs": "more jobs"}
+    assert got == {"big data": "big data", "jobs": "jobs", "more jobs": "more jobs",
+                   "sheet words": "sheet words"}
     with pytest.raises(Exception):
         csv_folder.read_table(spark, f"{out}/none.csv").count()
 

@@ -84,8 +84,11 @@ def keyword_pool(totals: DataFrame, vocabulary_freq: DataFrame) -> DataFrame:
 
     ``vocabulary_freq`` holds ``(keyword, doc_freq)``; membership ignores case.
     """
-    known = totals.select(F.lower("keyword").alias("_k")).distinct()
-    extra = vocabulary_freq.join(known, F.lower(vocabulary_freq["keyword"]) == F.col("_k"), "left_anti")
+    vocabulary = stage(vocabulary_freq.withColumn("_k", F.lower("keyword")))
+    # at most as many rows as the vocabulary, whatever the number of keywords
+    known = totals.select(F.lower("keyword").alias("_k")).join(
+        vocabulary.select("_k"), "_k", "left_semi").distinct()
+    extra = vocabulary.join(known, "_k", "left_anti")
     return totals.select("keyword", "frequency").unionByName(
         extra.select("keyword", F.col("doc_freq").alias("frequency")))
 

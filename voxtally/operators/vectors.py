@@ -87,21 +87,17 @@ def best_match(df: DataFrame, key: str, vec: str, vocabulary: DataFrame) -> Data
     one product, with no shuffle. A larger one is cut into blocks. Vectors that
     are NULL give similarity 0 and an empty keyword.
     """
-    schema = f"{key} {dict(df.dtypes)[key]}, similarity double, closest string"
-    absent = df.filter(F.col(vec).isNull()).select(
-        key, F.lit(0.0).alias("similarity"), F.lit("").alias("closest"))
-    present = df.filter(F.col(vec).isNotNull()).select(key, F.col(vec).alias("vec"))
+    vectors = df.select(key, F.col(vec).alias("vec"))
     rows = bounded_rows(vocabulary.select("pos", "keyword", "vec"), MATRIX_ROWS)
     if rows is None or len(rows) * len(rows[0]["vec"] if rows else ()) > MATRIX_CELLS:
-        found = _best_blocked(present, key, stage(vocabulary.select("pos", "keyword", "vec")))
-    elif rows:
-        found = _best_broadcast(present, key, rows, schema)
-    else:
-        found = present.select(key, F.lit(0.0).alias("similarity"), F.lit("").alias("closest"))
-    return found.unionByName(absent)
+        # written once: an encoder's output must not be computed twice
+        return _best_blocked(stage(vectors), key, stage(vocabulary.select("pos", "keyword", "vec")))
+    if not rows:
+        return df.select(key, F.lit(0.0).alias("similarity"), F.lit("").alias("closest"))
+    return _best_broadcast(vectors, key, rows)
 
 
-def _best_broadcast(df: DataFrame, key: str, rows: list, schema: str) -> DataFrame:
+def _best_broadcast(df: DataFrame, key: str, rows: list) -> DataFrame:
     rows = sorted(rows, key=lambda r: r["pos"])
     matrix = _unit(np.array([r["vec"] for r in rows], dtype=np.float64))
     shared = df.sparkSession.sparkContext.broadcast((matrix, [r["keyword"] for r in rows]))
@@ -109,16 +105,19 @@ def _best_broadcast(df: DataFrame, key: str, rows: list, schema: str) -> DataFra
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, names = shared.value
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            sims = _unit(_matrix(batch.column("vec"))) @ vocab.T
-            best = np.round(sims, 12).argmax(axis=1)
+            vecs = batch.column("vec")
+            filled = np.asarray(vecs.is_valid())
+            similarity, closest = np.zeros(len(vecs)), np.full(len(vecs), -1)
+            if filled.any():
+                sims = _unit(_matrix(vecs.drop_null())) @ vocab.T
+                closest[filled] = np.round(sims, 12).argmax(axis=1)
+                similarity[filled] = sims.max(axis=1)
             yield pa.RecordBatch.from_arrays([
-                batch.column(key), pa.array(sims[np.arange(len(best)), best]),
-                pa.array([names[i] for i in best], pa.string())],
+                batch.column(key), pa.array(similarity),
+                pa.array([names[i] if i >= 0 else "" for i in closest], pa.string())],
                 names=[key, "similarity", "closest"])
 
-    return df.mapInArrow(score, schema)
+    return df.mapInArrow(score, f"{key} {dict(df.dtypes)[key]}, similarity double, closest string")
 
 
 def _best_blocked(df: DataFrame, key: str, vocabulary: DataFrame) -> DataFrame:
@@ -131,7 +130,7 @@ def _best_blocked(df: DataFrame, key: str, vocabulary: DataFrame) -> DataFrame:
     blocks = -(-vocabulary.count() // BLOCK_ROWS)
     shards = max(1, -(-df.count() // SHARD_ROWS))
     block_ids, shard_ids = F.sequence(F.lit(0), F.lit(blocks - 1)), F.sequence(F.lit(0), F.lit(shards - 1))
-    left = df.withColumn("_shard", F.pmod(F.xxhash64(key), F.lit(shards)).cast("int")).withColumn(
+    left = df.filter("vec is not null").withColumn("_shard", F.pmod(F.xxhash64(key), F.lit(shards)).cast("int")).withColumn(
         "_block", F.explode(block_ids))
     right = vocabulary.select(
         F.col("pos").cast("long").alias("pos"), "keyword", "vec",
@@ -152,8 +151,10 @@ def _best_blocked(df: DataFrame, key: str, vocabulary: DataFrame) -> DataFrame:
     pairs = left.groupBy("_shard", "_block").cogroup(right.groupBy("_shard", "_block")).applyInArrow(
         score, f"{key} {key_type}, sim double, pos long, closest string")
     best = F.max_by(F.struct("sim", "closest"), F.struct(F.round("sim", 12), -F.col("pos")))
-    return pairs.groupBy(key).agg(best.alias("_b")).select(
+    found = pairs.groupBy(key).agg(best.alias("_b")).select(
         key, F.col("_b.sim").alias("similarity"), F.col("_b.closest").alias("closest"))
+    return found.unionByName(df.filter("vec is null").select(
+        key, F.lit(0.0).alias("similarity"), F.lit("").alias("closest")))
 
 
 def similar_to(df: DataFrame, key: str, vec: str, vocabulary: DataFrame,

@@ -131,8 +131,7 @@ def run(spark: SparkSession, data_folder: str, output_folder: str | None = None,
     responses = stage(enrich(ingest(spark, data_folder, skip), settings, vocab, stop))
 
     text, key = "response_text_original", "response_id"
-    provided = [r["keyword"] for r in vocabulary.provided_topics(spark, settings.topics_file)
-                .orderBy("pos").collect()]
+    provided = vocabulary.topic_names(vocabulary.provided_topics(spark, settings.topics_file))
     inferred = topics.inferred_topics(responses, text, key, stop, settings.num_topics, settings.excluded)
     names = [t for _, t, _ in topics.topic_universe(provided, inferred)]
     tagged = topics.with_topics(responses, names, text)

@@ -10,14 +10,18 @@ from pyspark.sql import functions as F
 from ..functions.phrases import top_phrases_simple
 from ..operators.cleaning import preprocess_columns
 from ..operators.reshape import combine_row_text, text_columns, wide_union
-from ..sources.csv_folder import load_wide, read_table
+from ..sources import csv_folder, workbook
 from ..sources.sink import write_csv
 
 
 def clean_folder(spark: SparkSession, folder: str, stop: Sequence[str],
                  lemmas: dict[str, str] | None = None) -> DataFrame:
-    """All wide tables of a folder as one, with cleaned text columns."""
-    return preprocess_columns(wide_union(load_wide(spark, folder)), stop, lemmas)
+    """All wide tables of a folder (sheets and CSV files) as one, with cleaned
+    text columns."""
+    tables = workbook.load_wide(spark, folder) + csv_folder.load_wide(spark, folder)
+    if not tables:
+        raise ValueError(f"no data in {folder}")
+    return preprocess_columns(wide_union(tables), stop, lemmas)
 
 
 def add_simple_keywords(df: DataFrame, stop: Sequence[str], k: int = 5,
@@ -33,5 +37,5 @@ def add_simple_keywords(df: DataFrame, stop: Sequence[str], k: int = 5,
 def run_two_step(spark: SparkSession, folder: str, out: str, stop: Sequence[str]) -> dict[str, str]:
     """Write ``cleaned.csv`` and ``with_keywords.csv`` under ``out``."""
     cleaned = write_csv(clean_folder(spark, folder, stop), out, "cleaned.csv")
-    tagged = add_simple_keywords(read_table(spark, cleaned), stop)
+    tagged = add_simple_keywords(csv_folder.read_table(spark, cleaned), stop)
     return {"cleaned": cleaned, "with_keywords": write_csv(tagged, out, "with_keywords.csv")}

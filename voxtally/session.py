@@ -91,12 +91,12 @@ def small_table(spark: SparkSession, rows: Sequence[tuple], **columns: pa.DataTy
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash the rows of an input with fewer files than cores over all cores.
+    """Hash the rows of an input with fewer splits than cores over all cores.
 
     A large input has more splits than cores and is returned as it is, so no
     shuffle is added at scale. A few partitions per core even out long texts.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= cores:
+    if df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(4 * cores, *[F.col(k) for k in keys])

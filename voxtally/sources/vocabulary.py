@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import SPACE, strip
 from ..operators.ids import dense_index
+from ..session import INLINE_LIMIT, bounded_rows
 from .files import list_files
 from .workbook import column_values, read_cells
 
@@ -78,6 +79,15 @@ def provided_topics(spark: SparkSession, path: str | None, sheet: str = "keyword
         return empty_vocabulary(spark)
 
 
+def topic_names(topics: DataFrame) -> list[str]:
+    """Provided topics in order. Each becomes a column of the topic table, so
+    more than ``INLINE_LIMIT`` of them is an error."""
+    rows = bounded_rows(topics.select("pos", "keyword"))
+    if rows is None:
+        raise ValueError(f"more than {INLINE_LIMIT} provided topics")
+    return [r["keyword"] for r in sorted(rows, key=lambda r: r["pos"])]
+
+
 def find_vocabulary(spark: SparkSession, folder: str,
                     path: str | None = None) -> tuple[DataFrame | None, str | None]:
     """The vocabulary and the file it came from.

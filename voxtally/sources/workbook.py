@@ -10,13 +10,16 @@ import datetime as dt
 import io
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from xml.etree import ElementTree as ET
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.wordlists import SHEETS_TO_EXCLUDE
+from ..operators.reshape import exclude_sheets_exact, with_sheet
+from ..session import stage
 from .csv_folder import header_names
 from .files import list_files
 
@@ -155,3 +158,28 @@ def column_values(cells: DataFrame, sheet: str, col_pos: int = 0) -> DataFrame:
     if values.isEmpty():
         raise ValueError(f"no column {col_pos} in sheet {sheet!r}")
     return values.select(F.col("row_pos").alias("pos"), "value")
+
+
+def load_wide(spark: SparkSession, folder: str,
+              exclude: Sequence[str] = SHEETS_TO_EXCLUDE) -> list[DataFrame]:
+    """One wide table per workbook sheet with ``sheet_name`` first; sheets named
+    exactly as an excluded one are left out. Cells are decoded once."""
+    cells = scan_workbooks(spark, folder)
+    if cells is None:
+        return []
+    cells = stage(cells.filter("error is null"))
+    kept = exclude_sheets_exact(cells, names=exclude)
+    where = ("source_file", "sheet_pos", "sheet_name")
+    # headers only: as many rows as there are columns
+    columns = kept.filter("row_pos > 0").select(*where, "col_pos", "header").distinct().orderBy(
+        *where, "col_pos").collect()
+    headers: dict[tuple, list[str]] = {}
+    for r in columns:
+        headers.setdefault((r["source_file"], r["sheet_pos"], r["sheet_name"]), []).append(r["header"])
+    tables = []
+    for (file, pos, sheet), names in headers.items():
+        of_sheet = kept.filter((F.col("source_file") == file) & (F.col("sheet_pos") == pos)
+                               & (F.col("row_pos") > 0))
+        wide = of_sheet.groupBy("row_pos").pivot("header", names).agg(F.first("value"))
+        tables.append(with_sheet(wide.drop("row_pos"), sheet))
+    return tables
