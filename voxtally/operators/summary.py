@@ -49,11 +49,16 @@ def survey_sources(df: DataFrame, keys: Sequence[str] = QUESTION, sheet: str = "
 
 def keyword_totals(df: DataFrame, keys: Sequence[str], bag: str = "keywords",
                    row_id: str = "response_id") -> DataFrame:
-    """Merged bags: keys, keyword, frequency and first sighting (for ties)."""
+    """Merged bags: keys, keyword, frequency and first sighting (for ties).
+
+    The sighting is kept in two plain buffers, since the minimum of a struct
+    would turn the hash aggregate into a sort.
+    """
     rows = bag_rows(df, bag, *dict.fromkeys([*keys, row_id]))
-    return rows.groupBy(*keys, "keyword").agg(
+    totals = rows.groupBy(*keys, "keyword").agg(
         F.sum("count").cast("long").alias("frequency"),
-        F.min(F.struct(row_id, "rank")).alias("first_seen"))
+        F.min(row_id).alias("_row"), F.min_by("rank", row_id).alias("_rank"))
+    return totals.select(*keys, "keyword", "frequency", F.struct("_row", "_rank").alias("first_seen"))
 
 
 def top_keywords(totals: DataFrame, keys: Sequence[str], k: int = 10) -> DataFrame:

@@ -14,6 +14,7 @@ from ..functions.wordlists import GENERIC_WORDS
 from ..session import stage
 from .ids import dense_index
 from .matching import Keywords, matches, with_matches
+from .reshape import quoted
 
 MIN_DOCS = 10
 MAX_DOC_SHARE = 0.85
@@ -169,5 +170,6 @@ def topic_matrix(assigned: DataFrame, topics: Sequence[str], key: str) -> DataFr
     ranked = dense_index(assigned.select("topic", key), key, out="row_no", within="topic")
     present = {r["topic"] for r in ranked.select("topic").distinct().collect()}
     names = [t for t in topics if t in present]
-    cells = ranked.groupBy("row_no").pivot("topic", names).agg(F.first(F.col(key).cast("string")))
-    return cells.select("row_no", *[F.coalesce(F.col(f"`{t}`"), F.lit("")).alias(t) for t in names])
+    cells = ranked.groupBy("row_no").pivot("topic", names).agg(F.max(key))
+    return cells.select("row_no", *[
+        F.coalesce(quoted(t).cast("string"), F.lit("")).alias(t) for t in names])
