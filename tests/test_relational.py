@@ -1,8 +1,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from voxtally.operators import cleaning, ids, quality, reshape, sentiment, summary
-from voxtally.operators import matching, reports
+from voxtally.functions import phrases as P
+from voxtally.operators import cleaning, ids, keyphrases, quality, reshape, sentiment, summary
+from voxtally.operators import matching, reports, topics
 
 
 def rows(df, *order):
@@ -143,9 +144,41 @@ def test_instances(spark, monkeypatch):
 
 
 def test_pool(spark):
-    totals = spark.createDataFrame([("Data", 3)], "keyword string, frequency long")
-    vocab = spark.createDataFrame([("data", 9), ("job", 2)], "keyword string, doc_freq long")
-    assert rows(summary.keyword_pool(totals, vocab), "keyword") == [("Data", 3), ("job", 2)]
+    totals = spark.createDataFrame([("Data", 3, (2, 0)), ("later", 3, (5, 1))],
+                                   "keyword string, frequency long, first_seen struct<_row:long,_rank:int>")
+    vocab = spark.createDataFrame([("data", 9, 0), ("job", 3, 2), ("ant", 3, 1)],
+                                  "keyword string, doc_freq long, pos int")
+    pool = summary.keyword_pool(totals, vocab)
+    ordered = pool.orderBy(F.desc("frequency"), *summary.POOL_ORDER).select("keyword").collect()
+    assert [r[0] for r in ordered] == ["Data", "later", "ant", "job"]
+
+
+def hot_rows(spark):
+    """A third of all rows hold one text, in one question and sheet."""
+    return spark.range(900).select(
+        F.col("id").alias("response_id"),
+        F.when(F.col("id") % 3 == 0, "hot topic, shared words and more")
+        .otherwise(F.concat(F.lit("topic "), F.col("id") % 7, F.lit(" is data"))).alias("response_text_original"),
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("q"), F.col("id") % 5)).alias("question"))
+
+
+@pytest.mark.parametrize("parts", [1, 13])
+def test_hot_group(spark, parts):
+    stop, words = ["is", "and"], ["topic", "shared words", "data"]
+    df = keyphrases.add_keywords(hot_rows(spark).repartition(parts), stop, words)
+    totals = {r["keyword"]: r["frequency"] for r in summary.keyword_totals(df, []).collect()}
+    assert totals["shared words"] == 600 and totals["topic"] == 900
+    best = summary.top_keywords(summary.keyword_totals(df, ["question"]), ["question"], 2)
+    assert best.filter("question = 'hot'").count() == 2
+    memo = keyphrases.per_distinct_text(hot_rows(spark), "response_text_original", "bag",
+                                        lambda t: P.top_phrases(t, stop, []))
+    plain = hot_rows(spark).withColumn("bag", P.top_phrases(F.col("response_text_original"), stop, []))
+    assert rows(memo.select("response_id", "bag"), "response_id") == rows(
+        plain.select("response_id", "bag"), "response_id")
+    assigned = topics.assign_topics(hot_rows(spark), words, "response_text_original", "response_id")
+    matrix = topics.topic_matrix(assigned.repartition(parts), words, "response_id")
+    column = [r["topic"] for r in matrix.orderBy("row_no").collect()]
+    assert column == [str(i) for i in range(900)]
 
 
 def test_meaningful(spark):
@@ -170,7 +203,11 @@ def test_matches_joined_equals_inline(spark, monkeypatch):
     assert rows(matching.with_matches(df, words, "t", "m", spelled=True), "response_id") == spelled
     assert inline[1][2] == ["c++", "a b c d e f", "a", "b c"]
     assert spelled[0][2] == ["Data"]
-    assert rows(matching.document_frequency(df, words, "t", "response_id"), "keyword")[0] == ("??", 1)
+    joined = matching.document_frequency(df, words, "t", "response_id").select("keyword", "doc_freq", "pos")
+    assert ("??", 1, 4) in rows(joined, "keyword")
+    monkeypatch.undo()
+    listed = matching.document_frequency(df, words, "t", "response_id").select("keyword", "doc_freq", "pos")
+    assert rows(listed, "keyword") == rows(joined, "keyword")
 
 
 SCHEMA = ("survey_id int, question_id int, question_text string, response_id int, response_text string, "

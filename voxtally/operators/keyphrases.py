@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import phrases as P
 from ..functions.arrays import explode_rows
+from ..functions.text import strip
 from ..functions.wordlists import GENERIC_WORDS
 from ..session import stage
 from .matching import Keywords, with_matches
@@ -47,7 +48,7 @@ def add_keywords(df: DataFrame, stop: Sequence[str], vocabulary: Keywords | None
     if vocabulary is None:
         return df
     bag = F.col(out)
-    found = F.when(F.length(F.trim(F.col(text))) >= 3, F.col("_found")).otherwise(
+    found = F.when(F.length(strip(F.col(text))) >= 3, F.col("_found")).otherwise(
         F.array().cast("array<string>"))
     return with_matches(df, vocabulary, text, "_found", key).withColumn(
         out, P.boost(bag, found)).drop("_found")

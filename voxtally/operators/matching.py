@@ -131,9 +131,19 @@ def present_keywords(df: DataFrame, keywords: Keywords, text: str, key: str) ->
 
 
 def document_frequency(df: DataFrame, keywords: Keywords, text: str, key: str) -> DataFrame:
-    """``(keyword, doc_freq)``: texts holding each keyword (absent ones left out).
+    """``(keyword, doc_freq, pos)``: texts holding each keyword (absent ones left
+    out) and its place in the list.
 
     A text yields each keyword once, so a count with map-side combine is enough.
     """
-    return matches(df, keywords, text, key).groupBy("keyword").agg(
-        F.count("*").alias("doc_freq"))
+    listed = inline_keywords(keywords)
+    if listed is None:
+        return matches_joined(df, _keyword_table(df, keywords), text, key).groupBy(
+            "keyword", "pos").agg(F.count("*").alias("doc_freq")).select("keyword", "doc_freq", "pos")
+    counts = df.select(F.explode_outer(_inline_matches(text, listed, False)).alias("keyword")).filter(
+        F.col("keyword").isNotNull()).groupBy("keyword").agg(F.count("*").alias("doc_freq"))
+    places = small_table(df.sparkSession, [(k, i) for i, k in enumerate(listed)],
+                         keyword=pa.string(), pos=pa.int64())
+    return counts.join(places, "keyword")
+
+

@@ -18,6 +18,7 @@ SUMMARY_COLUMNS = ("question_id", "question_text", "total_responses", "avg_respo
                    "negative_responses", "neutral_responses", "survey_sources", "keyword",
                    "frequency")
 INSTANCE_CHUNK = 10_000
+POOL_ORDER = ("late", "first_seen", "pos")
 
 
 def question_stats(df: DataFrame, keys: Sequence[str] = QUESTION) -> DataFrame:
@@ -87,15 +88,20 @@ def summary_by_question(df: DataFrame, bag: str = "keywords", k: int = 10) -> Da
 def keyword_pool(totals: DataFrame, vocabulary_freq: DataFrame) -> DataFrame:
     """All keywords with frequency, plus vocabulary words of the texts not among them.
 
-    ``vocabulary_freq`` holds ``(keyword, doc_freq)``; membership ignores case.
+    ``vocabulary_freq`` holds ``(keyword, doc_freq, pos)``; membership ignores case.
+    The columns of ``POOL_ORDER`` break ties: keywords by first sighting, then
+    vocabulary words in list order.
     """
     vocabulary = stage(vocabulary_freq.withColumn("_k", F.lower("keyword")))
     # at most as many rows as the vocabulary, whatever the number of keywords
     known = totals.select(F.lower("keyword").alias("_k")).join(
         vocabulary.select("_k"), "_k", "left_semi").distinct()
     extra = vocabulary.join(known, "_k", "left_anti")
-    return totals.select("keyword", "frequency").unionByName(
-        extra.select("keyword", F.col("doc_freq").alias("frequency")))
+    return totals.select("keyword", "frequency", F.lit(0).alias("late"), "first_seen",
+                         F.lit(None).cast("long").alias("pos")).unionByName(
+        extra.select("keyword", F.col("doc_freq").alias("frequency"), F.lit(1).alias("late"),
+                     F.lit(None).cast(totals.schema["first_seen"].dataType).alias("first_seen"),
+                     F.col("pos").cast("long").alias("pos")))
 
 
 def instances(pool: DataFrame, *ties: Column | str, limit: int = 200) -> DataFrame:

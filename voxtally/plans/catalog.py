@@ -351,8 +351,9 @@ def vocab_present(spark, folder):
 
 @query
 def vocab_doc_freq(spark, folder):
-    return matching.document_frequency(responses(spark, folder), VOCABULARY, "response_text",
+    freq = matching.document_frequency(responses(spark, folder), VOCABULARY, "response_text",
                                        "response_id")
+    return freq.select("keyword", "doc_freq")
 
 
 # --- vectors --------------------------------------------------------------------
@@ -492,12 +493,12 @@ def pool(spark, folder):
 
 @query
 def keyword_pool(spark, folder):
-    return pool(spark, folder)
+    return pool(spark, folder).select("keyword", "frequency")
 
 
 @query
 def keyword_instances(spark, folder):
-    return summary.instances(pool(spark, folder), "keyword")
+    return summary.instances(pool(spark, folder), *summary.POOL_ORDER)
 
 
 @query

@@ -277,9 +277,11 @@ def build() -> dict[str, str]:
             min(response_id * 100000 + rank) AS seen FROM vbag JOIN docs USING (response_id)
             GROUP BY question_text, keyword)"""
     pool = f"""{docs}, {rake}, {topk}, {vocab},
-        tot AS (SELECT keyword, sum(count)::BIGINT AS frequency FROM bag GROUP BY keyword),
-        vdf AS (SELECT kw, count(DISTINCT response_id) AS frequency FROM voc GROUP BY kw),
-        pool AS (SELECT keyword, frequency FROM tot UNION ALL SELECT kw, frequency FROM vdf
+        tot AS (SELECT keyword, sum(count)::BIGINT AS frequency, min(response_id * 100000 + rank) AS seen
+            FROM bag GROUP BY keyword),
+        vdf AS (SELECT kw, count(DISTINCT response_id) AS frequency, min(pos) AS seen FROM voc GROUP BY kw),
+        pool AS (SELECT keyword, frequency, 0 AS late, seen FROM tot
+            UNION ALL SELECT kw, frequency, 1, seen FROM vdf
             WHERE kw NOT IN (SELECT lower(keyword) FROM tot))"""
     contract = """t AS (SELECT d.doc_id, quality, toxic, lang, source,
             CASE WHEN toxic IS NOT NULL THEN lang END AS question_text,
@@ -457,9 +459,9 @@ def build() -> dict[str, str]:
         JOIN qid USING (question_text)
         LEFT JOIN (SELECT question_text, keyword, frequency FROM best WHERE r <= 10)
         USING (question_text)"""
-    out["keyword_pool"] = f"WITH {pool} SELECT * FROM pool"
+    out["keyword_pool"] = f"WITH {pool} SELECT keyword, frequency FROM pool"
     out["keyword_instances"] = f"""WITH {pool}, top AS (SELECT * FROM pool
-        ORDER BY frequency DESC, keyword LIMIT 200)
+        ORDER BY frequency DESC, late, seen LIMIT 200)
         SELECT keyword FROM top, range(frequency) AS g(i)"""
     out["keyword_instances_legacy"] = f"""WITH {bags}, good AS (SELECT question_text FROM full_r
         GROUP BY 1 HAVING avg(response_length) > 10),

@@ -137,15 +137,16 @@ def run(spark: SparkSession, data_folder: str, output_folder: str | None = None,
     tagged = topics.with_topics(responses, names, text)
 
     totals = summary.keyword_totals(responses, [])
-    pool = totals.select("keyword", "frequency")
+    pool, ties = totals, ("first_seen",)
     if vocab is not None:
         pool = summary.keyword_pool(totals, matching.document_frequency(responses, vocab, text, key))
+        ties = summary.POOL_ORDER
     matrix = None
     if names:
         assigned = tagged.select(key, F.explode("topics").alias("topic"))
         matrix = topics.topic_matrix(assigned, names, key)
     result = RunResult(features(tagged), summary.summary_by_question(responses),
-                       summary.instances(pool, "keyword"), matrix, names,
+                       summary.instances(pool, *ties), matrix, names,
                        summary.run_profile(responses))
     if output_folder is None:
         return result
