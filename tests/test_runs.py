@@ -45,6 +45,23 @@ def test_csv_scan(spark, folder):
         ("b survey+1.CSV", "b survey+1", "Why?.1", "dup")]
 
 
+def test_headers_that_differ_by_case(spark, tmp_path):
+    put(tmp_path / "a.csv", [["Why?", "why?", "sheet_name"], ["x", "y", "z"]])
+    put(tmp_path / "b.csv", [["Sheet  name"], ["only provenance"]])
+    cells = csv_folder.scan_csv_long(spark, str(tmp_path))
+    assert sorted((r["question_text"], r["response_text"]) for r in cells.collect()) == [("Why?", "x"), ("why?", "y")]
+    wide = csv_folder.load_wide(spark, str(tmp_path))
+    assert wide[0].columns == ["Why?", "why?.1", "sheet_name"]
+
+
+def test_nothing_to_read(spark, tmp_path):
+    with pytest.raises(ValueError):
+        survey_run.run(spark, str(tmp_path))
+    put(tmp_path / "a.csv", [["Q"], [" "], ["NA"]])
+    with pytest.raises(ValueError):
+        survey_run.run(spark, str(tmp_path))
+
+
 def test_workbook(spark, folder):
     cells = workbook.scan_workbooks(spark, folder)
     main = cells.filter("sheet_name = 'Main' and row_pos > 0").orderBy("row_pos", "col_pos")

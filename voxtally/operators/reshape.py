@@ -30,17 +30,20 @@ def question_columns(df: DataFrame, keep: Sequence[str] = ()) -> list[str]:
     return [c for c in df.columns if c not in keep and not is_provenance(c)]
 
 
-def unpivot_long(df: DataFrame, keep: Sequence[str], questions: Sequence[str] | None = None,
+def unpivot_long(df: DataFrame, keep: Sequence[str], questions: dict[str, str] | None = None,
                  null_tokens: Sequence[str] = ()) -> DataFrame:
     """One row per non-blank cell: ``keep``, col_pos, question_text, response_text.
 
-    Wholly null columns leave no rows, so they need no separate pass.
+    ``questions`` maps columns to question texts; by default every column but
+    ``keep`` and provenance is a question under its own name. Wholly null columns
+    leave no rows, so they need no separate pass.
     """
-    questions = list(questions if questions is not None else question_columns(df, keep))
+    if questions is None:
+        questions = {c: c for c in question_columns(df, keep)}
     cells = df.select(*[quoted(k) for k in keep], F.explode(F.array(*[
-        F.struct(F.lit(i).alias("col_pos"), F.lit(q).alias("question_text"),
-                 quoted(q).cast("string").alias("response_text"))
-        for i, q in enumerate(questions)])).alias("_cell"))
+        F.struct(F.lit(i).alias("col_pos"), F.lit(label).alias("question_text"),
+                 quoted(c).cast("string").alias("response_text"))
+        for i, (c, label) in enumerate(questions.items())])).alias("_cell"))
     text = F.col("_cell.response_text")
     present = text.isNotNull() & ~is_blank(text)
     if null_tokens:

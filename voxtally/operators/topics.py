@@ -170,6 +170,8 @@ def topic_matrix(assigned: DataFrame, topics: Sequence[str], key: str) -> DataFr
     ranked = dense_index(assigned.select("topic", key), key, out="row_no", within="topic")
     present = {r["topic"] for r in ranked.select("topic").distinct().collect()}
     names = [t for t in topics if t in present]
+    if not names:
+        return ranked.select("row_no").limit(0)
     cells = ranked.groupBy("row_no").pivot("topic", names).agg(F.max(key))
     return cells.select("row_no", *[
         F.coalesce(quoted(t).cast("string"), F.lit("")).alias(t) for t in names])

@@ -70,7 +70,10 @@ def ingest(spark: SparkSession, folder: str, skip: Sequence[str] = ()) -> DataFr
     if not parts:
         raise ValueError(f"no data in {folder}")
     long = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    return reshape.assign_ids(long, *csv_folder.POSITION)
+    long = reshape.assign_ids(long, *csv_folder.POSITION)
+    if long.isEmpty():
+        raise ValueError(f"no data in {folder}")
+    return long
 
 
 def similarity_filter(settings: Settings, vocab: DataFrame | None) -> Callable | None:

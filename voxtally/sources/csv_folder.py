@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.wordlists import NULL_TOKENS
-from ..operators.reshape import quoted, unpivot_long, with_sheet
+from ..operators.reshape import is_provenance, unpivot_long, with_sheet
 from .files import file_stem, list_files
 
 log = logging.getLogger(__name__)
@@ -26,15 +26,20 @@ def _reader(spark: SparkSession, multiline: bool):
             .option("mode", "PERMISSIVE").option("multiLine", multiline))
 
 
-def header_names(cells: Sequence[str | None]) -> list[str]:
-    """Column names of a header row: blanks are numbered, repeats get a suffix."""
+def header_names(cells: Sequence[str | None], ignore_case: bool = False) -> list[str]:
+    """Column names of a header row: blanks are numbered, repeats get a suffix.
+
+    Spark resolves columns without case, so wide tables use ``ignore_case``.
+    """
     names: list[str] = []
+    taken: set[str] = set()
     for i, cell in enumerate(cells):
         base = cell if cell not in (None, "") else f"Unnamed: {i}"
         name, n = base, 0
-        while name in names:
+        while (name.lower() if ignore_case else name) in taken:
             n += 1
             name = f"{base}.{n}"
+        taken.add(name.lower() if ignore_case else name)
         names.append(name)
     return names
 
@@ -59,12 +64,12 @@ def files_by_header(spark: SparkSession, paths: Sequence[str],
     return groups
 
 
-def _scan(spark: SparkSession, header: Sequence[str], paths: list[str],
-          multiline: bool) -> DataFrame:
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(header))])
+def _scan(spark: SparkSession, width: int, paths: list[str], multiline: bool) -> DataFrame:
+    """Cells as ``c0..`` with their file, block and row."""
+    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
     wide = _reader(spark, multiline).option("header", True).schema(schema).csv(paths)
     return wide.select(
-        *[F.col(f"c{i}").alias(name) for i, name in enumerate(header)],
+        *wide.columns,
         F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B"))).alias("__file"),
         F.col("_metadata.file_block_start").alias("__block"),
         F.monotonically_increasing_id().alias("__row"))
@@ -83,8 +88,11 @@ def scan_csv_long(spark: SparkSession, folder: str, exclude: Sequence[str] = (),
              if p.rsplit("/", 1)[-1] not in exclude]
     tables = []
     for header, group in files_by_header(spark, paths, multiline).items():
-        keep = ("__file", "__block", "__row")
-        long = unpivot_long(_scan(spark, header, group, multiline), keep, null_tokens=null_tokens)
+        questions = {f"c{i}": name for i, name in enumerate(header) if not is_provenance(name)}
+        if not questions:
+            continue
+        long = unpivot_long(_scan(spark, len(header), group, multiline), ("__file", "__block", "__row"),
+                            questions, null_tokens)
         tables.append(long.select(
             "question_text", "response_text", file_stem(F.col("__file")).alias("sheet_name"),
             F.col("__file").alias("source_file"), F.lit(0).alias("sheet_pos"), "col_pos",
@@ -98,9 +106,10 @@ def load_wide(spark: SparkSession, folder: str, multiline: bool = True,
     tables = []
     for header, group in files_by_header(spark, list_files(spark, folder, "csv"), multiline).items():
         for path in group:
-            wide = _scan(spark, header, [path], multiline).drop("__file", "__block", "__row")
-            wide = wide.select(*[F.when(~quoted(c).isin(list(null_tokens)), quoted(c)).alias(c)
-                                 for c in wide.columns])
+            names = header_names(header, ignore_case=True)
+            wide = _scan(spark, len(names), [path], multiline).select(*[
+                F.when(~F.col(f"c{i}").isin(list(null_tokens)), F.col(f"c{i}")).alias(name)
+                for i, name in enumerate(names)])
             stem = path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
             tables.append(with_sheet(wide, stem, first=False, fill=""))
     return tables

@@ -173,13 +173,15 @@ def load_wide(spark: SparkSession, folder: str,
     # headers only: as many rows as there are columns
     columns = kept.filter("row_pos > 0").select(*where, "col_pos", "header").distinct().orderBy(
         *where, "col_pos").collect()
-    headers: dict[tuple, list[str]] = {}
+    headers: dict[tuple, dict[int, str]] = {}
     for r in columns:
-        headers.setdefault((r["source_file"], r["sheet_pos"], r["sheet_name"]), []).append(r["header"])
+        headers.setdefault((r["source_file"], r["sheet_pos"], r["sheet_name"]),
+                           {})[r["col_pos"]] = r["header"]
     tables = []
-    for (file, pos, sheet), names in headers.items():
+    for (file, pos, sheet), found in headers.items():
+        names = header_names(list(found.values()), ignore_case=True)
         of_sheet = kept.filter((F.col("source_file") == file) & (F.col("sheet_pos") == pos)
                                & (F.col("row_pos") > 0))
-        wide = of_sheet.groupBy("row_pos").pivot("header", names).agg(F.first("value"))
-        tables.append(with_sheet(wide.drop("row_pos"), sheet))
+        wide = of_sheet.groupBy("row_pos").pivot("col_pos", list(found)).agg(F.first("value"))
+        tables.append(with_sheet(wide.drop("row_pos").toDF(*names), sheet))
     return tables
