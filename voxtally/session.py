@@ -5,11 +5,17 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Sequence
+from functools import lru_cache
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# What a failing read or write raises: the second for plain Java I/O errors.
+SPARK_ERRORS = (PySparkException, Py4JJavaError)
+
 # Rows a parameter list (vocabulary, topics, word lists) may have to be inlined
 # as literals. Longer lists stay tables and are joined.
 INLINE_LIMIT = 10_000
@@ -56,9 +62,12 @@ def shared_dir(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-    folder = tempfile.mkdtemp(prefix="voxtally-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return _local_folder(spark.sparkContext.applicationId)
+
+
+@lru_cache(maxsize=None)
+def _local_folder(application: str) -> str:
+    return tempfile.mkdtemp(prefix="voxtally-")
 
 
 def stage(df: DataFrame) -> DataFrame:

@@ -6,13 +6,13 @@ import logging
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.wordlists import NULL_TOKENS
 from ..operators.reshape import is_provenance, unpivot_long, with_sheet
+from ..session import SPARK_ERRORS
 from .files import file_stem, list_files
 
 log = logging.getLogger(__name__)
@@ -59,7 +59,7 @@ def files_by_header(spark: SparkSession, paths: Sequence[str],
     for path in paths:
         try:
             groups.setdefault(tuple(read_header(spark, path, multiline)), []).append(path)
-        except (PySparkException, ValueError) as error:
+        except (*SPARK_ERRORS, ValueError) as error:
             log.warning("skipped %s: %s", path, error)
     return groups
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 import logging
 from datetime import datetime
 
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 
+from ..session import SPARK_ERRORS
+
 log = logging.getLogger(__name__)
 
 
@@ -27,7 +28,7 @@ def write_csv(df: DataFrame, folder: str, name: str, single_file: bool = False)
 
     try:
         return write(path)
-    except PySparkException as error:
+    except SPARK_ERRORS as error:
         other = f"{path}_{datetime.now():%Y%m%d_%H%M%S}"
         log.warning("could not write %s (%s); writing %s", path, error, other)
         return write(other)

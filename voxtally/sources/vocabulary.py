@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import logging
 
-from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import SPACE, strip
 from ..operators.ids import dense_index
-from ..session import INLINE_LIMIT, bounded_rows
+from ..session import INLINE_LIMIT, SPARK_ERRORS, bounded_rows
 from .files import list_files
 from .workbook import column_values, read_cells
 
@@ -74,7 +73,7 @@ def provided_topics(spark: SparkSession, path: str | None, sheet: str = "keyword
         return empty_vocabulary(spark)
     try:
         return vocabulary_from_workbook(spark, path, sheet)
-    except (PySparkException, ValueError) as error:
+    except (*SPARK_ERRORS, ValueError) as error:
         log.warning("no provided topics from %s: %s", path, error)
         return empty_vocabulary(spark)
 
@@ -107,7 +106,7 @@ def find_vocabulary(spark: SparkSession, folder: str,
     for candidate in list_files(spark, folder, "xlsx"):
         try:
             return read(candidate), candidate
-        except (PySparkException, ValueError):
+        except (*SPARK_ERRORS, ValueError):
             continue
     return None, None
 
@@ -115,5 +114,5 @@ def find_vocabulary(spark: SparkSession, folder: str,
 def _exists(spark: SparkSession, path: str) -> bool:
     try:
         return not spark.read.format("binaryFile").load(path).select("path").isEmpty()
-    except PySparkException:
+    except SPARK_ERRORS:
         return False
