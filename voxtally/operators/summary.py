@@ -134,9 +134,9 @@ def label_distribution(df: DataFrame, label: str = "sentiment_label") -> DataFra
     return counts.withColumn("percent", round_half_even(share, 1))
 
 
-def run_profile(df: DataFrame, bag: str = "keywords") -> DataFrame:
-    """One row of run figures."""
-    return df.agg(
+def run_profile(df: DataFrame, bag: str = "keywords", topics: str | None = None) -> DataFrame:
+    """One row of run figures; with the number of tagged responses if ``topics`` is named."""
+    figures = [
         F.count("*").alias("responses"),
         F.countDistinct("question_id").alias("questions"),
         F.countDistinct("survey_id").alias("surveys"),
@@ -145,4 +145,14 @@ def run_profile(df: DataFrame, bag: str = "keywords") -> DataFrame:
         F.count_if(F.size(bag) > 0).alias("with_keywords"),
         round_half_even(F.avg(F.when(F.size(bag) > 0, 100.0).otherwise(0.0)), 1)
         .alias("with_keywords_percent"),
-    )
+    ]
+    if topics is not None:
+        figures.append(F.count_if(F.size(topics) > 0).alias("with_topics"))
+    return df.agg(*figures)
+
+
+def summary_profile(summary: DataFrame) -> DataFrame:
+    """One row: keyword rows, questions and keyword rows per question."""
+    rows, questions = F.count("*"), F.countDistinct("question_id")
+    return summary.agg(rows.alias("keyword_rows"), questions.alias("questions"),
+                       round_half_even(rows / questions, 1).alias("keywords_per_question"))

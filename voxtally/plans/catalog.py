@@ -510,7 +510,13 @@ def keyword_instances_legacy(spark, folder):
 
 @query
 def run_profile(spark, folder):
-    return summary.run_profile(enriched(spark, folder))
+    df = topics.with_topics(enriched(spark, folder), PROVIDED_TOPICS, "response_text_original")
+    return summary.run_profile(df, topics="topics")
+
+
+@query
+def summary_profile(spark, folder):
+    return summary.summary_profile(summary_by_question(spark, folder))
 
 
 @query

@@ -470,12 +470,21 @@ def build() -> dict[str, str]:
             GROUP BY keyword),
         top AS (SELECT * FROM tot ORDER BY frequency DESC, seen LIMIT 10)
         SELECT keyword FROM top, range(frequency) AS g(i)"""
-    out["run_profile"] = f"""WITH {bags}, nb AS (SELECT response_id, count(*) AS n FROM vbag GROUP BY 1)
+    out["summary_profile"] = f"""WITH {bags}, {qkw}, best AS (SELECT *, row_number() OVER (
+            PARTITION BY question_text ORDER BY frequency DESC, seen) AS r FROM qkw),
+        per AS (SELECT d.question_text, greatest(count(DISTINCT keyword), 1) AS n
+            FROM docs d LEFT JOIN (SELECT * FROM best WHERE r <= 10) USING (question_text) GROUP BY 1)
+        SELECT sum(n)::BIGINT AS keyword_rows, count(*) AS questions,
+        {rint('sum(n) / count(*)', 1)} AS keywords_per_question FROM per"""
+    out["run_profile"] = f"""WITH {bags}, {provided},
+        nb AS (SELECT response_id, count(*) AS n FROM vbag GROUP BY 1),
+        nt AS (SELECT DISTINCT response_id, 1 AS tagged FROM hit)
         SELECT count(*) AS responses, count(DISTINCT question_text) AS questions,
         count(DISTINCT sheet_name) AS surveys, {rint('avg(response_length)', 1)} AS avg_response_length,
         {rint('avg(word_count)', 1)} AS avg_word_count, count(n) AS with_keywords,
-        {rint('avg(CASE WHEN n IS NULL THEN 0.0 ELSE 100.0 END)', 1)} AS with_keywords_percent
-        FROM full_r LEFT JOIN nb USING (response_id)"""
+        {rint('avg(CASE WHEN n IS NULL THEN 0.0 ELSE 100.0 END)', 1)} AS with_keywords_percent,
+        count(tagged) AS with_topics
+        FROM full_r LEFT JOIN nb USING (response_id) LEFT JOIN nt USING (response_id)"""
     out["responses_with_features"] = f"""WITH {tagged}, {custom}, {rake_from('docs').replace(' scored AS', ' rk_scored AS')},
         {topk.replace('FROM scored s', 'FROM rk_scored s')}, {boosted}, {seen},
         kws AS (SELECT response_id, string_agg(keyword, ', ' ORDER BY rank) AS k FROM vbag GROUP BY 1),

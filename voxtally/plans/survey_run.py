@@ -150,7 +150,7 @@ def run(spark: SparkSession, data_folder: str, output_folder: str | None = None,
         matrix = topics.topic_matrix(assigned, names, key)
     result = RunResult(features(tagged), summary.summary_by_question(responses),
                        summary.instances(pool, *ties), matrix, names,
-                       summary.run_profile(responses))
+                       summary.run_profile(tagged, topics="topics"))
     if output_folder is None:
         return result
     one = settings.single_file
