@@ -3,7 +3,6 @@ from pathlib import Path
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from tests.xlsx import write_xlsx
 from voxtally.plans import survey_run, two_step

@@ -187,13 +187,3 @@ def run_ngrams(text: Column, sizes: Sequence[int], heads: Sequence[str] | None =
             F.flatten(F.array(*[of_size(begin, size) for size in sizes]))))
 
     return let(text_runs(text), lambda runs: F.when(F.size(runs) > 0, spans(runs)).otherwise(empty))
-
-
-def whole_word_regex(keyword: str) -> str:
-    """The same rule as a regular expression that Java and RE2 both accept."""
-    k = keyword.strip().lower()
-    body = "".join(ch if _is_word(ch) or ch.isspace() or ord(ch) > 127 else "\\" + ch
-                   for ch in k)
-    before = rf"(^|[^{WORD}])" if _is_word(k[0]) else rf"[{WORD}]"
-    after = rf"($|[^{WORD}])" if _is_word(k[-1]) else rf"[{WORD}]"
-    return before + body + after

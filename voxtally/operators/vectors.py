@@ -130,7 +130,8 @@ def _best_blocked(df: DataFrame, key: str, vocabulary: DataFrame) -> DataFrame:
     blocks = -(-vocabulary.count() // BLOCK_ROWS)
     shards = max(1, -(-df.count() // SHARD_ROWS))
     block_ids, shard_ids = F.sequence(F.lit(0), F.lit(blocks - 1)), F.sequence(F.lit(0), F.lit(shards - 1))
-    left = df.filter("vec is not null").withColumn("_shard", F.pmod(F.xxhash64(key), F.lit(shards)).cast("int")).withColumn(
+    left = df.filter("vec is not null").withColumn(
+        "_shard", F.pmod(F.xxhash64(key), F.lit(shards)).cast("int")).withColumn(
         "_block", F.explode(block_ids))
     right = vocabulary.select(
         F.col("pos").cast("long").alias("pos"), "keyword", "vec",

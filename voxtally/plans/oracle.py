@@ -485,8 +485,8 @@ def build() -> dict[str, str]:
         {rint('avg(CASE WHEN n IS NULL THEN 0.0 ELSE 100.0 END)', 1)} AS with_keywords_percent,
         count(tagged) AS with_topics
         FROM full_r LEFT JOIN nb USING (response_id) LEFT JOIN nt USING (response_id)"""
-    out["responses_with_features"] = f"""WITH {tagged}, {custom}, {rake_from('docs').replace(' scored AS', ' rk_scored AS')},
-        {topk.replace('FROM scored s', 'FROM rk_scored s')}, {boosted}, {seen},
+    out["responses_with_features"] = f"""WITH {tagged}, {custom}, {rake},
+        {topk}, {boosted}, {seen},
         kws AS (SELECT response_id, string_agg(keyword, ', ' ORDER BY rank) AS k FROM vbag GROUP BY 1),
         tps AS (SELECT response_id, string_agg(spelled, ', ' ORDER BY pos) AS tp FROM hit GROUP BY 1)
         SELECT response_id, survey_id, question_id, response_text, sentiment_label, sentiment_score,
