@@ -7,6 +7,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from voxtally.plans.catalog import QUERIES
+from voxtally.plans.oracle import ORACLE
 
 SF = Path("/root/testdata/sf0.001")
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -35,14 +37,14 @@ def canonical(table):
     return names, sorted((tuple(value(v) for v in row) for row in zip(*columns)), key=repr)
 
 
-def test_every_query_has_reference_sql():
-    assert entry.queries().keys() == entry.oracle_sql().keys()
+def test_survey_queries_have_reference_sql():
+    assert QUERIES.keys() == ORACLE.keys()
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
-    got = canonical(entry.queries()[name](spark, str(SF)).toArrow())
-    want = canonical(duck.sql(entry.oracle_sql()[name]).to_arrow_table())
+    got = canonical(QUERIES[name](spark, str(SF)).toArrow())
+    want = canonical(duck.sql(ORACLE[name]).to_arrow_table())
     assert got == want
     assert want[1], "an empty result checks nothing"
 

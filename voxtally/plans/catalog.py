@@ -62,7 +62,7 @@ def responses(spark: SparkSession, folder: str) -> DataFrame:
     return spread(docs, "response_id")
 
 
-STOP = L.english_stop_words()
+STOP = L.ENGLISH_STOP_WORDS
 
 
 def cleaned(spark: SparkSession, folder: str) -> DataFrame:

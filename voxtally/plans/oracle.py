@@ -41,7 +41,7 @@ def rint(x: str, digits: int = 2) -> str:
 
 
 def build() -> dict[str, str]:
-    stop = lst(L.english_stop_words())
+    stop = lst(L.ENGLISH_STOP_WORDS)
     generic = tup(L.GENERIC_WORDS)
     docs = ("docs AS (SELECT doc_id AS response_id, text AS response_text, lang AS question_text, "
             "source AS sheet_name FROM documents)")

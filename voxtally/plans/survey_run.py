@@ -128,7 +128,7 @@ def run(spark: SparkSession, data_folder: str, output_folder: str | None = None,
     The enriched responses are written once to the shared folder, since every
     later step reads them.
     """
-    stop = list(settings.stop_words if settings.stop_words is not None else L.english_stop_words())
+    stop = list(settings.stop_words if settings.stop_words is not None else L.ENGLISH_STOP_WORDS)
     vocab, vocab_path = vocabulary.find_vocabulary(spark, data_folder, settings.vocabulary_file)
     skip = [vocab_path.rsplit("/", 1)[-1]] if vocab_path else []
     responses = stage(enrich(ingest(spark, data_folder, skip), settings, vocab, stop))
