@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
 from .language import fold, identify_language, learn_dictionaries
+from .near_dedup import near_dedup
 from .packing import pack
 from .preference import conversations, format_pairs, swapped_replies
 from .url_filter import TWO_LABEL_SUFFIXES, filter_urls
@@ -22,6 +23,10 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def op1_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup(read(spark, folder, "documents"), shingle=3, percent=85)
+
+
 def op4_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
@@ -68,6 +73,7 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_near_dedup": op1_near_dedup,
     "op4_decontaminate": op4_decontaminate,
     "op5_preference_pairs": op5_preference_pairs,
     "op6_exact_dedup": op6_exact_dedup,
