@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 
 from voxtally.llm.decontaminate import decontaminate
 from voxtally.llm.language import identify_language, learn_dictionaries
+from voxtally.llm.line_dedup import line_dedup
+from voxtally.llm.near_dedup import near_dedup
 from voxtally.llm.packing import pack
+from voxtally.llm.text import SPACED_WORD
 from voxtally.session import stage
 
 
@@ -27,6 +30,18 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return judged.filter(~F.col("_rejected")).select(*docs.columns)
 
 
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Remove repeated lines; a document that loses all its words goes too."""
+    kept = line_dedup(docs).filter((F.col("n_dropped") == 0) | F.col("text").rlike(SPACED_WORD))
+    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group: five-word shingles, similarity 0.8 or more."""
+    found = near_dedup(docs, shingle=5, percent=80)
+    return keep_ids(docs, stage(found.filter("kept").select("doc_id")))
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents with an occurrence of a benchmark window."""
     found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -38,7 +53,8 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs)
 
 
-STAGES = [("language", language), ("decontamination", decontamination), ("packing", packing)]
+STAGES = [("language", language), ("lines", lines), ("near_duplicates", near_duplicates),
+          ("decontamination", decontamination), ("packing", packing)]
 
 # Compression and the optimal buckets have no SQL form; tests compare stages with brute force.
 ORACLE_SQL = None

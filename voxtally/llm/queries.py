@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
 from .language import fold, identify_language, learn_dictionaries
+from .line_dedup import line_dedup
 from .near_dedup import near_dedup
 from .packing import pack
 from .preference import conversations, format_pairs, swapped_replies
@@ -64,6 +65,11 @@ def op8_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return filter_urls(read(spark, folder, "pages"), page_outcomes(spark, folder), URL_RULES)
 
 
+def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """The kept lines of every document and how many went."""
+    return line_dedup(read(spark, folder, "documents").select("doc_id", "text"))
+
+
 def op10_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents").select("doc_id", "text", "lang")
     held_out = fold(F.col("doc_id")) == 2
@@ -79,6 +85,7 @@ QUERIES = {
     "op6_exact_dedup": op6_exact_dedup,
     "op7_packing": op7_packing,
     "op8_url_filter": op8_url_filter,
+    "op9_line_dedup": op9_line_dedup,
     "op10_language": op10_language,
 }
 
