@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import string
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +15,8 @@ from .line_dedup import line_dedup
 from .near_dedup import near_dedup
 from .packing import pack
 from .preference import conversations, format_pairs, swapped_replies
+from .token_counts import token_counts
+from .token_files import token_files
 from .url_filter import TWO_LABEL_SUFFIXES, filter_urls
 
 URL_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"),
@@ -28,6 +31,16 @@ def op1_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup(read(spark, folder, "documents"), shingle=3, percent=85)
 
 
+def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of every line of every document."""
+    return token_counts(read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
+                        public_tokenizers.PATTERN)
+
+
+def op3_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    return token_files(read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op4_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
@@ -80,6 +93,8 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
+    "op2_token_counts": op2_token_counts,
+    "op3_token_files": op3_token_files,
     "op4_decontaminate": op4_decontaminate,
     "op5_preference_pairs": op5_preference_pairs,
     "op6_exact_dedup": op6_exact_dedup,
