@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from ..session import stage
 from .text import ascii_lower, whole
 
-# Word characters of a text whose A-Z are not lower-cased yet.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+# Word characters are ASCII letters and digits and all beyond ASCII. The others
+# are listed one by one: the JVM tests a list by one bit, ranges one by one.
+WORD = "[^" + "".join(f"\\x{c:02x}" for c in range(128) if not chr(c).isalnum()) + "]+"
 
 
 def words_of(text: Column) -> Column:
