@@ -68,14 +68,15 @@ def prior_strength(counts: DataFrame, n: str = "n", k: str = "k") -> Column:
     ``counts``, clipped to 1..1000.
     """
     total, good = F.sum(n), F.sum(k)
-    p = good / total
+    p = F.try_divide(good, total)
     noise = p * (1 - p)
-    spread = F.sum(F.col(k) * F.col(k) / F.col(n)) - good * p
-    between = ((spread - noise * (F.count(n) - 1))
-               / (total - F.sum(F.col(n) * F.col(n)) / total))
-    rho = between / noise
+    spread = F.sum(F.try_divide(F.col(k) * F.col(k), F.col(n))) - good * p
+    between = F.try_divide(spread - noise * (F.count(n) - 1),
+                           total - F.try_divide(F.sum(F.col(n) * F.col(n)), total))
+    rho = F.try_divide(between, noise)
+    # without a spread to measure, units are taken to be alike
     return F.least(F.lit(1000.0), F.greatest(F.lit(1.0), F.coalesce(
-        F.when(rho <= 0, 1000.0).otherwise(1 / rho - 1), F.lit(1000.0))))
+        F.when(rho <= 0, 1000.0).otherwise(F.try_divide(F.lit(1.0), rho) - 1), F.lit(1000.0))))
 
 
 def host_reputation(pages: DataFrame, outcomes: DataFrame, page_id: str = "page_id",
