@@ -14,7 +14,7 @@ import pyarrow as pa
 import zstandard
 
 U64 = np.uint64
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SPACES = np.zeros(256, dtype=bool)
 _SPACES[[0x20, *range(0x09, 0x0E)]] = True

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from ..session import stage
 from .graph import components
 from .hashing import U64, mix, pack_text, shingle_sets, unpack_text
+from .text import bound_batches
 
 LEVEL = U64(56)                    # a slot's value: permutation rank above, random part below
 EMPTY = U64(0xFFFFFFFFFFFFFFFF)
@@ -251,6 +252,7 @@ def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int
     bands with probability ``(1 - s^rows)^bands``, 2e-5 at 0.8 and 8e-7 at
     0.85 with the defaults. All others are compared exactly (``links_between``).
     """
+    bound_batches(docs.sparkSession)
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     drawn = stage(sketches(source, shingle, bands, rows))
     nodes = stage(drawn.filter(F.col("set_id").isNotNull() & F.col("doc_id").isNotNull())

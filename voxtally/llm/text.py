@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import string
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 SPACE = r"\x20\x09-\x0D"                    # ASCII white space, inside [...]
@@ -19,3 +19,10 @@ def whole(text: Column) -> Column:
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z, every other character as it is."""
     return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
+
+
+def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand whole texts to Python at most ``rows`` at a time, since each may be long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
