@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..session import stage
 from .hashing import U64, mix, pack_text, powers, text_bytes, unpack_text, word_hashes
-from .text import SPACED_WORD
+from .text import SPACED_WORD, bound_batches
 
 NEWLINE = 0x0A
 # Kinds of keys: exact line, first and last half for both kinds of edit, variants.
@@ -70,25 +70,29 @@ class Lines:
                 keys.append(mix(self.run(a, b) + tag))
         return np.stack(keys, axis=1)
 
-    def variants(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def variants(self, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Line index, key and role of every entry of the deletion-neighbourhood join.
 
         Role 0: the line without its word ``i``, together with ``i``; lines
         with one key differ in that word only. Role 1: the line without a
         word; role 2: the line itself; a 1 and a 2 with one key differ by one
-        inserted word.
+        inserted word. Bit ``k`` of ``shared`` tells that another line has the
+        k-th of the line's ``halves``: an edit then lies outside that half.
         """
         line = np.repeat(np.arange(len(self.size)), self.size)
         i = np.arange(len(line)) - np.repeat(np.cumsum(self.size) - self.size, self.size)
-        a, n = self.first[line], self.size[line]
+        a, n, bits = self.first[line], self.size[line], shared[line]
         raw = self.run(a, a + i) + self.run(a + i + 1, a + n) * self.up[i]
         shorter = (n - 1).astype(U64)
         alike = mix(raw + mix(shorter + _KINDS[3]) + mix(i.astype(U64) + _KINDS[4]))
         deleted = mix(raw + mix(shorter + _KINDS[5]))
         own = mix(self.run(self.first, self.first + self.size) + mix(self.size.astype(U64) + _KINDS[5]))
-        lines = np.concatenate([line, line, np.arange(len(self.size))])
-        roles = np.repeat(np.array([0, 1, 2], np.int32), [len(line), len(line), len(own)])
-        return lines, np.concatenate([alike, deleted, own]), roles
+        same, less = n // 2, (n - 1) // 2
+        one = ((bits & 1 > 0) & (i >= same)) | ((bits & 2 > 0) & (i < n - same))
+        two = ((bits & 4 > 0) & (i >= less)) | ((bits & 8 > 0) & (i < n - less))
+        lines = np.concatenate([line[one], line[two], np.arange(len(self.size))])
+        roles = np.repeat(np.array([0, 1, 2], np.int32), [one.sum(), two.sum(), len(own)])
+        return lines, np.concatenate([alike[one], deleted[two], own]), roles
 
 
 def within_one_edit(one: Column, other: Column) -> Column:
@@ -129,15 +133,15 @@ def _line_names(docs: DataFrame, least: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(work, schema)
 
 
-def _chosen_lines(column: pa.Array, numbers: pa.Array) -> tuple[list[int], list[int], list[str]]:
-    """Of each text the lines with the listed numbers: row, number, line."""
-    rows, found, lines = [], [], []
+def _chosen_lines(column: pa.Array, numbers: pa.Array) -> tuple[list[int], list[int], list[int], list[str]]:
+    """Of each text the lines with the listed numbers: row, number, shared halves, line."""
+    rows, found, bits, lines = [], [], [], []
     for row, (text, wanted) in enumerate(zip(column.to_pylist(), numbers.to_pylist())):
         cut = (text or "").split("\n")
-        for number in wanted:
-            if number < len(cut):      # rows with one id may differ in length
-                rows.append(row), found.append(number), lines.append(cut[number])
-    return rows, found, lines
+        for w in wanted:
+            if w["number"] < len(cut):      # rows with one id may differ in length
+                rows.append(row), found.append(w["number"]), bits.append(w["shared"]), lines.append(cut[w["number"]])
+    return rows, found, bits, lines
 
 
 def _variants(picked: DataFrame, least: int) -> DataFrame:
@@ -149,9 +153,10 @@ def _variants(picked: DataFrame, least: int) -> DataFrame:
         for big in batches:
             for at in range(0, len(big), 256):
                 batch = big.slice(at, 256)
-                rows, numbers, lines = _chosen_lines(unpack_text(batch.column(1)), batch.column(2))
-                column = pa.array(lines, pa.string())
-                line, key, role = Lines(column, least).variants()
+                rows, numbers, bits, lines = _chosen_lines(unpack_text(batch.column(1)), batch.column(2))
+                cut = Lines(pa.array(lines, pa.string()), least)
+                line, key, role = cut.variants(np.array(bits, dtype=np.int64)[cut.doc])
+                line = cut.doc[line]
                 # the text goes along once, with the line's own entry
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(rows, pa.int64()).take(pa.array(line))),
@@ -184,14 +189,16 @@ def repeated_lines(docs: DataFrame, least: int = 8) -> DataFrame:
     classes = stage(named.groupBy("high", "low")
                     .agg(F.min(F.struct(place.alias("place"), "k0", "k1", "k2", "k3")).alias("f"))
                     .select("high", "f.place.doc_id", "f.place.number", "f.k0", "f.k1", "f.k2", "f.k3"))
-    keys = F.explode(F.array("k0", "k1", "k2", "k3"))
-    shared = (classes.select("high", keys.alias("key")).groupBy("key")
+    keys = F.array("k0", "k1", "k2", "k3")
+    shared = (classes.select("high", F.explode(keys).alias("key")).groupBy("key")
               .agg(F.min("high").alias("lo"), F.max("high").alias("hi")).filter("lo <> hi").select("key"))
-    near = stage(classes.select("doc_id", "number", keys.alias("key")).join(shared, "key", "left_semi")
-                 .select("doc_id", "number").distinct())
-    wanted = near.groupBy("doc_id").agg(F.collect_list("number").alias("numbers"))
+    near = stage(classes.select("doc_id", "number", F.posexplode(keys).alias("kind", "key")).join(shared, "key", "left_semi")
+                 .groupBy("doc_id", "number").agg(F.bit_or(F.expr("shiftleft(1, kind)")).alias("shared")))
+    wanted = near.groupBy("doc_id").agg(F.collect_list(F.struct("number", "shared")).alias("numbers"))
     packed = _packed(docs).withColumnRenamed("doc_id", "_id")
-    picked = packed.join(wanted, F.col("_id").eqNullSafe(F.col("doc_id"))).select("doc_id", "packed", "numbers")
+    # the list grows with the corpus: merged at every size, never broadcast
+    picked = (packed.join(wanted.hint("merge"), F.col("_id").eqNullSafe(F.col("doc_id")))
+              .select("doc_id", "packed", "numbers"))
     found = stage(_variants(picked, least).withColumn("place", place).withColumn("alike", F.col("role") == 0)
                   .select("key", "alike", "role", "place", "line"))
     groups = stage(found.groupBy("key", "alike")
@@ -230,6 +237,7 @@ def line_dedup(docs: DataFrame, least: int = 8, doc_id: str = "doc_id", text: st
     are verified on their words. Each line is compared with the first of its
     key only, so a common line costs one pair for each variant of it.
     """
+    bound_batches(docs.sparkSession)
     added = ("n_lines", "n_dropped")
     keep = [c for c in docs.columns if c not in added]
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
@@ -237,7 +245,8 @@ def line_dedup(docs: DataFrame, least: int = 8, doc_id: str = "doc_id", text: st
              .agg(F.collect_list("number").alias("_stays")))
     at, body = keep.index(doc_id), keep.index(text)
     schema = docs.select(*keep).schema
-    packed_schema = T.StructType([T.StructField("_packed", T.BinaryType()) if i == body else f
+    # numbered on the way, so that no name of the table can clash
+    packed_schema = T.StructType([T.StructField(f"c{i}", T.BinaryType() if i == body else f.dataType)
                                   for i, f in enumerate(schema.fields)])
 
     def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,7 +279,7 @@ def line_dedup(docs: DataFrame, least: int = 8, doc_id: str = "doc_id", text: st
                     [*keep, *added])
 
     packed = docs.select(*keep).mapInArrow(shrink, packed_schema)
-    joined = packed.join(stays, packed[packed_schema.names[at]].eqNullSafe(F.col("_id")), "left").drop("_id")
+    joined = packed.join(stays, F.col(f"c{at}").eqNullSafe(F.col("_id")), "left").drop("_id")
     result = T.StructType([*schema.fields, T.StructField("n_lines", T.IntegerType()),
                            T.StructField("n_dropped", T.IntegerType())])
     return joined.mapInArrow(rebuild, result)
