@@ -236,3 +236,27 @@ def test_reports(spark):
     assert reports.filter_responses(df, keyword="b").count() == 2
     ranked = reports.questions_by_sentiment(summary.question_stats(df))
     assert rows(ranked.select("question_id", "rank"), "question_id") == [(1, 1), (2, 1)]
+
+
+def test_tables_with_repeats_nulls_and_case(spark, monkeypatch):
+    """Short tables are inlined and long ones joined: the rows are the same."""
+    df = spark.createDataFrame([(1, "Q cats", "cats DOGS geese"), (2, "Q", "good bad Good"), (3, None, None)],
+                               "response_id long, question_text string, response_text string")
+    lemmas = spark.createDataFrame([("cats", "cat"), ("cats", "katze"), ("dogs", None), (None, "x"), ("geese", "goose")],
+                                   "word string, lemma string")
+    words = spark.createDataFrame([(0, None), (1, " Cats "), (2, "cats"), (3, ""), (4, "GEESE"), (5, "\u00a0dogs")],
+                                  "pos long, keyword string")
+    lexicon = spark.createDataFrame([("good", 2.0), ("good", 1.0), ("bad", -3.0), (None, 1.0), ("cats", None)],
+                                    "term string, valence double")
+
+    def run():
+        cleaned = rows(cleaning.preprocess(df, ["q"], lemmas), "response_id")
+        found = rows(matching.with_matches(df, words, "response_text", "m", spelled=True), "response_id")
+        scored = rows(sentiment.add_lexicon_sentiment(df, lexicon, "response_text"), "response_id")
+        return cleaned, found, scored
+
+    inline = run()
+    for module in (cleaning, matching, sentiment):
+        monkeypatch.setattr(module, "bounded_rows", lambda *_: None)
+    assert run() == inline
+    assert inline[0][0][2] == "cat dogs goose" and inline[1][0][3] == [" Cats ", "GEESE", "\u00a0dogs"]

@@ -34,7 +34,7 @@ def folder(tmp_path):
 
 
 def test_csv_scan(spark, folder):
-    cells = csv_folder.scan_csv_long(spark, folder, exclude=["keywords.csv"])
+    cells = csv_folder.scan_csv_long(spark, folder, exclude=[f"file:{folder}/keywords.csv"])
     got = [tuple(r) for r in cells.orderBy(*csv_folder.POSITION).select(
         "source_file", "sheet_name", "question_text", "response_text").collect()]
     assert got == [
@@ -113,10 +113,37 @@ def test_whole_run(spark, folder, tmp_path_factory):
     assert sorted(map(str, again.responses.collect())) == sorted(map(str, responses))
 
 
+def test_only_the_vocabulary_itself_is_skipped(spark, tmp_path):
+    (tmp_path / "other").mkdir()
+    (tmp_path / "in").mkdir()
+    put(tmp_path / "other" / "x.csv", [["data, work", "c"]])
+    put(tmp_path / "in" / "x.csv", [["Q"], ["from x"]])
+    put(tmp_path / "in" / "y.csv", [["Q"], ["from y"]])
+    (tmp_path / "in" / "bad.xlsx").write_bytes(b"broken")
+    settings = survey_run.Settings(vocabulary_file=str(tmp_path / "other" / "x.csv"))
+    result = survey_run.run(spark, str(tmp_path / "in"), settings=settings)
+    assert sorted(r["source_file"] for r in result.responses.collect()) == ["x.csv", "y.csv"]
+    assert sorted(f.rsplit("/", 1)[-1] for f, _ in result.failed) == ["bad.xlsx"]
+    put(tmp_path / "in" / "keywords.csv", [["Q"], ["data"]])
+    for skip, files in ((True, ["x.csv", "y.csv"]), (False, ["keywords.csv", "x.csv", "y.csv"])):
+        result = survey_run.run(spark, str(tmp_path / "in"), settings=survey_run.Settings(skip_vocabulary=skip))
+        assert sorted(r["source_file"] for r in result.responses.collect()) == files
+
+
+def test_more_topics_than_can_be_inlined(spark, folder, monkeypatch):
+    few = survey_run.run(spark, folder, settings=survey_run.Settings(topics_file=f"{folder}/d.xlsx"))
+    want = {(c, r["row_no"], int(r[c])) for r in few.topics.collect() for c in few.topics.columns
+            if c != "row_no" and r[c]}
+    monkeypatch.setattr(vocabulary, "bounded_rows", lambda df: None)
+    many = survey_run.run(spark, folder, settings=survey_run.Settings(topics_file=f"{folder}/d.xlsx"))
+    assert many.topic_names is None and {tuple(r) for r in many.topics.select("topic", "row_no", "response_id").collect()} == want
+    assert sorted(map(str, many.responses.collect())) == sorted(map(str, few.responses.collect()))
+
+
 def test_similarity_in_run(spark, folder):
     def load():
         return lambda texts: np.array([[1.0, 0.0] if "data" in t.lower() else [0.0, 1.0] for t in texts])
-    long = survey_run.ingest(spark, folder, ["keywords.csv"])
+    long = survey_run.ingest(spark, folder, [f"file:{folder}/keywords.csv"])
     vocab = spark.createDataFrame([(1, "Data", "data", None)], vocabulary.VOCABULARY_SCHEMA)
     settings = survey_run.Settings(encoder=load)
     df = survey_run.enrich(long, settings, vocab, ["the"])

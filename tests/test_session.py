@@ -1,3 +1,4 @@
+import os
 from types import SimpleNamespace
 
 import pytest
@@ -33,13 +34,36 @@ def test_stage_is_written_once(spark):
 
 
 def test_write_falls_back(spark, tmp_path, monkeypatch):
+    (tmp_path / "out").write_text("a file in the way")
     plain, calls = DataFrameWriter.csv, []
 
     def csv(self, path, *args, **kwargs):
         calls.append(path)
-        return plain(self, "unknown-scheme://x" if len(calls) == 1 else path, *args, **kwargs)
+        return plain(self, path if len(calls) == 1 else f"{tmp_path}/beside", *args, **kwargs)
 
     monkeypatch.setattr(DataFrameWriter, "csv", csv)
-    path = write_csv(spark.range(3), str(tmp_path), "t.csv")
-    assert path != calls[0] and path == calls[1]
-    assert spark.read.option("header", True).csv(path).count() == 3
+    path = write_csv(spark.range(3), f"{tmp_path}/out", "t.csv")
+    assert len(calls) == 2 and path == calls[1] != calls[0]
+    assert spark.read.option("header", True).csv(f"{tmp_path}/beside").count() == 3
+
+
+def test_a_failing_query_is_not_run_again(spark, tmp_path, monkeypatch):
+    plain, calls = DataFrameWriter.csv, []
+
+    def csv(self, path, *args, **kwargs):
+        calls.append(path)
+        return plain(self, path, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "csv", csv)
+    with pytest.raises(Exception):
+        write_csv(spark.range(3).select(F.raise_error(F.lit("no"))), str(tmp_path), "t.csv")
+    assert len(calls) == 1
+
+
+def test_scratch_is_removed(spark):
+    with session.scratch(spark):
+        path = session.stage(spark.range(5)).inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+        assert os.path.isdir(path)
+    assert not os.path.exists(path)
+    outside = session.stage(spark.range(5))
+    assert outside.count() == 5

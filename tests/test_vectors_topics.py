@@ -19,8 +19,6 @@ def items(spark):
 @pytest.mark.parametrize("cells", [vectors.MATRIX_CELLS, 0])
 def test_best_match(spark, monkeypatch, cells):
     monkeypatch.setattr(vectors, "MATRIX_CELLS", cells)
-    monkeypatch.setattr(vectors, "BLOCK_ROWS", 1)
-    monkeypatch.setattr(vectors, "SHARD_ROWS", 2)
     got = {r["id"]: (round(r["similarity"], 4), r["closest"])
            for r in vectors.best_match(items(spark), "id", "vec", vocab(spark)).collect()}
     assert got[2] == (1.0, "y") and got[3] == (0.0, "") and got[1][1] == "x" and got[4][1] == "x"
@@ -35,8 +33,6 @@ def test_blocked_equals_broadcast(spark, monkeypatch):
         return sorted((r[0], round(r[1], 9), r[2]) for r in vectors.best_match(left, "id", "vec", right).collect())
     direct = run()
     monkeypatch.setattr(vectors, "MATRIX_CELLS", 1)
-    monkeypatch.setattr(vectors, "BLOCK_ROWS", 7)
-    monkeypatch.setattr(vectors, "SHARD_ROWS", 11)
     assert run() == direct and len(direct) == 60
 
 
@@ -50,14 +46,30 @@ def test_similar(spark):
 def test_mean_vectors(spark):
     words = spark.createDataFrame([("a", [3.0, 0.0]), ("b", [0.0, 3.0])], "word string, vec array<float>")
     df = spark.createDataFrame([("A b",), ("zz",), ("a a q",)], "t string")
-    got = {r["t"]: r["vec"] for r in vectors.mean_vectors(df, "t", "t", words, 2).collect()}
+    got = {r["t"]: r["vec"] for r in vectors.mean_vectors(df, "t", "t", words).collect()}
     assert got["zz"] is None
     assert got["A b"] == pytest.approx([math.sqrt(0.5)] * 2, abs=1e-6)
     assert got["a a q"] == pytest.approx([1.0, 0.0], abs=1e-6)
-    zero = {r["t"]: r["vec"] for r in vectors.mean_vectors(df, "t", "t", words, 2, missing_as_zero=True).collect()}
+    zero = {r["t"]: r["vec"] for r in vectors.mean_vectors(df, "t", "t", words, missing_as_zero=True).collect()}
     assert zero["zz"] == [0.0, 0.0]
 
 
+def test_vectors_are_not_cut(spark):
+    words = spark.createDataFrame([("a", [0.0] * 149 + [2.0])], "word string, vec array<float>")
+    df = spark.createDataFrame([("a a",)], "t string")
+    assert vectors.mean_vectors(df, "t", "t", words).first()["vec"] == pytest.approx([0.0] * 149 + [1.0])
+    mixed = words.union(spark.createDataFrame([("b", [1.0])], "word string, vec array<float>"))
+    with pytest.raises(ValueError):
+        vectors.mean_vectors(df, "t", "t", mixed)
+
+
+def test_blocks_move_no_vectors(spark, monkeypatch, capsys):
+    monkeypatch.setattr(vectors, "MATRIX_CELLS", 2)
+    vectors.best_match(items(spark), "id", "vec", vocab(spark)).explain()
+    exchanges = [line for line in capsys.readouterr().out.splitlines() if "Exchange" in line]
+    assert len(exchanges) == 1 and "hashpartitioning(id" in exchanges[0]
+
+
 def test_embed(spark):
     def load():
         return lambda texts: np.array([[len(t), 1.0] for t in texts])

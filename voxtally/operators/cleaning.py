@@ -13,12 +13,22 @@ from ..session import INLINE_LIMIT, bounded_rows
 from .reshape import quoted, text_columns
 
 
+def one_value(table: DataFrame, word: str, value: str) -> DataFrame:
+    """``(word, value)`` with each word once: of several values the smallest; NULLs go.
+
+    Applied before a table's size is looked at, so that short and long tables
+    follow the same rule.
+    """
+    return (table.filter(F.col(word).isNotNull() & F.col(value).isNotNull())
+            .groupBy(F.col(word).alias("word")).agg(F.min(value).alias("value")))
+
+
 def lemma_dict(lemmas: DataFrame | None) -> dict[str, str] | None:
     """A ``(word, lemma)`` table as a dictionary if short enough to inline, else None."""
     if lemmas is None:
         return {}
-    rows = bounded_rows(lemmas.select("word", "lemma"), INLINE_LIMIT)
-    return None if rows is None else {r["word"]: r["lemma"] for r in rows}
+    rows = bounded_rows(one_value(lemmas, "word", "lemma"), INLINE_LIMIT)
+    return None if rows is None else {r["word"]: r["value"] for r in rows}
 
 
 def with_entries(df: DataFrame, tokens: Column, table: DataFrame, key: str, out: str) -> DataFrame:
@@ -36,8 +46,7 @@ def with_entries(df: DataFrame, tokens: Column, table: DataFrame, key: str, out:
 def lemmatise_joined(df: DataFrame, tokens: Column, lemmas: DataFrame, key: str,
                      out: str) -> DataFrame:
     """Lemmatise a token array through a table of any size."""
-    table = lemmas.select("word", F.col("lemma").alias("value"))
-    return with_entries(df, tokens, table, key, "_lemma").withColumn(out, F.transform(
+    return with_entries(df, tokens, one_value(lemmas, "word", "lemma"), key, "_lemma").withColumn(out, F.transform(
         tokens, lambda t: F.coalesce(F.try_element_at("_lemma", t), t))).drop("_lemma")
 
 
@@ -65,12 +74,14 @@ def _keep_raw(df: DataFrame) -> DataFrame:
 
 def _preprocess_joined(df: DataFrame, stop: Sequence[str], lemmas: DataFrame,
                        key: str) -> DataFrame:
-    out = _keep_raw(df)
-    for name in ("question_text", "response_text"):
-        tokens = drop_words(clean_tokens(F.col(name)), stop)
-        out = lemmatise_joined(out, tokens, lemmas, key, "_lemmas").withColumn(
-            name, F.array_join("_lemmas", " ")).drop("_lemmas")
-    return out.withColumn("word_count", word_count(F.col("response_text")))
+    """Both columns at once: one explode, one join with the table, one join back."""
+    tokens = {name: drop_words(clean_tokens(F.col(name)), stop) for name in ("question_text", "response_text")}
+    table = one_value(lemmas, "word", "lemma")
+    named = with_entries(_keep_raw(df), F.concat(*tokens.values()), table, key, "_lemma")
+    return named.withColumns({name: F.array_join(F.transform(
+        words, lambda t: F.coalesce(F.try_element_at("_lemma", t), t)), " ")
+        for name, words in tokens.items()}).drop("_lemma").withColumn(
+            "word_count", word_count(F.col("response_text")))
 
 
 def preprocess_columns(df: DataFrame, stop: Sequence[str], lemmas: dict[str, str] | None = None,

@@ -23,20 +23,32 @@ ANCHOR_RUNS = 7
 Keywords = Sequence[str] | DataFrame   # a list, or a table (pos, keyword)
 
 
-def inline_keywords(keywords: Keywords) -> dict[str, str] | None:
+def named_keywords(df: DataFrame, keywords: Keywords) -> DataFrame:
+    """``(keyword, pos, spelling)``: trimmed and lower-cased, blanks and NULLs gone,
+    of equal ones the first.
+
+    Applied before the size is looked at, so that short and long lists follow
+    the same rule.
+    """
+    if not isinstance(keywords, DataFrame):
+        keywords = small_table(df.sparkSession, list(enumerate(keywords)), pos=pa.int64(), keyword=pa.string())
+    named = keywords.select("pos", F.col("keyword").alias("spelling"), strip(F.lower("keyword")).alias("keyword"))
+    return named.filter("keyword <> ''").groupBy("keyword").agg(
+        F.min("pos").alias("pos"), F.min_by("spelling", "pos").alias("spelling"))
+
+
+def inline_keywords(df: DataFrame, keywords: Keywords) -> dict[str, str] | None:
     """Normalised keyword -> first spelling, in list order, if short enough to
     inline, else None."""
-    if isinstance(keywords, DataFrame):
-        rows = bounded_rows(keywords.select("pos", "keyword"))
-        if rows is None:
-            return None
-        keywords = [r["keyword"] for r in sorted(rows, key=lambda r: r["pos"])]
-    elif len(keywords) > INLINE_LIMIT:
-        return None
-    spelling: dict[str, str] = {}
-    for keyword in keywords:
-        spelling.setdefault(keyword.strip().lower(), keyword)
-    return {norm: spelling[norm] for norm in normalise_keywords(list(spelling))}
+    if not isinstance(keywords, DataFrame) and len(keywords) <= INLINE_LIMIT and all(
+            k is not None and k.isascii() for k in keywords):
+        # plain words need no job: both ways of trimming and lower-casing agree
+        spelling: dict[str, str] = {}
+        for keyword in keywords:
+            spelling.setdefault(keyword.strip().lower(), keyword)
+        return {norm: spelling[norm] for norm in normalise_keywords(list(spelling))}
+    rows = bounded_rows(named_keywords(df, keywords), INLINE_LIMIT)
+    return None if rows is None else {r["keyword"]: r["spelling"] for r in sorted(rows, key=lambda r: r["pos"])}
 
 
 def _inline_matches(text: str, listed: dict[str, str], spelled: bool) -> Column:
@@ -45,12 +57,6 @@ def _inline_matches(text: str, listed: dict[str, str], spelled: bool) -> Column:
     return replace_words(found, changed) if spelled else found
 
 
-def _keyword_table(df: DataFrame, keywords: Keywords) -> DataFrame:
-    if isinstance(keywords, DataFrame):
-        return keywords
-    return small_table(df.sparkSession, list(enumerate(keywords)), pos=pa.int64(), keyword=pa.string())
-
-
 def _pattern(span: str) -> Column:
     """Whole-word regular expression of a keyword column."""
     word, other = rf"[{WORD}]", rf"[^{WORD}]"
@@ -60,7 +66,7 @@ def _pattern(span: str) -> Column:
         F.when(F.col(span).rlike(f"{word}$"), f"($|{other})").otherwise(word))
 
 
-def matches_joined(df: DataFrame, keywords: DataFrame, text: str, key: str) -> DataFrame:
+def matches_joined(df: DataFrame, keywords: Keywords, text: str, key: str) -> DataFrame:
     """``(key, pos, keyword, spelling)`` per match, by a join with the keyword table.
 
     A keyword is joined on its first ANCHOR_RUNS runs (four words), which is all
@@ -69,16 +75,12 @@ def matches_joined(df: DataFrame, keywords: DataFrame, text: str, key: str) -> D
     """
     runs = F.regexp_extract_all(F.col("keyword"), F.lit(RUN), F.lit(0))
     word = rf"^[{WORD}]"
-    named = keywords.select("pos", F.col("keyword").alias("spelling"),
-                            strip(F.lower("keyword")).alias("keyword")).filter("keyword <> ''")
-    table = stage(named.groupBy("keyword").agg(F.min("pos").alias("pos"),
-                                               F.min_by("spelling", "pos").alias("spelling"))
-                  .withColumns({
-                      "long": F.size(runs) > ANCHOR_RUNS,
-                      "size": F.least(F.size(runs), F.lit(ANCHOR_RUNS)),
-                      "span": F.array_join(F.slice(runs, 1, ANCHOR_RUNS), ""),
-                      "need_lead": ~F.col("keyword").rlike(word),
-                      "need_trail": ~F.reverse("keyword").rlike(word)}))
+    table = stage(named_keywords(df, keywords).withColumns({
+        "long": F.size(runs) > ANCHOR_RUNS,
+        "size": F.least(F.size(runs), F.lit(ANCHOR_RUNS)),
+        "span": F.array_join(F.slice(runs, 1, ANCHOR_RUNS), ""),
+        "need_lead": ~F.col("keyword").rlike(word),
+        "need_trail": ~F.reverse("keyword").rlike(word)}))
     # sizes present: at most ANCHOR_RUNS rows
     found = table.groupBy("size").agg(F.bool_or("long").alias("long")).orderBy("size").collect()
     heads = bounded_rows(table.select(F.get(F.regexp_extract_all(
@@ -104,9 +106,9 @@ def matches(df: DataFrame, keywords: Keywords, text: str, key: str,
             spelled: bool = False) -> DataFrame:
     """``(key, keyword)`` per keyword standing whole-word in the text, lower-cased
     or as ``spelled`` in the list."""
-    listed = inline_keywords(keywords)
+    listed = inline_keywords(df, keywords)
     if listed is None:
-        found = matches_joined(df, _keyword_table(df, keywords), text, key)
+        found = matches_joined(df, keywords, text, key)
         return found.select(key, F.col("spelling" if spelled else "keyword").alias("keyword"))
     return explode_rows(df, [key], _inline_matches(text, listed, spelled), "keyword")
 
@@ -114,10 +116,10 @@ def matches(df: DataFrame, keywords: Keywords, text: str, key: str,
 def with_matches(df: DataFrame, keywords: Keywords, text: str, out: str,
                  key: str = "response_id", spelled: bool = False) -> DataFrame:
     """Add the matching keywords of each row, in list order, as an array."""
-    listed = inline_keywords(keywords)
+    listed = inline_keywords(df, keywords)
     if listed is not None:
         return df.withColumn(out, _inline_matches(text, listed, spelled))
-    found = matches_joined(df, _keyword_table(df, keywords), text, key)
+    found = matches_joined(df, keywords, text, key)
     name = F.col("spelling" if spelled else "keyword")
     packed = found.groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct("pos", name.alias("name")))).alias("_m"))
@@ -136,9 +138,9 @@ def document_frequency(df: DataFrame, keywords: Keywords, text: str, key: str) -
 
     A text yields each keyword once, so a count with map-side combine is enough.
     """
-    listed = inline_keywords(keywords)
+    listed = inline_keywords(df, keywords)
     if listed is None:
-        return matches_joined(df, _keyword_table(df, keywords), text, key).groupBy(
+        return matches_joined(df, keywords, text, key).groupBy(
             "keyword", "pos").agg(F.count("*").alias("doc_freq")).select("keyword", "doc_freq", "pos")
     counts = df.select(F.explode_outer(_inline_matches(text, listed, False)).alias("keyword")).filter(
         F.col("keyword").isNotNull()).groupBy("keyword").agg(F.count("*").alias("doc_freq"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -11,7 +12,7 @@ from ..functions import wordlists as L
 from ..functions.arrays import let
 from ..functions.text import as_text, lookup, space_tokens
 from ..session import bounded_rows
-from .cleaning import with_entries
+from .cleaning import one_value, with_entries
 
 
 def label_of(score: Column) -> Column:
@@ -45,12 +46,8 @@ def add_wordset_sentiment(df: DataFrame, text: str = "response_text_original",
 def lexicon_tokens(text: Column) -> Column:
     """White-space tokens without outer ASCII punctuation, unless that leaves
     two characters or fewer (which keeps emoticons)."""
-    punct = r"!-/:-@\[-`{-~"
-    def bare(t: Column) -> Column:
-        return F.regexp_replace(F.regexp_replace(t, rf"^[{punct}]+", ""), rf"[{punct}]+$", "")
-
     return F.transform(space_tokens(as_text(text)), lambda t: let(
-        bare(t), lambda b: F.when(F.length(b) > 2, b).otherwise(t)))
+        F.btrim(t, F.lit(string.punctuation)), lambda b: F.when(F.length(b) > 2, b).otherwise(t)))
 
 
 def _is_upper(w: Column) -> Column:
@@ -190,13 +187,13 @@ def add_lexicon_sentiment(df: DataFrame, lexicon: DataFrame | dict[str, float],
     """
     known = lexicon
     if isinstance(lexicon, DataFrame):
-        rows = bounded_rows(lexicon.select("term", "valence"))
-        known = None if rows is None else {r["term"]: float(r["valence"]) for r in rows}
+        table = one_value(lexicon.withColumn("valence", F.col("valence").cast("double")), "term", "valence")
+        rows = bounded_rows(table)
+        known = None if rows is None else {r["word"]: r["value"] for r in rows}
     if known is not None:
         score = compound_score(F.col(text), lambda w: lookup(w, known).cast("double"), **rules)
         df = df.withColumn("sentiment_score", score)
     else:
-        table = lexicon.select(F.col("term").alias("word"), F.col("valence").cast("double").alias("value"))
         words = F.transform(lexicon_tokens(F.col(text)), F.lower)
         joined = with_entries(df, words, table, key, "_lex")
         score = compound_score(F.col(text), lambda w: F.try_element_at("_lex", w), **rules)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.arrays import explode_rows, let
+from ..functions.arrays import explode_rows, let, tally
 from ..functions.text import WORD, as_text, is_blank
 from ..functions.wordlists import GENERIC_WORDS
 from ..session import stage
@@ -22,6 +22,7 @@ MAX_TEXT_SHARE = 0.30
 MIN_TERM_CHARS = 5
 TERMS_PER_TOPIC = 3
 FIRST_TEST = 60        # candidates tested in the first pass over the texts
+TEST_LIMIT = 960       # and at most in any later pass
 
 
 def terms(text: Column, stop: Sequence[str]) -> Column:
@@ -38,32 +39,36 @@ def usable(df: DataFrame, text: str) -> DataFrame:
     return df.filter(F.col(text).isNotNull() & ~is_blank(F.col(text)))
 
 
-def document_terms(df: DataFrame, n: int, text: str, key: str, stop: Sequence[str],
-                   min_docs: int = MIN_DOCS, max_share: float = MAX_DOC_SHARE) -> DataFrame:
+def postings(df: DataFrame, text: str, key: str, stop: Sequence[str]) -> DataFrame:
+    """``(key, term, tf)``, each term of a document once.
+
+    Counted inside the row, so repeats are never shuffled. Written once:
+    document frequencies and weights are both read from it.
+    """
+    counted = F.transform(tally(terms(F.col(text), stop)),
+                          lambda t: F.struct(t["item"].alias("term"), t["n"].cast("int").alias("tf")))
+    return stage(explode_rows(df, [key], counted, "_t").select(key, "_t.term", "_t.tf"))
+
+
+def document_terms(posted: DataFrame, n: int, min_docs: int = MIN_DOCS,
+                   max_share: float = MAX_DOC_SHARE) -> DataFrame:
     """``(term, df, idf)`` of the terms in enough but not too many of the n documents.
 
-    Each document sends a term once, combined map-side. Written once: it is used
-    to prune, to weight and as a join side of known size.
+    Written once: it is used to prune, to weight and as a join side of known size.
     """
-    per_term = explode_rows(df, [key], F.array_distinct(terms(F.col(text), stop)), "term").groupBy(
-        "term").agg(F.count("*").alias("df"))
+    per_term = posted.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log((1.0 + F.lit(n)) / (1.0 + F.col("df"))) + 1.0
     return stage(per_term.filter((F.col("df") >= min_docs) & (F.col("df") <= max_share * n))
                  .select("term", "df", idf.alias("idf")))
 
 
-def weights(df: DataFrame, vocabulary: DataFrame, text: str, key: str,
-            stop: Sequence[str]) -> DataFrame:
+def weights(posted: DataFrame, vocabulary: DataFrame, key: str) -> DataFrame:
     """``(key, term, tf, weight)``: tf * idf scaled to length 1 per document.
 
-    Terms outside the vocabulary go first: it is broadcast while small, otherwise
-    the sort-merge join splits frequent terms (AQE). One exchange by document
-    then serves both the counts and the norm.
+    The vocabulary is broadcast while small, otherwise the sort-merge join
+    splits frequent terms (AQE). One exchange by document serves the norm.
     """
-    kept = explode_rows(df, [key], terms(F.col(text), stop), "term").join(
-        vocabulary.select("term", "idf"), "term").repartition(F.col(key))
-    counted = kept.groupBy(key, "term", "idf").agg(F.count("*").cast("int").alias("tf"))
-    raw = counted.withColumn("_w", F.col("tf") * F.col("idf"))
+    raw = posted.join(vocabulary.select("term", "idf"), "term").withColumn("_w", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(W.partitionBy(key)))
     return raw.select(key, "term", "tf", (F.col("_w") / norm).alias("weight"))
 
@@ -72,8 +77,8 @@ def tfidf(df: DataFrame, text: str, key: str, stop: Sequence[str], min_docs: int
           max_share: float = MAX_DOC_SHARE) -> DataFrame:
     """TF-IDF weights of all documents as a long table."""
     valid = usable(df, text)
-    vocabulary = document_terms(valid, valid.count(), text, key, stop, min_docs, max_share)
-    return weights(valid, vocabulary, text, key, stop)
+    posted = postings(valid, text, key, stop)
+    return weights(posted, document_terms(posted, valid.count(), min_docs, max_share), key)
 
 
 def inferred_topics(df: DataFrame, text: str, key: str, stop: Sequence[str], num_topics: int = 5,
@@ -83,19 +88,20 @@ def inferred_topics(df: DataFrame, text: str, key: str, stop: Sequence[str], num
     """The best ``3 * num_topics`` terms by summed weight, at most that many names.
 
     A term must not occur as a substring in more than 30 % of the texts. Only
-    the best candidates are tested, all in one pass over the texts, and twice
-    as many again until enough pass, so the result is the same as testing all.
+    the best candidates are tested, a bounded number in each pass over the
+    texts, until enough pass, so the result is the same as testing all.
     """
     wanted = num_topics * TERMS_PER_TOPIC
     valid = usable(df, text)
     n = valid.count()
     if n < 2 or max_share * n < min_docs:
         return []
-    vocabulary = document_terms(valid, n, text, key, stop, min_docs, max_share)
+    posted = postings(valid, text, key, stop)
+    vocabulary = document_terms(posted, n, min_docs, max_share)
     limit = max_text_share * n
     blocked = [w for w in {*stop, *excluded} if len(w) >= MIN_TERM_CHARS]
     scored = stage(
-        weights(valid, vocabulary, text, key, stop).groupBy("term")
+        weights(posted, vocabulary, key).groupBy("term")
         .agg(F.round(F.sum("weight"), 6).alias("score"))
         .filter((F.length("term") >= MIN_TERM_CHARS) & ~F.col("term").isin(blocked)
                 & ~F.replace("term", F.lit(" "), F.lit("")).rlike(r"^\p{Nd}+$"))
@@ -112,7 +118,8 @@ def inferred_topics(df: DataFrame, text: str, key: str, stop: Sequence[str], num
             chosen += _not_too_common(valid, text, found, limit)
         if len(found) < batch:
             break
-        tested, batch = tested + batch, tested + batch
+        # passes grow to TEST_LIMIT candidates, which bounds what is collected and inlined
+        tested, batch = tested + batch, min(2 * batch, max(batch, TEST_LIMIT))
     return chosen[:wanted]
 
 
@@ -161,13 +168,18 @@ def topic_counts(assigned: DataFrame) -> DataFrame:
     return assigned.groupBy("topic").agg(F.count("*").alias("responses"))
 
 
-def topic_matrix(assigned: DataFrame, topics: Sequence[str], key: str) -> DataFrame:
-    """One column per matched topic, response ids packed from the top, "" below.
+def topic_rows(assigned: DataFrame, key: str) -> DataFrame:
+    """``(topic, row_no, key)``: the topic table as long rows, for any number of topics.
 
     Rows are numbered within a topic by a range sort, so a topic that holds most
     responses is still spread over tasks.
     """
-    ranked = dense_index(assigned.select("topic", key), key, out="row_no", within="topic")
+    return dense_index(assigned.select("topic", key), key, out="row_no", within="topic")
+
+
+def topic_matrix(assigned: DataFrame, topics: Sequence[str], key: str) -> DataFrame:
+    """One column per matched topic, response ids packed from the top, "" below."""
+    ranked = topic_rows(assigned, key)
     present = {r["topic"] for r in ranked.select("topic").distinct().collect()}
     names = [t for t in topics if t in present]
     if not names:

@@ -7,6 +7,7 @@ Vectors come as ``array<float>`` columns: precomputed, from word vectors
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -14,16 +15,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import explode_rows
+from ..functions.arrays import explode_rows, tally
 from ..functions.text import as_text, space_tokens
 from ..functions.wordlists import SIMILARITY_THRESHOLD
 from ..session import bounded_rows, stage
+from .ids import dense_index
 
-# Size up to which a vocabulary is broadcast as one matrix: 64 MB.
+# Size up to which a vocabulary is broadcast as one matrix: 64 MB. A larger one
+# is broadcast in blocks of that size, one after the other.
 MATRIX_CELLS = 8_000_000
 MATRIX_ROWS = 20_000
-BLOCK_ROWS = 2_000     # vocabulary rows per block beyond that
-SHARD_ROWS = 20_000    # vectors per group beyond that
 
 
 def normalise(vec: Column) -> Column:
@@ -47,23 +48,39 @@ def embed(df: DataFrame, text: str, out: str,
     return df.withColumn(out, encode(F.col(text)))
 
 
-def mean_by(df: DataFrame, key: str, vec: str, dim: int, out: str) -> DataFrame:
+def vector_size(df: DataFrame, vec: str) -> int:
+    """The common length of a vector column, 0 without vectors; differing lengths are an error."""
+    size = F.size(F.col(vec))
+    least, most = df.filter(F.col(vec).isNotNull()).agg(F.min(size), F.max(size)).first()
+    if least != most:
+        raise ValueError(f"{vec} holds vectors of {least} to {most} numbers")
+    return least or 0
+
+
+def mean_by(df: DataFrame, key: str, vec: str, dim: int, out: str, weight: str | None = None) -> DataFrame:
     """Mean vector per key: one average per dimension, combined map-side, so a
-    key with very many vectors moves one row per task."""
+    key with very many vectors moves one row per task. ``weight`` names a count."""
     items = F.col(vec)
-    means = df.groupBy(key).agg(*[F.avg(items[i].cast("double")).alias(f"_d{i}") for i in range(dim)])
-    return means.select(key, F.array(*[f"_d{i}" for i in range(dim)]).alias(out))
+    w = F.lit(1) if weight is None else F.col(weight)
+    total = F.sum(F.when(items.isNotNull(), w))
+    means = df.groupBy(key).agg(total.alias("_n"), *[
+        F.sum(items[i].cast("double") * w).alias(f"_d{i}") for i in range(dim)])
+    return means.select(key, F.array(*[F.col(f"_d{i}") / F.col("_n") for i in range(dim)]).alias(out))
 
 
-def mean_vectors(df: DataFrame, text: str, key: str, word_vectors: DataFrame, dim: int,
+def mean_vectors(df: DataFrame, text: str, key: str, word_vectors: DataFrame,
                  out: str = "vec", missing_as_zero: bool = False) -> DataFrame:
     """``(key, vec)``: normalised mean of the word vectors of each text.
 
-    Words without a vector are skipped; a text without any gives NULL, or a
-    zero vector for batch use.
+    The vectors' own length is kept whole. A word is joined once per text, with
+    its count. Words without a vector are skipped; a text without any gives
+    NULL, or a zero vector for batch use.
     """
-    words = explode_rows(df, [key], space_tokens(F.lower(as_text(F.col(text)))), "word")
-    means = mean_by(words.join(word_vectors.select("word", "vec"), "word"), key, "vec", dim, "_mean")
+    dim = vector_size(word_vectors, "vec")
+    counted = F.transform(tally(space_tokens(F.lower(as_text(F.col(text))))),
+                          lambda t: F.struct(t["item"].alias("word"), t["n"].alias("n")))
+    words = explode_rows(df, [key], counted, "_w").select(key, "_w.word", "_w.n")
+    means = mean_by(words.join(word_vectors.select("word", "vec"), "word"), key, "vec", dim, "_mean", "n")
     vec = normalise(F.col("_mean"))
     if missing_as_zero:
         vec = F.coalesce(vec, F.array_repeat(F.lit(0.0), dim))
@@ -84,8 +101,8 @@ def best_match(df: DataFrame, key: str, vec: str, vocabulary: DataFrame) -> Data
 
     ``vocabulary`` has ``pos, keyword, vec``; the lowest ``pos`` wins ties. A
     vocabulary of up to 64 MB is broadcast as one matrix and every Arrow batch is
-    one product, with no shuffle. A larger one is cut into blocks. Vectors that
-    are NULL give similarity 0 and an empty keyword.
+    one product, with no shuffle. A larger one is cut into blocks of that size.
+    Vectors that are NULL give similarity 0 and an empty keyword.
     """
     vectors = df.select(key, F.col(vec).alias("vec"))
     rows = bounded_rows(vocabulary.select("pos", "keyword", "vec"), MATRIX_ROWS)
@@ -97,13 +114,15 @@ def best_match(df: DataFrame, key: str, vec: str, vocabulary: DataFrame) -> Data
     return _best_broadcast(vectors, key, rows)
 
 
-def _best_broadcast(df: DataFrame, key: str, rows: list) -> DataFrame:
+def _scorer(df: DataFrame, key: str, rows: list) -> DataFrame:
+    """``(key, similarity, pos, closest)`` by one broadcast matrix; pos is -1 for a NULL vector."""
     rows = sorted(rows, key=lambda r: r["pos"])
     matrix = _unit(np.array([r["vec"] for r in rows], dtype=np.float64))
-    shared = df.sparkSession.sparkContext.broadcast((matrix, [r["keyword"] for r in rows]))
+    shared = df.sparkSession.sparkContext.broadcast(
+        (matrix, [r["keyword"] for r in rows], [r["pos"] for r in rows]))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, names = shared.value
+        vocab, names, places = shared.value
         for batch in batches:
             vecs = batch.column("vec")
             filled = np.asarray(vecs.is_valid())
@@ -114,48 +133,32 @@ def _best_broadcast(df: DataFrame, key: str, rows: list) -> DataFrame:
                 similarity[filled] = sims.max(axis=1)
             yield pa.RecordBatch.from_arrays([
                 batch.column(key), pa.array(similarity),
+                pa.array([places[i] if i >= 0 else -1 for i in closest], pa.int64()),
                 pa.array([names[i] if i >= 0 else "" for i in closest], pa.string())],
-                names=[key, "similarity", "closest"])
+                names=[key, "similarity", "pos", "closest"])
 
-    return df.mapInArrow(score, f"{key} {dict(df.dtypes)[key]}, similarity double, closest string")
+    return df.mapInArrow(score, f"{key} {dict(df.dtypes)[key]}, similarity double, pos long, closest string")
+
+
+def _best_broadcast(df: DataFrame, key: str, rows: list) -> DataFrame:
+    return _scorer(df, key, rows).drop("pos")
 
 
 def _best_blocked(df: DataFrame, key: str, vocabulary: DataFrame) -> DataFrame:
-    """Blocks of vocabulary meet shards of vectors; each pair fits in memory.
+    """Every vocabulary block is broadcast in turn; the vectors stay where they are.
 
-    Every (shard, block) pair is one co-group of bounded size and gives the best
-    entry of that block; the best over blocks is an aggregate with map-side
-    combine.
+    Each block gives one small row per vector, and the best over the blocks is
+    an aggregate with map-side combine, so no vector is ever shuffled.
     """
-    blocks = -(-vocabulary.count() // BLOCK_ROWS)
-    shards = max(1, -(-df.count() // SHARD_ROWS))
-    block_ids, shard_ids = F.sequence(F.lit(0), F.lit(blocks - 1)), F.sequence(F.lit(0), F.lit(shards - 1))
-    left = df.filter("vec is not null").withColumn(
-        "_shard", F.pmod(F.xxhash64(key), F.lit(shards)).cast("int")).withColumn(
-        "_block", F.explode(block_ids))
-    right = vocabulary.select(
-        F.col("pos").cast("long").alias("pos"), "keyword", "vec",
-        F.pmod(F.xxhash64("pos"), F.lit(blocks)).cast("int").alias("_block")).withColumn(
-        "_shard", F.explode(shard_ids))
-    key_type = dict(df.dtypes)[key]
-
-    def score(vectors: pa.Table, vocab: pa.Table) -> pa.Table:
-        if not vectors.num_rows or not vocab.num_rows:
-            return pa.table({key: vectors.column(key).slice(0, 0), "sim": pa.array([], pa.float64()),
-                             "pos": pa.array([], pa.int64()), "closest": pa.array([], pa.string())})
-        vocab = vocab.sort_by("pos")
-        sims = _unit(_matrix(vectors.column("vec"))) @ _unit(_matrix(vocab.column("vec"))).T
-        best = np.round(sims, 12).argmax(axis=1)
-        return pa.table({key: vectors.column(key), "sim": sims[np.arange(len(best)), best],
-                         "pos": vocab.column("pos").take(best), "closest": vocab.column("keyword").take(best)})
-
-    pairs = left.groupBy("_shard", "_block").cogroup(right.groupBy("_shard", "_block")).applyInArrow(
-        score, f"{key} {key_type}, sim double, pos long, closest string")
-    best = F.max_by(F.struct("sim", "closest"), F.struct(F.round("sim", 12), -F.col("pos")))
-    found = pairs.groupBy(key).agg(best.alias("_b")).select(
-        key, F.col("_b.sim").alias("similarity"), F.col("_b.closest").alias("closest"))
-    return found.unionByName(df.filter("vec is null").select(
-        key, F.lit(0.0).alias("similarity"), F.lit("").alias("closest")))
+    per_block = max(1, min(MATRIX_ROWS, MATRIX_CELLS // max(1, vector_size(vocabulary, "vec"))))
+    numbered = stage(dense_index(vocabulary, "pos", out="_rank").withColumn(
+        "_block", F.floor((F.col("_rank") - 1) / per_block)))
+    blocks = numbered.agg(F.max("_block")).first()[0] + 1
+    scored = [_scorer(df, key, numbered.filter(F.col("_block") == b).select("pos", "keyword", "vec").collect())
+              for b in range(blocks)]
+    best = F.max_by(F.struct("similarity", "closest"), F.struct(F.round("similarity", 12), -F.col("pos")))
+    return reduce(DataFrame.union, scored).groupBy(key).agg(best.alias("_b")).select(
+        key, F.col("_b.similarity").alias("similarity"), F.col("_b.closest").alias("closest"))
 
 
 def similar_to(df: DataFrame, key: str, vec: str, vocabulary: DataFrame,

@@ -381,13 +381,12 @@ def vector_mean_pool(spark, folder):
 
 @query
 def text_mean_vectors(spark, folder):
-    emb = table(spark, folder, "embeddings")
-    words = emb.select(F.concat(F.lit("w"), F.col("vec_id")).alias("word"), F.col("embedding").alias("vec"))
-    texts = table(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.array_sort(
-        F.collect_list(F.concat(F.lit("W"), F.col("l_partkey")))), " ").alias("t"))
-    means = vectors.mean_vectors(texts, "t", "l_orderkey", words, 64)
-    return means.select("l_orderkey", F.round(F.get("vec", F.lit(0)), 6).alias("x0"),
-                        F.round(F.get("vec", F.lit(63)), 6).alias("x63"))
+    """Benchmark words, numbered in order, take the vectors of those numbers."""
+    tokens = F.array_distinct(X.space_tokens(F.lower("text")))
+    named = ids.dense_index(explode_rows(table(spark, folder, "benchmark"), [], tokens, "word").distinct(), "word", out="n")
+    emb = table(spark, folder, "embeddings").select((F.col("vec_id") + 1).alias("n"), F.col("embedding").alias("vec"))
+    means = vectors.mean_vectors(table(spark, folder, "documents"), "text", "doc_id", named.join(emb, "n"))
+    return explode_rows(means, ["doc_id"], F.col("vec"), "x", "dim").withColumn("x", F.round("x", 6))
 
 
 @query

@@ -416,15 +416,13 @@ def build() -> dict[str, str]:
         FROM u"""
     out["vector_mean_pool"] = f"""WITH {centroid} SELECT 'label' || label AS keyword, dim,
         round(x, 6) AS x FROM cd"""
-    out["text_mean_vectors"] = """WITH w AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x,
-        unnest(range(len(embedding))) AS dim FROM embeddings),
-        m AS (SELECT l_orderkey, dim, avg(x) AS x FROM lineitem JOIN w ON l_partkey = vec_id
-            GROUP BY ALL),
-        u AS (SELECT l_orderkey, dim, x / (sqrt(sum(x * x) OVER (PARTITION BY l_orderkey)) + 1e-10)
-            AS x FROM m)
-        SELECT o.l_orderkey, round(max(x) FILTER (dim = 0), 6) AS x0,
-        round(max(x) FILTER (dim = 63), 6) AS x63
-        FROM (SELECT DISTINCT l_orderkey FROM lineitem) o LEFT JOIN u USING (l_orderkey) GROUP BY 1"""
+    out["text_mean_vectors"] = r"""WITH named AS (SELECT word, row_number() OVER (ORDER BY word) - 1 AS vec_id
+            FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\S+')) AS word FROM benchmark)),
+        w AS (SELECT word, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding)))::INTEGER AS dim
+            FROM named JOIN embeddings USING (vec_id)),
+        t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\S+')) AS word FROM documents),
+        m AS (SELECT doc_id, dim, avg(x) AS x FROM t JOIN w USING (word) GROUP BY ALL)
+        SELECT doc_id, dim, round(x / (sqrt(sum(x * x) OVER (PARTITION BY doc_id)) + 1e-10), 6) AS x FROM m"""
     out["best_match"] = f"""WITH {centroid} SELECT vec_id, round(sim, 4) AS similarity,
         'label' || label AS closest FROM best WHERE rn = 1"""
     out["similar_filter"] = f"""WITH {centroid} SELECT vec_id, round(sim, 4) AS similarity

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import lru_cache
 
 import pyarrow as pa
@@ -20,6 +22,8 @@ SPARK_ERRORS = (PySparkException, Py4JJavaError)
 # as literals. Longer lists stay tables and are joined.
 INLINE_LIMIT = 10_000
 
+_RUN: ContextVar[str] = ContextVar("run", default="")   # sub-folder of the current scratch
+
 
 def build_session(app: str = "voxtally", master: str | None = None,
                   shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
@@ -78,11 +82,28 @@ def stage(df: DataFrame) -> DataFrame:
     ``spark.sql.autoBroadcastJoinThreshold`` and sort-merges it otherwise.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{_RUN.get()}{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Staged tables made inside are deleted at the end: use their results before.
+
+    Without it they stay under ``<shared folder>/<application id>/``.
+    """
+    outer = _RUN.get()
+    _RUN.set(f"{outer}run-{uuid.uuid4().hex}/")
+    folder = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{_RUN.get()}"
+    try:
+        yield
+    finally:
+        _RUN.set(outer)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def bounded_rows(df: DataFrame, limit: int = INLINE_LIMIT) -> list | None:
     """All rows of ``df`` when there are at most ``limit`` of them, else None."""
     rows = df.limit(limit + 1).collect()

@@ -46,21 +46,23 @@ def header_names(cells: Sequence[str | None], ignore_case: bool = False) -> list
 
 def read_header(spark: SparkSession, path: str, multiline: bool = True) -> list[str]:
     row = _reader(spark, multiline).option("header", False).csv(path).first()
-    if row is None:
+    if not row:
         raise ValueError(f"no columns in {path}")
     return header_names(list(row))
 
 
-def files_by_header(spark: SparkSession, paths: Sequence[str],
-                    multiline: bool = True) -> dict[tuple[str, ...], list[str]]:
+def files_by_header(spark: SparkSession, paths: Sequence[str], multiline: bool = True,
+                    failed: list[tuple[str, str]] | None = None) -> dict[tuple[str, ...], list[str]]:
     """Group files with equal headers, so that each group is one scan. A file
-    without a readable header is reported and skipped."""
+    without a readable header is skipped, and added with its error to ``failed``."""
     groups: dict[tuple[str, ...], list[str]] = {}
     for path in paths:
         try:
             groups.setdefault(tuple(read_header(spark, path, multiline)), []).append(path)
         except (*SPARK_ERRORS, ValueError) as error:
             log.warning("skipped %s: %s", path, error)
+            if failed is not None:
+                failed.append((path, str(error)))
     return groups
 
 
@@ -76,18 +78,19 @@ def _scan(spark: SparkSession, width: int, paths: list[str], multiline: bool) ->
 
 
 def scan_csv_long(spark: SparkSession, folder: str, exclude: Sequence[str] = (),
-                  multiline: bool = True,
-                  null_tokens: Sequence[str] = NULL_TOKENS) -> DataFrame | None:
+                  multiline: bool = True, null_tokens: Sequence[str] = NULL_TOKENS,
+                  failed: list[tuple[str, str]] | None = None) -> DataFrame | None:
     """All non-blank cells of the CSV files in a folder, with their position.
 
     Answers are read as text. ``multiline`` allows line breaks inside quotes,
     which makes a file one task; turn it off to split large files. ``exclude``
-    names files that are not surveys. None when the folder holds no usable file.
+    holds the full paths of files that are not surveys, as Spark lists them.
+    Skipped files are added to ``failed``. None when the folder holds no usable
+    file.
     """
-    paths = [p for p in list_files(spark, folder, "csv")
-             if p.rsplit("/", 1)[-1] not in exclude]
+    paths = [p for p in list_files(spark, folder, "csv") if p not in exclude]
     tables = []
-    for header, group in files_by_header(spark, paths, multiline).items():
+    for header, group in files_by_header(spark, paths, multiline, failed).items():
         questions = {f"c{i}": name for i, name in enumerate(header) if not is_provenance(name)}
         if not questions:
             continue

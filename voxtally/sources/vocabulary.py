@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import SPACE, strip
 from ..operators.ids import dense_index
-from ..session import INLINE_LIMIT, SPARK_ERRORS, bounded_rows
+from ..session import SPARK_ERRORS, bounded_rows
 from .files import list_files
 from .workbook import column_values, read_cells
 
@@ -78,18 +78,15 @@ def provided_topics(spark: SparkSession, path: str | None, sheet: str = "keyword
         return empty_vocabulary(spark)
 
 
-def topic_names(topics: DataFrame) -> list[str]:
-    """Provided topics in order. Each becomes a column of the topic table, so
-    more than ``INLINE_LIMIT`` of them is an error."""
+def topic_names(topics: DataFrame) -> list[str] | None:
+    """Provided topics in order, None when there are too many to inline."""
     rows = bounded_rows(topics.select("pos", "keyword"))
-    if rows is None:
-        raise ValueError(f"more than {INLINE_LIMIT} provided topics")
-    return [r["keyword"] for r in sorted(rows, key=lambda r: r["pos"])]
+    return None if rows is None else [r["keyword"] for r in sorted(rows, key=lambda r: r["pos"])]
 
 
 def find_vocabulary(spark: SparkSession, folder: str,
                     path: str | None = None) -> tuple[DataFrame | None, str | None]:
-    """The vocabulary and the file it came from.
+    """The vocabulary and the full path of the file it came from.
 
     Looked for in order: the explicit path, ``keywords.csv`` in the folder, the
     first workbook with a ``keywords`` sheet.
@@ -98,8 +95,9 @@ def find_vocabulary(spark: SparkSession, folder: str,
         return vocabulary_from_csv(spark, p) if p.lower().endswith(".csv") \
             else vocabulary_from_workbook(spark, p)
 
-    if path is not None and _exists(spark, path):
-        return read(path), path
+    found = None if path is None else _resolve(spark, path)
+    if found is not None:
+        return read(found), found
     for candidate in list_files(spark, folder, "csv"):
         if candidate.rsplit("/", 1)[-1] == "keywords.csv":
             return read(candidate), candidate
@@ -111,8 +109,10 @@ def find_vocabulary(spark: SparkSession, folder: str,
     return None, None
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def _resolve(spark: SparkSession, path: str) -> str | None:
+    """The path as Spark lists it, None when it cannot be read."""
     try:
-        return not spark.read.format("binaryFile").load(path).select("path").isEmpty()
+        row = spark.read.format("binaryFile").load(path).select("path").first()
     except SPARK_ERRORS:
-        return False
+        return None
+    return None if row is None else row["path"]
