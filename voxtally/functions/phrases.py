@@ -13,7 +13,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .arrays import let, runs_of_equal, tally
-from .text import SPACE, WORD, as_text, clean_tokens, drop_words, strip, substring_count
+from .text import (SPACE, WORD, as_text, clean_tokens, drop_words, replace_words, strip,
+                   substring_count)
 
 PHRASES = "array<struct<score:double,phrase:string>>"
 BAG = "array<struct<keyword:string,count:int>>"
@@ -100,10 +101,10 @@ def top_phrases_simple(text: Column, stop: Sequence[str], k: int = 5) -> Column:
 
 
 def frequent_tokens(text: Column, stop: Sequence[str], excluded: Sequence[str],
-                    k: int = 5) -> Column:
+                    k: int = 5, lemmas: dict[str, str] | None = None) -> Column:
     """Keyword bag of the k most frequent cleaned tokens, ties by first occurrence."""
     excluded = list(excluded)
-    tokens = F.filter(drop_words(clean_tokens(text), stop),
+    tokens = F.filter(replace_words(drop_words(clean_tokens(text), stop), lemmas or {}),
                       lambda t: (F.length(t) > 2) & ~t.isin(excluded))
     ranked = F.sort_array(F.transform(tally(tokens), lambda x: F.struct(
         (-x["n"]).alias("n"), x["first"].alias("first"), x["item"].alias("item"))))

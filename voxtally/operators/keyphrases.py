@@ -54,6 +54,16 @@ def add_keywords(df: DataFrame, stop: Sequence[str], vocabulary: Keywords | None
         out, P.boost(bag, found)).drop("_found")
 
 
+def frequent_keywords(df: DataFrame, stop: Sequence[str], text: str = "response_text_original",
+                      key: str = "response_id", excluded: Sequence[str] = GENERIC_WORDS, k: int = 5,
+                      lemmas: dict[str, str] | None = None,
+                      similar: Callable[[DataFrame], DataFrame] | None = None,
+                      out: str = "keywords") -> DataFrame:
+    """Add a bag of the most frequent cleaned and lemmatised tokens, near the vocabulary."""
+    df = df.withColumn(out, P.frequent_tokens(F.col(text), stop, excluded, k, lemmas))
+    return df if similar is None else keep_similar(df, out, similar, key)
+
+
 def keep_similar(df: DataFrame, bag: str, similar: Callable[[DataFrame], DataFrame],
                  key: str) -> DataFrame:
     """Reduce each bag to the keywords that ``similar`` keeps.
@@ -83,4 +93,6 @@ def per_distinct_text(df: DataFrame, text: str, out: str,
     """
     distinct = df.select(F.col(text).alias("_t")).filter("_t is not null").distinct()
     results = distinct.withColumn(out, expression(F.col("_t")))
-    return df.join(results, F.col(text) == F.col("_t"), "left").drop("_t")
+    # a NULL text joins with nothing and gets what the expression gives for it
+    return df.join(results, F.col(text) == F.col("_t"), "left").drop("_t").withColumn(
+        out, F.coalesce(F.col(out), F.when(F.col(text).isNull(), expression(F.col(text)))))

@@ -91,17 +91,25 @@ def wide_union(tables: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
 
 
-def text_column_flags(df: DataFrame, exclude: Sequence[str] = NON_TEXT_COLUMNS) -> DataFrame:
-    """One row: per column, whether any value holds a letter A-Z. One pass for all."""
-    skip = {e.lower() for e in exclude}
-    names = [c for c in df.columns if c.lower() not in skip]
-    return df.agg(*[F.coalesce(F.bool_or(quoted(c).cast("string").rlike("[A-Za-z]")), F.lit(False))
-                    .alias(c) for c in names])
+def text_column_flags(df: DataFrame, exclude: Sequence[str] = NON_TEXT_COLUMNS, ignore_case: bool = True,
+                      nulls_are_text: bool = False) -> DataFrame:
+    """One row: per column, whether any value holds a letter A-Z. One pass for all.
+
+    Without ``ignore_case`` only columns named exactly as an excluded one are
+    left out. ``nulls_are_text`` reads a NULL cell as the word "nan", as tools
+    do that turn cells into text first; by default a NULL has no letter.
+    """
+    fold = str.lower if ignore_case else str
+    skip = {fold(e) for e in exclude}
+    names = [c for c in df.columns if fold(c) not in skip]
+    return df.agg(*[F.coalesce(F.bool_or(F.coalesce(quoted(c).cast("string").rlike("[A-Za-z]"), F.lit(nulls_are_text))),
+                               F.lit(False)).alias(c) for c in names])
 
 
-def text_columns(df: DataFrame, exclude: Sequence[str] = NON_TEXT_COLUMNS) -> list[str]:
+def text_columns(df: DataFrame, exclude: Sequence[str] = NON_TEXT_COLUMNS, ignore_case: bool = True,
+                 nulls_are_text: bool = False) -> list[str]:
     """Names of the text columns, in order (one aggregate job, one row back)."""
-    flags = text_column_flags(df, exclude)
+    flags = text_column_flags(df, exclude, ignore_case, nulls_are_text)
     row = flags.first()
     return [c for c, flag in zip(flags.columns, row) if flag]
 

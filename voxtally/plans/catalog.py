@@ -22,6 +22,7 @@ from ..operators import (cleaning, ids, keyphrases, matching, quality, reports,
                          summary, topics, vectors)
 from ..session import shared_dir, small_table, spread, stage
 from ..sources import csv_folder, vocabulary
+from ..sources.sink import write_csv
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -102,10 +103,19 @@ def scan_csv_long(spark, folder):
     return cells.groupBy("question_text", "response_text").agg(F.count("*").alias("n"))
 
 
+@query
+def csv_sink(spark, folder):
+    """Documents written as CSV and read back, line breaks and quotes included."""
+    out = f"{shared_dir(spark)}/sink-{uuid.uuid4().hex}"
+    path = write_csv(table(spark, folder, "documents").select("doc_id", "text", "lang"), out, "documents.csv")
+    return csv_folder.read_table(spark, path).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
+
+
 @query
 def unpivot_long(spark, folder):
     part = table(spark, folder, "part").select(
-        "p_partkey", "p_name", "p_brand", "p_type", F.lit(" ").alias("blank"),
+        "p_partkey", "p_name", "p_brand", "p_type", F.col("p_size").cast("string").alias("p_size"),
+        F.col("p_retailprice").cast("string").alias("p_retailprice"), F.lit(" ").alias("blank"),
         F.lit(None).cast("string").alias("empty"), F.lit("x").alias("Sheet  name"))
     return reshape.unpivot_long(part, ["p_partkey"])
 
@@ -149,6 +159,14 @@ def detect_text_columns(spark, folder):
     return reshape.text_column_flags(table(spark, folder, "part"))
 
 
+@query
+def detect_text_columns_exact(spark, folder):
+    """Excluded names by their exact case; NULL cells read as the word "nan"."""
+    docs = table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id", "left")
+    return reshape.text_column_flags(docs.withColumnRenamed("source", "timestamp"),
+                                     ("Timestamp", "lang", "sheet_name"), False, True)
+
+
 @query
 def combine_row_text(spark, folder):
     part = table(spark, folder, "part").withColumn(
@@ -305,6 +323,23 @@ def frequent_tokens_topk(spark, folder):
     return keyphrases.bag_rows(df, "bag", "response_id")
 
 
+@query
+def frequent_tokens_lemmas(spark, folder):
+    df = keyphrases.frequent_keywords(responses(spark, folder), STOP, "response_text", lemmas=LEMMAS)
+    return keyphrases.bag_rows(df, "keywords", "response_id")
+
+
+@query
+def frequent_tokens_similar(spark, folder):
+    """Bags reduced to the words whose vector lies near a label's mean vector."""
+    words, places = benchmark_vectors(spark, folder), stage(centroids(spark, folder))
+    df = keyphrases.frequent_keywords(
+        responses(spark, folder), STOP, "response_text",
+        similar=lambda found: vectors.similar_to(
+            vectors.mean_vectors(found, "keyword", "keyword", words), "keyword", "vec", places))
+    return keyphrases.bag_rows(df, "keywords", "response_id")
+
+
 @query
 def keyword_json_roundtrip(spark, folder):
     df = keyphrases.add_keywords(responses(spark, folder), STOP, text="response_text")
@@ -379,13 +414,17 @@ def vector_mean_pool(spark, folder):
         "keyword", F.posexplode("vec").alias("dim", "x")).withColumn("x", F.round("x", 6))
 
 
-@query
-def text_mean_vectors(spark, folder):
+def benchmark_vectors(spark, folder):
     """Benchmark words, numbered in order, take the vectors of those numbers."""
     tokens = F.array_distinct(X.space_tokens(F.lower("text")))
     named = ids.dense_index(explode_rows(table(spark, folder, "benchmark"), [], tokens, "word").distinct(), "word", out="n")
     emb = table(spark, folder, "embeddings").select((F.col("vec_id") + 1).alias("n"), F.col("embedding").alias("vec"))
-    means = vectors.mean_vectors(table(spark, folder, "documents"), "text", "doc_id", named.join(emb, "n"))
+    return stage(named.join(emb, "n").select("word", "vec"))
+
+
+@query
+def text_mean_vectors(spark, folder):
+    means = vectors.mean_vectors(table(spark, folder, "documents"), "text", "doc_id", benchmark_vectors(spark, folder))
     return explode_rows(means, ["doc_id"], F.col("vec"), "x", "dim").withColumn("x", F.round("x", 6))
 
 
@@ -535,14 +574,15 @@ def responses_with_features(spark, folder):
 def contract_input(spark, folder):
     """documents with the columns of the input contract; unlabelled ones have nulls."""
     labels = table(spark, folder, "labels")
-    docs = table(spark, folder, "documents").join(labels, "doc_id", "left")
+    times = table(spark, folder, "events").select(F.col("event_id").alias("doc_id"), "ts")
+    docs = table(spark, folder, "documents").join(labels, "doc_id", "left").join(times, "doc_id", "left")
     return docs.select(
         F.col("doc_id").alias("survey_id"), F.col("quality").cast("double").alias("question_id"),
         F.when(F.col("toxic").isNotNull(), F.col("lang")).alias("question_text"),
         F.col("doc_id").alias("response_id"),
         F.when(F.col("lang") != "fr", F.when(F.col("quality") == 0, " ").otherwise(F.col("text")))
         .alias("response_text"),
-        F.lit("2024-01-02 03:04:05").alias("Timestamp"),
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("Timestamp"),
         F.when(F.col("quality") == 1, F.col("source")).alias("survey_source"),
         F.when(F.col("toxic") == 0, F.col("source")).alias("email"))
 
@@ -579,6 +619,15 @@ def validate_report(spark, folder):
     return quality.validate(contract_input(spark, folder)).report
 
 
+@query
+def validate_failing(spark, folder):
+    """A column is missing, an id is text and half of the times are unreadable."""
+    bad = contract_input(spark, folder).drop("question_text").withColumns({
+        "question_id": F.concat(F.lit("q"), F.col("survey_id")),
+        "Timestamp": F.when(F.col("survey_id") % 2 == 0, F.lit("soon")).otherwise(F.lit("2024-01-02 03:04:05"))})
+    return quality.validate(bad).report
+
+
 # --- consumer queries -------------------------------------------------------------
 
 

@@ -327,7 +327,20 @@ def build() -> dict[str, str]:
         SELECT 'Your answer, please' AS question_text, {strip('text')} AS response_text FROM documents
         UNION ALL SELECT 'lang', {strip('lang')} FROM documents) WHERE response_text <> ''
         GROUP BY ALL"""
-    out["unpivot_long"] = f"WITH {long_part} SELECT p_partkey, col_pos, question_text, response_text FROM kept"
+    out["csv_sink"] = "SELECT doc_id, text, lang FROM documents"
+    out["unpivot_long"] = f"""WITH {long_part} SELECT p_partkey, col_pos, question_text, response_text FROM kept
+        UNION ALL SELECT p_partkey, 3, 'p_size', p_size::VARCHAR FROM part WHERE p_size IS NOT NULL
+        UNION ALL SELECT p_partkey, 4, 'p_retailprice', p_retailprice::VARCHAR FROM part WHERE p_retailprice IS NOT NULL"""
+    out["detect_text_columns_exact"] = """SELECT coalesce(bool_or(coalesce(regexp_matches(doc_id::VARCHAR, '[A-Za-z]'), TRUE)), FALSE) AS doc_id,
+        coalesce(bool_or(coalesce(regexp_matches(text, '[A-Za-z]'), TRUE)), FALSE) AS text,
+        coalesce(bool_or(coalesce(regexp_matches(source, '[A-Za-z]'), TRUE)), FALSE) AS timestamp,
+        coalesce(bool_or(coalesce(regexp_matches(n_chars::VARCHAR, '[A-Za-z]'), TRUE)), FALSE) AS n_chars,
+        coalesce(bool_or(coalesce(regexp_matches(quality::VARCHAR, '[A-Za-z]'), TRUE)), FALSE) AS quality,
+        coalesce(bool_or(coalesce(regexp_matches(toxic::VARCHAR, '[A-Za-z]'), TRUE)), FALSE) AS toxic
+        FROM documents LEFT JOIN labels USING (doc_id)"""
+    out["validate_failing"] = """SELECT 'required_column' AS "check", 'question_text' AS "column", 'error' AS severity, 1::BIGINT AS n
+        UNION ALL SELECT 'id_type', 'question_id', 'error', 1
+        UNION ALL SELECT 'timestamp', 'Timestamp', 'error', count(*) FROM documents WHERE doc_id % 2 = 0"""
     out["response_ids"] = f"""WITH {long_part} SELECT *,
         row_number() OVER (ORDER BY col_pos, p_partkey) AS response_id FROM kept"""
     out["first_seen_ids"] = """WITH f AS (SELECT p_name, row_number() OVER (ORDER BY min(p_partkey))
@@ -396,6 +409,20 @@ def build() -> dict[str, str]:
         c AS (SELECT response_id, t, count(*)::INTEGER AS count, min(i) AS f FROM tk GROUP BY ALL),
         r AS (SELECT *, row_number() OVER (PARTITION BY response_id ORDER BY count DESC, f) AS rn FROM c)
         SELECT response_id, (rn - 1)::INTEGER AS rank, t AS keyword, count FROM r WHERE rn <= 5"""
+    frequent = """tk AS (SELECT doc_id AS response_id, u.t, u.i FROM documents,
+            unnest({0}) WITH ORDINALITY AS u(t, i) WHERE length(u.t) > 2 AND u.t NOT IN {1}),
+        c AS (SELECT response_id, t, count(*)::INTEGER AS count, min(i) AS f FROM tk GROUP BY ALL),
+        r AS (SELECT *, row_number() OVER (PARTITION BY response_id ORDER BY count DESC, f) AS rn FROM c)"""
+    lemma_case = " ".join(f"WHEN t = {q(k)} THEN {q(v)}" for k, v in C.LEMMAS.items())
+    lemmatised = f"list_transform({kept_list('text')}, lambda t: CASE {lemma_case} ELSE t END)"
+    out["frequent_tokens_lemmas"] = f"""WITH {frequent.format(lemmatised, generic)}
+        SELECT response_id, (rn - 1)::INTEGER AS rank, t AS keyword, count FROM r WHERE rn <= 5"""
+    out["frequent_tokens_similar"] = f"""WITH {centroid}, {frequent.format(kept_list('text'), generic)},
+        named AS (SELECT word, row_number() OVER (ORDER BY word) - 1 AS vec_id
+            FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\\S+')) AS word FROM benchmark))
+        SELECT response_id, (row_number() OVER (PARTITION BY response_id ORDER BY r.rn) - 1)::INTEGER AS rank,
+        t AS keyword, count FROM r JOIN named ON t = word JOIN best USING (vec_id)
+        WHERE r.rn <= 5 AND best.rn = 1 AND sim >= {L.SIMILARITY_THRESHOLD}"""
     out["keyword_json_roundtrip"] = f"""WITH {docs}, {rake}, {topk},
         packed AS (SELECT response_id, list({{'keyword': keyword, 'count': count}} ORDER BY rank) AS b
             FROM bag GROUP BY response_id)
