@@ -155,3 +155,15 @@ def test_tally(spark):
     got = one(spark, ["b", "a", "b"], A.tally, "array<string>")
     assert [(r["item"], r["n"], r["first"]) for r in got] == [("a", 1, 1), ("b", 2, 0)]
     assert one(spark, [], A.tally, "array<string>") == []
+
+
+def test_marks_belong_to_their_letter(spark, monkeypatch):
+    from voxtally.operators import matching
+    df = spark.createDataFrame([(1, "\u0915\u093e\u092e"), (2, "\u0915 \u0915\u093e\u092e"), (3, "cafe\u0301")],
+                               "response_id int, t string")
+    words = ["\u0915", "\u0915\u093e\u092e", "cafe", "cafe\u0301"]
+    want = [["\u0915\u093e\u092e"], ["\u0915", "\u0915\u093e\u092e"], ["cafe\u0301"]]
+    run = lambda: [r["m"] for r in matching.with_matches(df, words, "t", "m").orderBy("response_id").collect()]
+    assert run() == want
+    monkeypatch.setattr(matching, "INLINE_LIMIT", 1)
+    assert run() == want

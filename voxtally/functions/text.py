@@ -13,8 +13,9 @@ from .arrays import distinct_sorted, let
 
 SPACE = r"\p{Z}\t-\r\x{1C}-\x{1F}\x{85}"   # Unicode white space, inside [...]
 WORD = r"\p{L}\p{N}_"                      # word characters, inside [...]
+MATCH_WORD = WORD + r"\p{M}"                 # of keyword matching: marks belong to their letter
 CLEAN_TOKEN = rf"[^\p{{P}}{SPACE}]+"
-RUN = rf"[{WORD}]+|[^{WORD}]+"
+RUN = rf"[{MATCH_WORD}]+|[^{MATCH_WORD}]+"
 
 
 def as_text(c: Column) -> Column:
@@ -106,7 +107,7 @@ def round_half_even(c: Column, digits: int = 2) -> Column:
 
 
 def _is_word(ch: str) -> bool:
-    return ch == "_" or unicodedata.category(ch)[0] in "LN"
+    return ch == "_" or unicodedata.category(ch)[0] in "LMN"
 
 
 def split_runs(keyword: str) -> list[str]:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import explode_rows
-from ..functions.text import (RUN, SPACE, WORD, matching_keywords, normalise_keywords,
+from ..functions.text import (MATCH_WORD, RUN, SPACE, matching_keywords, normalise_keywords,
                               replace_words, run_ngrams, strip)
 from ..session import INLINE_LIMIT, bounded_rows, small_table, stage
 
@@ -59,8 +59,8 @@ def _inline_matches(text: str, listed: dict[str, str], spelled: bool) -> Column:
 
 def _pattern(span: str) -> Column:
     """Whole-word regular expression of a keyword column."""
-    word, other = rf"[{WORD}]", rf"[^{WORD}]"
-    body = F.regexp_replace(span, rf"([^{WORD}{SPACE}])", r"\\$1")
+    word, other = rf"[{MATCH_WORD}]", rf"[^{MATCH_WORD}]"
+    body = F.regexp_replace(span, rf"([^{MATCH_WORD}{SPACE}])", r"\\$1")
     return F.concat(
         F.when(F.col(span).rlike(f"^{word}"), f"(^|{other})").otherwise(word), body,
         F.when(F.col(span).rlike(f"{word}$"), f"($|{other})").otherwise(word))
@@ -74,7 +74,7 @@ def matches_joined(df: DataFrame, keywords: Keywords, text: str, key: str) -> Da
     hold its anchor.
     """
     runs = F.regexp_extract_all(F.col("keyword"), F.lit(RUN), F.lit(0))
-    word = rf"^[{WORD}]"
+    word = rf"^[{MATCH_WORD}]"
     table = stage(named_keywords(df, keywords).withColumns({
         "long": F.size(runs) > ANCHOR_RUNS,
         "size": F.least(F.size(runs), F.lit(ANCHOR_RUNS)),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,7 @@ from .files import file_stem, list_files
 
 log = logging.getLogger(__name__)
 
+HEADERS_AT_ONCE = 16
 POSITION = ("source_file", "sheet_pos", "col_pos", "block", "row_pos")
 CELL_COLUMNS = ("question_text", "response_text", "sheet_name", *POSITION)
 
@@ -55,14 +57,22 @@ def files_by_header(spark: SparkSession, paths: Sequence[str], multiline: bool =
                     failed: list[tuple[str, str]] | None = None) -> dict[tuple[str, ...], list[str]]:
     """Group files with equal headers, so that each group is one scan. A file
     without a readable header is skipped, and added with its error to ``failed``."""
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for path in paths:
+    def header(path: str) -> tuple[str, ...] | Exception:
         try:
-            groups.setdefault(tuple(read_header(spark, path, multiline)), []).append(path)
+            return tuple(read_header(spark, path, multiline))
         except (*SPARK_ERRORS, ValueError) as error:
-            log.warning("skipped %s: %s", path, error)
-            if failed is not None:
-                failed.append((path, str(error)))
+            return error
+
+    groups: dict[tuple[str, ...], list[str]] = {}
+    # a header is one small job on a file's beginning; many run at a time
+    with ThreadPoolExecutor(HEADERS_AT_ONCE) as pool:
+        for path, found in zip(paths, pool.map(header, paths)):
+            if isinstance(found, Exception):
+                log.warning("skipped %s: %s", path, found)
+                if failed is not None:
+                    failed.append((path, str(found)))
+            else:
+                groups.setdefault(found, []).append(path)
     return groups
 
 
