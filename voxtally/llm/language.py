@@ -11,6 +11,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .text import bound_batches
+
 NOT_LETTERS = regex.compile(r"[^\p{L}]+")
 BLOCK = 2048          # bytes of a text that are encoded at once
 LEVEL = 6
@@ -23,17 +25,17 @@ def letters_only(text: str) -> str:
 
 def learn_dictionaries(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text",
                        lang: str = "lang", per_language: int = 200, piece: int = 600,
-                       most_languages: int = 1000) -> dict[str, bytes]:
+                       most_languages: int = 200) -> dict[str, bytes]:
     """Raw dictionary content of every language of a labelled table.
 
     The model is fitted on a bounded sample: about ``per_language`` rows of
-    each language, those with the smallest hash of their id, and ``piece``
+    each language, those with the smallest hash of id and text, and ``piece``
     characters from the beginning of each. Rows without text or language teach
     nothing. More than ``most_languages`` languages are an error.
     """
     rows = labelled.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(
         F.col(lang).alias("lang"), F.substring(F.col(text), 1, piece).alias("piece"),
-        (F.xxhash64(F.lit("sample"), F.col(doc_id).cast("string")) / 2.0 ** 64 + 0.5).alias("u"))
+        (F.xxhash64(F.lit("sample"), F.col(doc_id).cast("string"), F.col(text)) / 2.0 ** 64 + 0.5).alias("u"))
     counts = rows.groupBy("lang").count().limit(most_languages + 1).collect()
     if len(counts) > most_languages:
         raise ValueError(f"more than {most_languages} languages")
@@ -41,7 +43,8 @@ def learn_dictionaries(labelled: DataFrame, doc_id: str = "doc_id", text: str =
     for r in counts:
         share = F.when(F.col("lang") == r["lang"], 1.5 * per_language / r["count"]).otherwise(share)
     drawn: dict[str, list] = {r["lang"]: [] for r in counts}
-    for r in rows.filter(F.col("u") <= share).collect():
+    # copies share a hash, so their number is bounded too
+    for r in rows.filter(F.col("u") <= share).limit(4 * per_language * len(counts)).collect():
         drawn[r["lang"]].append((r["u"], r["piece"]))
     # the least hash goes last: the end of a dictionary is the cheapest to refer to
     return {k: "".join(letters_only(t) for _, t in sorted(v)[:per_language][::-1]).encode()
@@ -70,6 +73,7 @@ def identify_language(docs: DataFrame, dictionaries: dict[str, bytes], text: str
     is below ``min_margin``, one byte in 500. All columns of ``docs`` are
     kept; the new ones replace columns of the same name.
     """
+    bound_batches(docs.sparkSession)
     names = sorted(dictionaries)
     added = [f"{prefix}{c}" for c in ("lang_pred", "score", "rejected")]
     keep = [c for c in docs.columns if c not in added]
