@@ -51,7 +51,7 @@ def lexicon_tokens(text: Column) -> Column:
 
 
 def _is_upper(w: Column) -> Column:
-    return (F.upper(w) == w) & (F.lower(w) != w)
+    return (F.lower(w) != w) & (F.upper(w) == w)   # most words end at the first test
 
 
 def _emphasis(text: Column) -> Column:
@@ -136,7 +136,7 @@ def compound_score(text: Column, valence: Callable[[Column], Column],
 
     def score(s: Column) -> Column:
         words, low, vals = s["words"], s["low"], s["vals"]
-        upper = F.size(F.filter(words, _is_upper))
+        upper = F.size(F.filter(words, lambda w, i: (F.get(low, i) != w) & (F.upper(w) == w)))
         but = F.array_position(low, "but")
 
         def counts(i: Column) -> Column:
