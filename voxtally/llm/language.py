@@ -16,6 +16,8 @@ from .text import bound_batches
 NOT_LETTERS = regex.compile(r"[^\p{L}]+")
 BLOCK = 2048          # bytes of a text that are encoded at once
 LEVEL = 6
+# Goes before every block: very short blocks would otherwise be stored as they are.
+FILLER = b"0" * 64
 
 
 def letters_only(text: str) -> str:
@@ -55,13 +57,13 @@ def sizes_of(data: bytes, coders: list[zstandard.ZstdCompressor]) -> np.ndarray:
     """Compressed bytes of a whole text, block by block, under each dictionary."""
     total = np.zeros(len(coders), dtype=np.int64)
     for at in range(0, len(data), BLOCK):
-        block = data[at:at + BLOCK]
+        block = FILLER + data[at:at + BLOCK]
         total += [len(c.compress(block)) for c in coders]
     return total
 
 
 def identify_language(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text",
-                      min_margin: float = 0.002, prefix: str = "") -> DataFrame:
+                      min_margin: float = 0.002, min_bytes: int = 64, prefix: str = "") -> DataFrame:
     """Add ``lang_pred, score, rejected`` (with ``prefix``) to each row; whole texts are read.
 
     Texts are reduced to lower-cased words of letters and encoded block by block;
@@ -70,7 +72,8 @@ def identify_language(docs: DataFrame, dictionaries: dict[str, bytes], text: str
     second fewest, scaled so that a tenth saved is 1; with one language it is 1.
     A text that is NULL or has no letter is ``und`` with score 0, as is every
     text when no language was learned. ``rejected``: undetermined, or the saving
-    is below ``min_margin``, one byte in 500. All columns of ``docs`` are
+    is below ``min_margin``, one byte in 500, in a text of ``min_bytes`` or more;
+    a shorter one cannot show a margin and keeps its best guess. All columns of ``docs`` are
     kept; the new ones replace columns of the same name.
     """
     bound_batches(docs.sparkSession)
@@ -93,13 +96,14 @@ def identify_language(docs: DataFrame, dictionaries: dict[str, bytes], text: str
                 if not coders or words.isspace():
                     langs.append("und"), scores.append(0.0), rejected.append(True)
                     continue
-                size = sizes_of(words.encode(), coders)
+                data = words.encode()
+                size = sizes_of(data, coders)
                 best = int(size.argmin())
                 second = np.delete(size, best).min() if len(size) > 1 else None
                 saved = 1.0 if second is None else 1.0 - size[best] / second
                 langs.append(names[best])
                 scores.append(min(1.0, 10 * saved))
-                rejected.append(saved < min_margin)
+                rejected.append(saved < min_margin and len(data) >= min_bytes)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()),
                  pa.array(rejected, pa.bool_())], [*keep, *added])
