@@ -39,7 +39,9 @@ def test_undetermined_ties_and_columns(spark):
     assert got == sorted([(1, "und", True), (2, "und", True), (3, "und", True), (4, "aa", False), (4, "aa", False),
                           (None, "aa", False)], key=repr)
     same = L.identify_language(df, {"x": b"abc", "y": b"abc"}).filter("doc_id = 4").first()
-    assert (same.lang_pred, same.score, same.rejected) == ("x", 0.0, True)
+    assert (same.lang_pred, same.score, same.rejected) == ("x", 0.0, False)
+    long = L.identify_language(docs_table(spark, [(4, "ka lo mi " * 20)]), {"x": b"abc", "y": b"abc"}).first()
+    assert (long.lang_pred, long.score, long.rejected) == ("x", 0.0, True)
     assert {r.lang_pred for r in L.identify_language(df, {}).collect()} == {"und"}
     assert {r.lang_pred for r in L.identify_language(df, {"z": b"q"}).filter("doc_id = 4").collect()} == {"z"}
     assert L.identify_language(docs_table(spark, []), {"x": b"abc"}).collect() == []
