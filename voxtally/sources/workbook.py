@@ -163,12 +163,12 @@ def column_values(cells: DataFrame, sheet: str, col_pos: int = 0) -> DataFrame:
 def load_wide(spark: SparkSession, folder: str,
               exclude: Sequence[str] = SHEETS_TO_EXCLUDE) -> list[DataFrame]:
     """One wide table per workbook sheet with ``sheet_name`` first; sheets named
-    exactly as an excluded one are left out. Cells are decoded once."""
+    exactly as an excluded one are left out. Cells are decoded once and laid out
+    by sheet, so that a table reads its own only."""
     cells = scan_workbooks(spark, folder)
     if cells is None:
         return []
-    cells = stage(cells.filter("error is null"))
-    kept = exclude_sheets_exact(cells, names=exclude)
+    kept = stage(exclude_sheets_exact(cells.filter("error is null"), names=exclude), "source_file", "sheet_pos")
     where = ("source_file", "sheet_pos", "sheet_name")
     # headers only: as many rows as there are columns
     columns = kept.filter("row_pos > 0").select(*where, "col_pos", "header").distinct().orderBy(
