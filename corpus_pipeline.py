@@ -18,10 +18,14 @@ from voxtally.llm.text import SPACED_WORD
 from voxtally.session import stage
 
 
-def keep_ids(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows whose id is in the one-column table ``kept``; NULL is an id."""
-    ids = kept.select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi")
+def drop_ids(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The rows whose id is not in the table ``dropped``; NULL is an id.
+
+    The dropped ids are written first: they are broadcast while they are few,
+    and then no text moves.
+    """
+    gone = stage(dropped.select(F.col("doc_id").alias("_gone")).distinct())
+    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_gone")), "left_anti")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,13 +43,13 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group: five-word shingles, similarity 0.8 or more."""
     found = near_dedup(docs, shingle=5, percent=80)
-    return keep_ids(docs, stage(found.filter("kept").select("doc_id")))
+    return drop_ids(docs, found.filter("not kept"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents with an occurrence of a benchmark window."""
     found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return keep_ids(docs, stage(found.filter(~F.col("contaminated")).select("doc_id")))
+    return drop_ids(docs, found.filter("contaminated"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
