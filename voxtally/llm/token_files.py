@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,13 +25,50 @@ BLOCK = 1 << 20                    # ids of a block at least, except for a part'
 BATCH = 1 << 21                    # characters that are encoded at once
 
 
-def _encoder(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"      # Spark's tasks are the parallelism
-    from tokenizers import Tokenizer
+CACHE = 400_000                    # words whose ids a task remembers
+SPACE_RUN = re.compile(r"\s ")
 
-    coder = Tokenizer.from_file(path)
-    coder.encode_special_tokens = True                  # their strings in a text are ordinary text
-    return coder
+
+class Encoder:
+    """Ids of whole texts by the tokenizers library.
+
+    A tokenizer that cuts a text before it merges bytes, and always before a
+    single space, gives the same ids word by word as for the whole text. For
+    those each distinct word of a task is encoded once, up to ``CACHE`` at a
+    time; texts with a space after other white space, and all texts of other
+    tokenizers, are encoded whole.
+    """
+
+    def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"      # Spark's tasks are the parallelism
+        from tokenizers import Tokenizer
+
+        self.coder = Tokenizer.from_file(path)
+        self.coder.encode_special_tokens = True             # their strings in a text are ordinary text
+        plan = json.loads(self.coder.to_str())
+        cut = plan["pre_tokenizer"] or {}
+        self.by_word = (plan["normalizer"] is None and plan["post_processor"] is None
+                        and cut.get("type") == "ByteLevel" and cut["use_regex"] and not cut["add_prefix_space"]
+                        and all(t["special"] for t in plan["added_tokens"]))
+        self.known: dict[str, bytes] = {}
+
+    def _raw(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.coder.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as unsigned 32-bit integers."""
+        if not self.by_word:
+            return self._raw(texts)
+        cut = [None if SPACE_RUN.search(t) else t.replace(" ", "\0 ").split("\0") if "\0" not in t else None for t in texts]
+        whole = [i for i, words in enumerate(cut) if words is None]
+        found = dict(zip(whole, self._raw([texts[i] for i in whole])))
+        words = {w for part in cut if part is not None for w in part}
+        if len(self.known) + len(words) > CACHE:
+            self.known = {}
+        new = [w for w in words if w not in self.known]
+        self.known.update(zip(new, self._raw(new)))
+        known = self.known.__getitem__
+        return [found[i] if part is None else b"".join(map(known, part)) for i, part in enumerate(cut)]
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
@@ -70,7 +110,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int = 0,
         T.StructField("sizes", T.ArrayType(T.LongType())), T.StructField("payload", T.BinaryType())])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, part = _encoder(path), TaskContext.get().partitionId()
+        coder, part = Encoder(path), TaskContext.get().partitionId()
         block, before, held = 0, 0, 0
         docs_: list[pa.Scalar] = []
         runs: list[np.ndarray] = []
@@ -84,9 +124,9 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int = 0,
             return pa.RecordBatch.from_arrays(row, schema.names)
 
         for ids, texts in _texts(batches):
-            for doc, coded in zip(ids, coder.encode_batch_fast(texts, add_special_tokens=False)):
+            for doc, coded in zip(ids, coder.ids(texts)):
                 docs_.append(doc)
-                runs.append(np.array([*coded.ids, end_id], dtype=np.uint32))
+                runs.append(np.append(np.frombuffer(coded, np.uint32), np.uint32(end_id)))
                 held += len(runs[-1])
                 if held >= BLOCK:
                     yield close()
