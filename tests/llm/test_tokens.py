@@ -59,6 +59,22 @@ def test_files_hold_the_ids_in_order(spark, tmp_path, monkeypatch):
     assert W.token_files(docs_table(spark, []), JSON).collect() == []
 
 
+def test_words_are_encoded_as_in_the_whole_text(monkeypatch):
+    rng = random.Random(5)
+    parts = ["the", " ", "  ", "\n", "'s", "don't", "1 2", "\u00a0", "\u3000x", "\x1f", "\x1c a", "\x85", "ing", "\0", "\0 b", "日本", "é",
+             "<|endoftext|>", " <|endoftext|> ", "\t", "...", " -- ", "\u200b", "\r\n", "e\u0301"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 25))) for _ in range(3000)]
+    whole = W.Encoder(JSON)
+    assert whole.by_word
+    whole.by_word = False
+    for cache in (W.CACHE, 40):
+        monkeypatch.setattr(W, "CACHE", cache)
+        words = W.Encoder(JSON)
+        assert words.ids(texts[:50]) + words.ids(texts) == whole.ids(texts[:50]) + whole.ids(texts)
+    lower = W.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    assert not lower.by_word and len(lower.ids(["A b", ""])) == 2
+
+
 def brute_counts(text, sections):
     """Each token to the section with most of its bytes, the earlier of equal ones."""
     coder, _ = C.load_ranks(RANKS, public_tokenizers.PATTERN)
