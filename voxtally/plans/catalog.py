@@ -262,6 +262,15 @@ def sentiment_lexicon(spark, folder):
     return lexicon_scored(spark, folder).select("response_id", "sentiment_score", "sentiment_label")
 
 
+@query
+def sentiment_lexicon_table(spark, folder):
+    """The lexicon as a table with repeats and gaps: of equal terms the least valence counts."""
+    rows = [*LEXICON, ("the", 3.0), ("la", 2.5), ("nowhere", None)]
+    lexicon = small_table(spark, rows, term=pa.string(), valence=pa.float64())
+    df = sentiment.add_lexicon_sentiment(responses(spark, folder), lexicon, "response_text", **RULES)
+    return df.select("response_id", "sentiment_score", "sentiment_label")
+
+
 @query
 def sentiment_distribution(spark, folder):
     return summary.label_distribution(lexicon_scored(spark, folder))

@@ -567,6 +567,7 @@ def build() -> dict[str, str]:
     out["responses_join_summary"] = f"""WITH {base}, {seen}, st AS ({stats('question_text')} GROUP BY 1)
         SELECT response_id, question_id, sentiment_label, st.* EXCLUDE (question_text)
         FROM full_r JOIN st USING (question_text) JOIN qid USING (question_text)"""
+    out["sentiment_lexicon_table"] = out["sentiment_lexicon"]
     return out
 
 
