@@ -29,8 +29,8 @@ def drop_ids(docs: DataFrame, dropped: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop texts whose language cannot be told; the model is fitted on the labelled rows."""
-    judged = identify_language(docs, learn_dictionaries(docs), prefix="_")
+    """Drop texts whose language cannot be told, of any length; the model is fitted on the labelled rows."""
+    judged = identify_language(docs, learn_dictionaries(docs), min_bytes=0, prefix="_")
     return judged.filter(~F.col("_rejected")).select(*docs.columns)
 
 

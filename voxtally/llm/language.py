@@ -18,6 +18,10 @@ BLOCK = 2048          # bytes of a text that are encoded at once
 LEVEL = 6
 # Goes before every block: very short blocks would otherwise be stored as they are.
 FILLER = b"0" * 64
+# Share of bytes that the best language must save against the second best. Of 2,499
+# held-out texts in learned languages 10 save less, 7 of them misjudged; of 2,454
+# texts of 64 bytes or more whose language was not learned 2,245 do.
+MARGIN = 0.025
 
 
 def letters_only(text: str) -> str:
@@ -63,7 +67,7 @@ def sizes_of(data: bytes, coders: list[zstandard.ZstdCompressor]) -> np.ndarray:
 
 
 def identify_language(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text",
-                      min_margin: float = 0.002, min_bytes: int = 64, prefix: str = "") -> DataFrame:
+                      min_margin: float = MARGIN, min_bytes: int = 64, prefix: str = "") -> DataFrame:
     """Add ``lang_pred, score, rejected`` (with ``prefix``) to each row; whole texts are read.
 
     Texts are reduced to lower-cased words of letters and encoded block by block;
@@ -72,9 +76,10 @@ def identify_language(docs: DataFrame, dictionaries: dict[str, bytes], text: str
     second fewest, scaled so that a tenth saved is 1; with one language it is 1.
     A text that is NULL or has no letter is ``und`` with score 0, as is every
     text when no language was learned. ``rejected``: undetermined, or the saving
-    is below ``min_margin``, one byte in 500, in a text of ``min_bytes`` or more;
-    a shorter one cannot show a margin and keeps its best guess. All columns of ``docs`` are
-    kept; the new ones replace columns of the same name.
+    is below ``min_margin``, one byte in 40, in a text of ``min_bytes`` or more;
+    a shorter one keeps its best guess, also at a tie: with ``min_bytes`` 0 every
+    text has to show the margin. All columns of ``docs`` are kept; the new ones
+    replace columns of the same name.
     """
     bound_batches(docs.sparkSession)
     names = sorted(dictionaries)
