@@ -6,6 +6,7 @@ and all but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ from voxtally.llm.decontaminate import decontaminate
 from voxtally.llm.language import identify_language, learn_dictionaries
 from voxtally.llm.line_dedup import line_dedup
 from voxtally.llm.near_dedup import near_dedup
-from voxtally.llm.packing import pack
+from voxtally.llm.packing import pack_tokens
 from voxtally.llm.text import SPACED_WORD
 from voxtally.session import stage
 
@@ -53,8 +54,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Place every piece of every document in a padded batch."""
-    return pack(docs)
+    """Place every piece of every document in a padded batch; lengths and budgets are in tokens."""
+    return pack_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [("language", language), ("lines", lines), ("near_duplicates", near_duplicates),

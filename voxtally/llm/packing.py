@@ -10,13 +10,23 @@ from pyspark.sql import types as T
 
 from ..session import small_table, stage
 from .text import SPACED_WORD, whole
+from .token_files import token_lengths
 
 
 def word_length(text: Column) -> Column:
-    """Words of a whole text: the default length measure."""
+    """Words of a whole text: the length measure of ``pack`` unless it is given another."""
     return F.regexp_count(whole(text), F.lit(SPACED_WORD)).cast("long")
 
 
+def pack_tokens(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """``pack`` with documents measured in tokens of the tokenizer file ``path``.
+
+    ``start``, ``n``, ``bucket`` and the budget of a batch then count tokens; the
+    whole text is encoded, no end id is counted.
+    """
+    return pack(token_lengths(docs, path, doc_id, text), length=F.col("n_tokens"), **options)
+
+
 def best_boundaries(counts: dict[int, int], buckets: int) -> list[int]:
     """At most ``buckets`` upper bounds that minimise the padding of a length histogram.
 

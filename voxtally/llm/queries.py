@@ -13,7 +13,7 @@ from .exact_dedup import exact_dedup
 from .language import fold, identify_language, learn_dictionaries
 from .line_dedup import line_dedup
 from .near_dedup import near_dedup
-from .packing import pack
+from .packing import pack_tokens
 from .preference import conversations, format_pairs, swapped_replies
 from .token_counts import token_counts
 from .token_files import token_files
@@ -59,7 +59,8 @@ def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
-    return pack(read(spark, folder, "documents"))
+    """Lengths in tokens."""
+    return pack_tokens(read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def page_outcomes(spark: SparkSession, folder: str) -> DataFrame:

@@ -85,6 +85,25 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]
         yield ids, texts
 
 
+def token_lengths(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, n_tokens`` of every row: the ids of its whole text, without an end id; NULL text has 0.
+
+    Texts are encoded where they are read; only ids and lengths leave Python.
+    """
+    bound_batches(docs.sparkSession)
+    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    schema = T.StructType([source.schema["doc_id"], T.StructField("n_tokens", T.LongType())])
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = Encoder(path)
+        for ids, texts in _texts(batches):
+            sizes = [len(coded) // 4 for coded in coder.ids(texts)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([i.as_py() for i in ids], ids[0].type), pa.array(sizes, pa.int64())], schema.names)
+
+    return source.mapInArrow(measure, schema)
+
+
 def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int = 0,
                  doc_id: str = "doc_id", text: str = "text") -> None:
     """Encode every whole text and write the ids in ascending order of id.
