@@ -11,7 +11,7 @@ import corpus_pipeline
 from voxtally.llm.queries import ORACLE, QUERIES
 
 from ..test_catalog import SF, canonical, duck  # noqa: F401
-from . import test_decontaminate, test_line_dedup, test_near_dedup
+from . import test_decontaminate, test_near_dedup, test_short_lines
 
 pytestmark = pytest.mark.skipif(not SF.exists(), reason="test tables not present")
 
@@ -55,7 +55,7 @@ def test_pipeline_stages(spark, tmp_path):
     before, after = map(text, steps["language"])
     assert len(before) - len(after) <= 0.02 * len(before) and after.items() <= before.items()
     before, after = map(text, steps["lines"])
-    want = test_line_dedup.brute(before.items(), 8)
+    want = test_short_lines.brute(before.items())
     assert after == {d: t for d, (t, _, dropped) in want.items() if not dropped or t.split()}
     before, after = map(text, steps["near_duplicates"])
     want = test_near_dedup.brute(before.items(), 5, 80)
