@@ -15,6 +15,7 @@ from .line_dedup import line_dedup
 from .near_dedup import near_dedup
 from .packing import pack_tokens
 from .preference import conversations, format_pairs, swapped_replies
+from .resample import importance_resample
 from .token_counts import token_counts
 from .token_files import token_files
 from .url_filter import TWO_LABEL_SUFFIXES, filter_urls
@@ -92,6 +93,12 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_resample(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's weight towards ``benchmark`` by hashed words, its Gumbel score and its rank if drawn (10 %)."""
+    return importance_resample(read(spark, folder, "documents"), read(spark, folder, "benchmark"),
+                               longest=1, buckets=10_000, percent=10, least_words=20, seed="2024")
+
+
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_token_counts": op2_token_counts,
@@ -103,6 +110,7 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_line_dedup": op9_line_dedup,
     "op10_language": op10_language,
+    "op11_resample": op11_resample,
 }
 
 _LOWER = f"'{string.ascii_uppercase}', '{string.ascii_lowercase}'"
