@@ -16,6 +16,7 @@ from .near_dedup import near_dedup
 from .packing import pack_tokens
 from .preference import conversations, format_pairs, swapped_replies
 from .resample import importance_resample
+from .suffix_lm import suffix_lm
 from .token_counts import token_counts
 from .token_files import token_files
 from .url_filter import TWO_LABEL_SUFFIXES, filter_urls
@@ -99,6 +100,11 @@ def op11_resample(spark: SparkSession, folder: str) -> DataFrame:
                                longest=1, buckets=10_000, percent=10, least_words=20, seed="2024")
 
 
+def op12_suffix_lm(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's log10 probability under a suffix tree learned from four folds of five, beside the unigram base."""
+    return suffix_lm(read(spark, folder, "documents"), folds=5, held=1, depth=2, min_count=3, threshold=8.0)
+
+
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_token_counts": op2_token_counts,
@@ -111,6 +117,7 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_language": op10_language,
     "op11_resample": op11_resample,
+    "op12_suffix_lm": op12_suffix_lm,
 }
 
 _LOWER = f"'{string.ascii_uppercase}', '{string.ascii_lowercase}'"
