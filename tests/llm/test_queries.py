@@ -37,7 +37,7 @@ def test_language_query(spark):
 
 def test_all_are_registered():
     assert QUERIES.keys() | {"pipeline"} <= entry.queries().keys() and ORACLE.keys() <= entry.oracle_sql().keys()
-    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 13))
+    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 14))
 
 
 def test_pipeline_stages(spark, tmp_path):

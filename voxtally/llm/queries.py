@@ -20,6 +20,7 @@ from .suffix_lm import suffix_lm
 from .token_counts import token_counts
 from .token_files import token_files
 from .url_filter import TWO_LABEL_SUFFIXES, filter_urls
+from .vector_codes import vector_codes
 
 URL_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"),
              ("block", "net/es/"), ("block", "net/fr/"))
@@ -105,6 +106,11 @@ def op12_suffix_lm(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_lm(read(spark, folder, "documents"), folds=5, held=1, depth=2, min_count=3, threshold=8.0)
 
 
+def op13_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    """Product codes of every valid embedding: 8 parts, 16 entries, 6 rounds, components floor(4096 x)."""
+    return vector_codes(read(spark, folder, "embeddings"), parts=8, entries=16, rounds=6, scale=4096)
+
+
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_token_counts": op2_token_counts,
@@ -118,6 +124,7 @@ QUERIES = {
     "op10_language": op10_language,
     "op11_resample": op11_resample,
     "op12_suffix_lm": op12_suffix_lm,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 _LOWER = f"'{string.ascii_uppercase}', '{string.ascii_lowercase}'"
