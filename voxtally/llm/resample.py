@@ -97,8 +97,8 @@ def importance_resample(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_
     empty table gives an empty one; empty ``targets`` leave only the corpus
     counts in the gains.
 
-    The weights are computed inside each row from one broadcast row of
-    ``buckets`` gains. Ranks are exact and spread over all tasks: ``exact_ranks``.
+    The weights are computed inside each row from the ``buckets`` gains,
+    which the plan holds as a literal. Ranks are exact and spread over all tasks: ``exact_ranks``.
     """
     spark = docs.sparkSession
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), words(F.col(text)).alias("_words"))
@@ -109,11 +109,11 @@ def importance_resample(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_
     corpus = stage(with_buckets)
     aims = targets.select(F.transform(features(words(F.col(target_text)), longest),
                                       lambda f: bucket(f, buckets)).alias("_buckets"))
-    gains = stage(bucket_gains(corpus, aims, buckets).withColumn("_one", F.lit(1)))
+    # ``buckets`` longs, a size the parameter sets: they go into the plan as one literal array
+    gains = F.lit(np.array(bucket_gains(corpus, aims, buckets).first()["gains"], dtype=np.int64))
     weight = F.aggregate(F.col("_buckets"), F.lit(0).cast("long"),
-                         lambda acc, b: acc + F.element_at("gains", (b + 1).cast("int")).cast("long"))
-    scored = corpus.withColumn("_one", F.lit(1)).join(F.broadcast(gains), "_one").select(
-        "doc_id", F.col("n_words").cast("long").alias("n_words"), "n_features", weight.alias("weight"))
+                         lambda acc, b: acc + F.element_at(gains, (b + 1).cast("int")))
+    scored = corpus.select("doc_id", F.col("n_words").cast("long").alias("n_words"), "n_features", weight.alias("weight"))
     scored = scored.withColumn("score", (F.col("weight") + gumbel(F.col("doc_id"), seed)).cast("long"))
     scored = stage(scored.withColumn("_row", F.monotonically_increasing_id()))
     eligible = scored.filter((F.col("n_words") >= least_words) & F.col("doc_id").isNotNull())
