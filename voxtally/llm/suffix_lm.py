@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,57 +19,64 @@ def tokens(text: Column) -> Column:
     return F.concat(F.regexp_extract_all(ascii_lower(whole(text)), F.lit(SPACED_WORD), F.lit(0)), F.array(F.lit(END)))
 
 
-def with_contexts(toks: Column, depth: int) -> Column:
-    """An array of ``(x, c1, ..., c<depth>)``: each token and the 1 to ``depth`` words before it, joined by spaces.
+def word_hash(word: Column, salt: int) -> Column:
+    """A 64-bit name of a word; ``salt`` changes every name."""
+    return F.xxhash64(word, F.lit(salt))
+
+
+def with_contexts(toks: Column, depth: int, salt: int) -> Column:
+    """An array of ``(x, h1, ..., h<depth>)``: each token's name and those of the 1st to ``depth``-th word before it.
 
-    A context reaching before the first word is NULL. Built from shifted
-    copies of the array, so a text of n tokens costs n * depth steps.
+    A word before the first is NULL. Built from shifted copies of the array of
+    names, so a text of n tokens costs n * depth steps.
     """
-    def level(t: Column, k: int, shorter: Column | None) -> Column:
-        n = F.size(t)
-        before = F.concat(F.array_repeat(F.lit(None).cast("string"), k), F.slice(t, 1, F.greatest(n - k, F.lit(0))))
-        joined = before if shorter is None else F.zip_with(before, shorter, lambda a, b: F.concat(a, F.lit(" "), b))
-        return F.slice(joined, 1, n)
+    def build(names: Column) -> Column:
+        n = F.size(names)
+        shifted = [F.concat(F.array_repeat(F.lit(None).cast("long"), k), F.slice(names, 1, F.greatest(n - k, F.lit(0))))
+                   for k in range(1, depth + 1)]
+        return F.transform(names, lambda x, i: F.struct(x.alias("x"), *[F.element_at(s, i + 1).alias(f"h{k}")
+                                                                        for k, s in enumerate(shifted, 1)]))
+    return let(F.transform(toks, lambda w: word_hash(w, salt)), build)
 
-    def build(t: Column, k: int, bound: list[Column]) -> Column:
-        if k > depth:
-            return F.transform(t, lambda x, i: F.struct(x.alias("x"), *[F.element_at(c, i + 1).alias(f"c{j}")
-                                                                         for j, c in enumerate(bound, 1)]))
-        return let(level(t, k, bound[-1] if bound else None), lambda c: build(t, k + 1, [*bound, c]))
 
-    return let(toks, lambda t: build(t, 1, []))
+def positions(docs: DataFrame, depth: int, salt: int) -> DataFrame:
+    """One row per token of every row of ``docs`` (``_text`` and other columns kept): ``x, h1..h<depth>``."""
+    keep = [c for c in docs.columns if c != "_text"]
+    return docs.select(*keep, F.explode(with_contexts(tokens(F.col("_text")), depth, salt)).alias("t")) \
+        .select(*keep, "t.*")
+
 
+def free_salt(docs: DataFrame) -> int:
+    """The first salt under which no two distinct words of ``docs`` share a name.
 
-def parent(ctx: Column) -> Column:
-    """The context without its oldest word; of one word, the empty context."""
-    return F.when(F.instr(ctx, " ") > 0, F.regexp_replace(ctx, "^[^ ]* ", "")).otherwise(F.lit(""))
+    Distinct words are found with a map-side combine, so a frequent word moves
+    once per task; with 64 bits a clash, and so a second pass, is rare.
+    """
+    words = docs.select(F.explode(tokens(F.col("_text"))).alias("w")).distinct()
+    salt = 0
+    while words.groupBy(word_hash(F.col("w"), salt).alias("h")).count().filter("count > 1").limit(1).count():
+        salt += 1
+    return salt
 
 
-def suffixes(ctx: Column) -> Column:
-    """All non-empty suffixes of a context, itself included."""
-    def of(w: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.size(w)), lambda j: F.array_join(F.slice(w, j, F.size(w) - j + 1), " "))
-    return let(F.split(ctx, " "), of)
+def ctx(k: int) -> list[str]:
+    return [f"h{j}" for j in range(1, k + 1)]
 
 
 class SuffixTree:
-    """The learned model: ``pairs`` (ctx, x, n_cx) and ``states`` (ctx, n_c, u_c) of retained contexts, totals N and V."""
+    """The learned model: per depth k, ``pairs[k]`` (h1..hk, x, n_cx) and ``states[k]`` (h1..hk, n_c, u_c) of
+    retained contexts, ``unigrams`` (x, c), totals N and V."""
 
-    def __init__(self, pairs: DataFrame, states: DataFrame, unigrams: DataFrame, n: int, v: int):
+    def __init__(self, pairs: dict, states: dict, unigrams: DataFrame, n: int, v: int):
         self.pairs, self.states, self.unigrams, self.n, self.v = pairs, states, unigrams, n, v
 
 
-def occurrences(docs: DataFrame, depth: int) -> DataFrame:
-    """One row per token of every row of ``docs`` (``_row``, ``doc_id``, ...): ``pos, x, c1..c<depth>``."""
-    keep = [c for c in docs.columns if c != "_text"]
-    return docs.select(*keep, F.posexplode(with_contexts(tokens(F.col("_text")), depth)).alias("pos", "t")) \
-        .select(*keep, "pos", "t.*")
-
-
-def learn(train: DataFrame, depth: int = 2, min_count: int = 3, threshold: float = 8.0) -> SuffixTree:
+def learn(train: DataFrame, depth: int, min_count: int, threshold: float, salt: int) -> SuffixTree:
     """Count tokens after every context of up to ``depth`` words and keep the contexts that tell more than their parent.
 
-    ``train`` has a column ``_text``. A context c of n(c) >= ``min_count``
+    ``train`` has a column ``_text``. One event per token, its longest
+    context, is counted; counts of shorter contexts are sums over the longest,
+    so the tokens are shuffled once. A context c of n(c) >= ``min_count``
     occurrences passes when ``2 * sum_x n(c,x) ln(p(x|c) / p(x|parent))`` (the
     G statistic of its next-token counts against its parent's, both maximum
     likelihood) reaches ``threshold``; the retained states are the passing
@@ -75,62 +84,66 @@ def learn(train: DataFrame, depth: int = 2, min_count: int = 3, threshold: float
     Counts are combined map-side; a frequent context or token moves one partial
     count per task.
     """
-    occ = occurrences(train.select("_text"), depth)
-    levels = F.array(F.struct(F.lit("").alias("ctx"), F.col("x")),
-                     *[F.struct(F.col(f"c{j}").alias("ctx"), F.col("x")) for j in range(1, depth + 1)])
-    events = occ.select(F.explode(levels).alias("e")).select("e.*").filter(F.col("ctx").isNotNull())
-    pairs = stage(events.groupBy("ctx", "x").agg(F.count("*").alias("n_cx")))
-    stats = stage(pairs.groupBy("ctx").agg(F.sum("n_cx").alias("n_c"), F.count("*").alias("u_c")))
-    top = stats.filter(F.col("ctx") == "").first()
-    n, v = (top.n_c, top.u_c) if top else (0, 0)
-    deep = pairs.filter(F.col("ctx") != "").withColumn("_parent", parent(F.col("ctx")))
-    up = pairs.select(F.col("ctx").alias("_parent"), "x", F.col("n_cx").alias("n_px"))
-    own = stats.select("ctx", "n_c")
-    par = stats.select(F.col("ctx").alias("_parent"), F.col("n_c").alias("n_p"))
-    term = F.col("n_cx") * F.log((F.col("n_cx") / F.col("n_c")) / (F.col("n_px") / F.col("n_p")))
-    tested = deep.join(up, ["_parent", "x"]).join(own, "ctx").join(par, "_parent") \
-        .groupBy("ctx").agg(F.first("n_c").alias("n_c"), (2 * F.sum(term)).alias("g"))
-    passed = tested.filter((F.col("n_c") >= min_count) & (F.col("g") >= threshold))
-    retained = stage(passed.select(F.explode(suffixes(F.col("ctx"))).alias("ctx")).distinct())
-    states = stage(stats.join(retained, "ctx", "left_semi"))
-    kept_pairs = stage(pairs.join(retained, "ctx", "left_semi"))
-    unigrams = pairs.filter(F.col("ctx") == "").select("x", F.col("n_cx").alias("c"))
-    return SuffixTree(kept_pairs, states, unigrams, n, v)
-
-
-def score(docs: DataFrame, model: SuffixTree, depth: int = 2) -> DataFrame:
+    longest = stage(positions(train.select("_text"), depth, salt).groupBy("x", *ctx(depth)).agg(F.count("*").alias("n")))
+    counts = {depth: longest}
+    for k in range(depth - 1, -1, -1):
+        # positions with a k-word context but no longer one have NULL beyond k: they are counted here too
+        counts[k] = stage(counts[k + 1].groupBy("x", *ctx(k)).agg(F.sum("n").alias("n")))
+    pairs = {k: counts[k].filter(F.col(f"h{k}").isNotNull()) if k else counts[0] for k in counts}
+    stats = {k: stage(pairs[k].groupBy(*ctx(k)).agg(F.sum("n").alias("n_c"), F.count("*").alias("u_c")))
+             for k in range(1, depth + 1)}
+    top = counts[0].agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
+    n, v = (top.n or 0), top.v
+    passed = {}
+    for k in range(1, depth + 1):
+        up = pairs[k - 1].withColumnRenamed("n", "n_px")
+        own = pairs[k].join(up, ["x", *ctx(k - 1)]).join(stats[k], ctx(k))
+        if k > 1:
+            own = own.join(stats[k - 1].withColumnRenamed("n_c", "n_p").drop("u_c"), ctx(k - 1))
+        else:
+            own = own.withColumn("n_p", F.lit(n))
+        term = F.col("n") * F.log((F.col("n") / F.col("n_c")) / (F.col("n_px") / F.col("n_p")))
+        g = own.groupBy(*ctx(k)).agg(F.first("n_c").alias("n_c"), (2 * F.sum(term)).alias("g"))
+        passed[k] = g.filter((F.col("n_c") >= min_count) & (F.col("g") >= threshold)).select(*ctx(k))
+    # suffix closure: a kept context of k words keeps its suffix of k - 1, which are its words h1..h(k-1)
+    retained = {}
+    for k in range(depth, 0, -1):
+        closed = passed[k] if k == depth else passed[k].unionByName(retained[k + 1].select(*ctx(k)))
+        retained[k] = stage(closed.distinct())
+    states = {k: stage(stats[k].join(retained[k], ctx(k), "left_semi")) for k in retained}
+    kept = {k: stage(pairs[k].join(retained[k], ctx(k), "left_semi").withColumnRenamed("n", f"n_cx{k}"))
+            for k in retained}
+    unigrams = counts[0].select("x", F.col("n").alias("c"))
+    return SuffixTree(kept, {k: s.withColumnRenamed("n_c", f"n_c{k}").withColumnRenamed("u_c", f"u_c{k}")
+                             for k, s in states.items()}, unigrams, n, v)
+
+
+def score(docs: DataFrame, model: SuffixTree, depth: int, salt: int) -> DataFrame:
     """Per row of ``docs`` (``_row`` and ``_text``): ``n_tokens, n_known, base_score, score`` in log10.
 
     ``base_score`` sums ``log10((c + 0.5) / (N + 0.5 (V + 1)))`` over the tokens
     (c the token's training count, N all, V distinct training tokens);
     ``score`` takes for each token the longest retained state s_k among the
     contexts before it and ``P(x|s_j) = (n(s_j,x) + u(s_j) P(x|s_{j-1})) / (n(s_j) + u(s_j))``
-    (Witten-Bell), from the base at j = 0 up to k.
+    (Witten-Bell), from the base at j = 0 up to k. Each token row meets each
+    table once and is scored where it stands; only sums per row move after.
     """
-    occ = occurrences(docs.select("_row", "_text"), depth)
-    base_p = (F.coalesce(F.col("c"), F.lit(0)) + 0.5) / (F.lit(model.n) + 0.5 * (model.v + 1))
-    ground = occ.join(model.unigrams, "x", "left").select(
-        "_row", "pos", F.lit(0).alias("depth"), base_p.alias("_p"), F.coalesce(F.col("c"), F.lit(0)).alias("n_cx"),
-        F.lit(None).cast("long").alias("n_c"), F.lit(None).cast("long").alias("u_c"))
-    levels = F.array(*[F.struct(F.lit(j).alias("depth"), F.col(f"c{j}").alias("ctx")) for j in range(1, depth + 1)])
-    deep = occ.select("_row", "pos", "x", F.explode(levels).alias("l")).select("_row", "pos", "x", "l.*") \
-        .filter(F.col("ctx").isNotNull())
-    found = deep.join(model.states, "ctx").join(model.pairs, ["ctx", "x"], "left").select(
-        "_row", "pos", "depth", F.lit(None).cast("double").alias("_p"), F.coalesce(F.col("n_cx"), F.lit(0)).alias("n_cx"),
-        "n_c", "u_c")
-    chain = ground.unionByName(found).groupBy("_row", "pos").agg(
-        F.array_sort(F.collect_list(F.struct("depth", "_p", "n_cx", "n_c", "u_c"))).alias("l"))
-
-    def step(p: Column, s: Column) -> Column:
-        return F.when(s["depth"] == 0, s["_p"]).otherwise(
-            (s["n_cx"] + s["u_c"] * p) / (s["n_c"] + s["u_c"]))
-
-    # states are suffix-closed, so the retained depths of a token are 0, 1, ..., k without gaps
-    per_token = chain.select("_row", F.element_at("l", 1)["_p"].alias("p0"), (F.element_at("l", 1)["n_cx"] > 0).alias("known"),
-                             F.aggregate("l", F.lit(0.0), step).alias("p"))
-    return per_token.groupBy("_row").agg(
-        F.count("*").alias("n_tokens"), F.count_if("known").alias("n_known"),
-        F.sum(F.log10("p0")).alias("base_score"), F.sum(F.log10("p")).alias("score"))
+    rows = positions(docs.select("_row", "_text"), depth, salt)
+    rows = rows.join(model.unigrams, "x", "left")
+    for k in range(1, depth + 1):
+        rows = rows.join(model.states[k], ctx(k), "left").join(model.pairs[k], ["x", *ctx(k)], "left")
+    c = F.coalesce(F.col("c"), F.lit(0))
+    p0 = (c + 0.5) / (F.lit(model.n) + 0.5 * (model.v + 1))
+
+    def deeper(p: Column, k: int) -> Column:
+        # states are suffix-closed: a retained context of k words has all its shorter ones retained
+        n_cx, n_c, u_c = F.coalesce(F.col(f"n_cx{k}"), F.lit(0)), F.col(f"n_c{k}"), F.col(f"u_c{k}")
+        return F.when(n_c.isNull(), p).otherwise((n_cx + u_c * p) / (n_c + u_c))
+
+    p = reduce(deeper, range(1, depth + 1), p0)
+    return rows.groupBy("_row").agg(
+        F.count("*").alias("n_tokens"), F.count_if(c > 0).alias("n_known"),
+        F.sum(F.log10(p0)).alias("base_score"), F.sum(F.log10(p)).alias("score"))
 
 
 def suffix_lm(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = 5, held: int = 1,
@@ -144,14 +157,17 @@ def suffix_lm(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds
     Without training rows N = V = 0 and every token has probability 0.5 / 0.5
     = 1. Other columns are ignored; an empty table gives an empty one.
 
-    Rows are numbered by ``monotonically_increasing_id`` over the scan, which
-    a re-run after a lost executor numbers alike; the text is not copied.
+    Words are named by 64-bit hashes under a salt that gives no two words of
+    the table one name (``free_salt``), so counts are exact. Rows are numbered
+    by ``monotonically_increasing_id`` over the scan, which a re-run after a
+    lost executor numbers alike; the text is not copied.
     """
     held_out = F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds == held, F.lit(True))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), held_out.alias("held_out"),
                        F.col(text).alias("_text")).withColumn("_row", F.monotonically_increasing_id())
-    model = learn(rows.filter(~F.col("held_out")), depth, min_count, threshold)
-    scored = score(rows, model, depth)
+    salt = free_salt(rows)
+    model = learn(rows.filter(~F.col("held_out")), depth, min_count, threshold, salt)
+    scored = score(rows, model, depth, salt)
     return rows.select("_row", "doc_id", "held_out").join(scored, "_row").select(
         "doc_id", "held_out", F.col("n_tokens").cast("long"), F.col("n_known").cast("long"),
         F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
