@@ -30,13 +30,17 @@ def with_contexts(toks: Column, depth: int, salt: int) -> Column:
     A word before the first is NULL. Built from shifted copies of the array of
     names, so a text of n tokens costs n * depth steps.
     """
-    def build(names: Column) -> Column:
+    def shift(names: Column, k: int) -> Column:
         n = F.size(names)
-        shifted = [F.concat(F.array_repeat(F.lit(None).cast("long"), k), F.slice(names, 1, F.greatest(n - k, F.lit(0))))
-                   for k in range(1, depth + 1)]
-        return F.transform(names, lambda x, i: F.struct(x.alias("x"), *[F.element_at(s, i + 1).alias(f"h{k}")
-                                                                        for k, s in enumerate(shifted, 1)]))
-    return let(F.transform(toks, lambda w: word_hash(w, salt)), build)
+        return F.concat(F.array_repeat(F.lit(None).cast("long"), k), F.slice(names, 1, F.greatest(n - k, F.lit(0))))
+
+    def build(names: Column, k: int, bound: list[Column]) -> Column:
+        if k > depth:
+            return F.transform(names, lambda x, i: F.struct(x.alias("x"), *[F.element_at(s, i + 1).alias(f"h{j}")
+                                                                            for j, s in enumerate(bound, 1)]))
+        # each shifted copy is bound once a row; used inside the lambda it would be rebuilt per token
+        return let(shift(names, k), lambda s: build(names, k + 1, [*bound, s]))
+    return let(F.transform(toks, lambda w: word_hash(w, salt)), lambda names: build(names, 1, []))
 
 
 def positions(docs: DataFrame, depth: int, salt: int) -> DataFrame:
