@@ -21,7 +21,8 @@ from ..functions.arrays import explode_rows
 from ..operators import (cleaning, ids, keyphrases, matching, quality, reports, reshape, sentiment,
                          summary, topics, vectors)
 from ..session import shared_dir, small_table, spread, stage
-from ..sources import csv_folder, vocabulary
+from ..sources import csv_folder, csv_split, vocabulary
+from ..sources.files import list_files
 from ..sources.sink import write_csv
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -111,6 +112,31 @@ def csv_sink(spark, folder):
     return csv_folder.read_table(spark, path).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
 
 
+BLOCK_BYTES = 64 * 1024      # blocks of the split CSV queries: many per file at every size
+
+
+@query
+def scan_csv_split(spark, folder):
+    """``scan_csv_long`` with files cut into blocks of 64 KB, records found by quote parity."""
+    out = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
+    docs = table(spark, folder, "documents").select(
+        F.col("text").alias("Your answer, please"), F.col("lang").alias("lang"),
+        F.col("source").alias("Sheet  Name"))
+    docs.write.option("header", True).option("quote", '"').option("escape", '"').csv(out)
+    cells = csv_folder.scan_csv_long(spark, out, block_bytes=BLOCK_BYTES)
+    return cells.groupBy("question_text", "response_text").agg(F.count("*").alias("n"))
+
+
+@query
+def csv_one_file_split(spark, folder):
+    """All documents in one CSV file, line breaks in quotes, read back in blocks of 64 KB by many tasks."""
+    out = f"{shared_dir(spark)}/one-{uuid.uuid4().hex}"
+    path = write_csv(table(spark, folder, "documents").select("doc_id", "text", "lang"), out, "documents.csv",
+                     single_file=True)
+    rows = csv_split.read_csv_split(spark, list_files(spark, path, "csv"), ["doc_id", "text", "lang"], block_bytes=BLOCK_BYTES)
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
+
+
 @query
 def unpivot_long(spark, folder):
     part = table(spark, folder, "part").select(

@@ -328,6 +328,8 @@ def build() -> dict[str, str]:
         UNION ALL SELECT 'lang', {strip('lang')} FROM documents) WHERE response_text <> ''
         GROUP BY ALL"""
     out["csv_sink"] = "SELECT doc_id, text, lang FROM documents"
+    out["csv_one_file_split"] = out["csv_sink"]
+    out["scan_csv_split"] = out["scan_csv_long"]
     out["unpivot_long"] = f"""WITH {long_part} SELECT p_partkey, col_pos, question_text, response_text FROM kept
         UNION ALL SELECT p_partkey, 3, 'p_size', p_size::VARCHAR FROM part WHERE p_size IS NOT NULL
         UNION ALL SELECT p_partkey, 4, 'p_retailprice', p_retailprice::VARCHAR FROM part WHERE p_retailprice IS NOT NULL"""

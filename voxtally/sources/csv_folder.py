@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from ..functions.wordlists import NULL_TOKENS
 from ..operators.reshape import is_provenance, unpivot_long, with_sheet
 from ..session import SPARK_ERRORS
+from .csv_split import read_csv_split
 from .files import file_stem, list_files
 
 log = logging.getLogger(__name__)
@@ -76,8 +77,18 @@ def files_by_header(spark: SparkSession, paths: Sequence[str], multiline: bool =
     return groups
 
 
-def _scan(spark: SparkSession, width: int, paths: list[str], multiline: bool) -> DataFrame:
-    """Cells as ``c0..`` with their file, block and row."""
+def _scan(spark: SparkSession, width: int, paths: list[str], multiline: bool, block_bytes: int | None = None) -> DataFrame:
+    """Cells as ``c0..`` with their file, block and row.
+
+    With ``block_bytes`` files are read in blocks of that size, line breaks in
+    quotes included (``csv_split``); else a multi-line file is one task.
+    """
+    if block_bytes:
+        wide = read_csv_split(spark, paths, [f"c{i}" for i in range(width)], block_bytes=block_bytes)
+        name = F.element_at(F.split("source_file", "/"), -1)
+        return wide.select(*[f"c{i}" for i in range(width)],
+                           F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))).alias("__file"),
+                           F.col("record_block").alias("__block"), F.col("record_ord").alias("__row"))
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
     wide = _reader(spark, multiline).option("header", True).schema(schema).csv(paths)
     return wide.select(
@@ -89,11 +100,13 @@ def _scan(spark: SparkSession, width: int, paths: list[str], multiline: bool) ->
 
 def scan_csv_long(spark: SparkSession, folder: str, exclude: Sequence[str] = (),
                   multiline: bool = True, null_tokens: Sequence[str] = NULL_TOKENS,
-                  failed: list[tuple[str, str]] | None = None) -> DataFrame | None:
+                  failed: list[tuple[str, str]] | None = None, block_bytes: int | None = None) -> DataFrame | None:
     """All non-blank cells of the CSV files in a folder, with their position.
 
     Answers are read as text. ``multiline`` allows line breaks inside quotes,
-    which makes a file one task; turn it off to split large files. ``exclude``
+    which makes a file one task, unless ``block_bytes`` is given: then files
+    are cut into blocks of that size and records found by quote parity
+    (``csv_split``), line breaks in quotes included. ``exclude``
     holds the full paths of files that are not surveys, as Spark lists them.
     Skipped files are added to ``failed``. None when the folder holds no usable
     file.
@@ -104,7 +117,7 @@ def scan_csv_long(spark: SparkSession, folder: str, exclude: Sequence[str] = (),
         questions = {f"c{i}": name for i, name in enumerate(header) if not is_provenance(name)}
         if not questions:
             continue
-        long = unpivot_long(_scan(spark, len(header), group, multiline), ("__file", "__block", "__row"),
+        long = unpivot_long(_scan(spark, len(header), group, multiline, block_bytes), ("__file", "__block", "__row"),
                             questions, null_tokens)
         tables.append(long.select(
             "question_text", "response_text", file_stem(F.col("__file")).alias("sheet_name"),
