@@ -21,7 +21,7 @@ from ..functions.arrays import explode_rows
 from ..operators import (cleaning, ids, keyphrases, matching, quality, reports, reshape, sentiment,
                          summary, topics, vectors)
 from ..session import shared_dir, small_table, spread, stage
-from ..sources import csv_folder, csv_split, vocabulary
+from ..sources import csv_folder, csv_split, vocabulary, workbook_source
 from ..sources.files import list_files
 from ..sources.sink import write_csv
 
@@ -137,6 +137,30 @@ def csv_one_file_split(spark, folder):
     return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
 
 
+@query
+def workbook_by_sheet(spark, folder):
+    """``part`` and ``supplier`` written as workbooks of 100-row sheets, read back one task per sheet, as
+    ``(tbl, key, header, value)`` for every cell beside the key column."""
+    out = f"{shared_dir(spark)}/books-{uuid.uuid4().hex}"
+    written = {
+        "part": table(spark, folder, "part").select(
+            F.col("p_partkey").cast("string").alias("p_partkey"), "p_name", "p_brand", "p_type",
+            F.col("p_size").cast("string").alias("p_size")),
+        "supplier": table(spark, folder, "supplier").select(
+            F.col("s_suppkey").cast("string").alias("s_suppkey"), "s_name",
+            F.col("s_nationkey").cast("string").alias("s_nationkey")),
+    }
+    found = []
+    for name, df in written.items():
+        workbook_source.write_workbooks(df, f"{out}/{name}", rows_per_sheet=100).collect()
+        cells = workbook_source.read_sheets(spark, f"{out}/{name}").filter("error IS NULL AND row_pos > 0")
+        where = ["source_file", "sheet_pos", "row_pos"]
+        keys = cells.filter("col_pos = 0").select(*where, F.col("value").alias("key"))
+        found.append(cells.filter("col_pos > 0").join(keys, where).select(
+            F.lit(name).alias("tbl"), "key", "header", "value"))
+    return found[0].unionByName(found[1])
+
+
 @query
 def unpivot_long(spark, folder):
     part = table(spark, folder, "part").select(

@@ -329,6 +329,11 @@ def build() -> dict[str, str]:
         GROUP BY ALL"""
     out["csv_sink"] = "SELECT doc_id, text, lang FROM documents"
     out["csv_one_file_split"] = out["csv_sink"]
+    cells = [("part", "p_partkey", c) for c in ("p_name", "p_brand", "p_type", "p_size")] + [
+        ("supplier", "s_suppkey", c) for c in ("s_name", "s_nationkey")]
+    out["workbook_by_sheet"] = "\nUNION ALL ".join(
+        f"SELECT '{t}' AS tbl, {k}::VARCHAR AS key, '{c}' AS header, {c}::VARCHAR AS value FROM {t} WHERE {c} IS NOT NULL"
+        for t, k, c in cells)
     out["scan_csv_split"] = out["scan_csv_long"]
     out["unpivot_long"] = f"""WITH {long_part} SELECT p_partkey, col_pos, question_text, response_text FROM kept
         UNION ALL SELECT p_partkey, 3, 'p_size', p_size::VARCHAR FROM part WHERE p_size IS NOT NULL
