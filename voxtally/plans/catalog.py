@@ -7,6 +7,7 @@ whole tables.
 
 from __future__ import annotations
 
+import string
 import uuid
 from collections.abc import Callable
 
@@ -18,7 +19,7 @@ from ..functions import phrases as P
 from ..functions import text as X
 from ..functions import wordlists as L
 from ..functions.arrays import explode_rows
-from ..operators import (cleaning, ids, keyphrases, matching, quality, reports, reshape, sentiment,
+from ..operators import (cleaning, ids, keyphrases, lemmas, matching, quality, reports, reshape, sentiment,
                          summary, topics, vectors)
 from ..session import shared_dir, small_table, spread, stage
 from ..sources import csv_folder, csv_split, vocabulary, workbook_source
@@ -161,6 +162,28 @@ def workbook_by_sheet(spark, folder):
     return found[0].unionByName(found[1])
 
 
+# Known lemmas beside those taken from the text, and irregular forms (form, order, lemma): parameters of noun_lemmas.
+NOUN_INDEX = ("mouse", "goose", "child", "glass", "box", "church", "wife", "city", "man", "bus", "wish", "quiz")
+NOUN_EXCEPTIONS = (("mice", 0, "mouse"), ("geese", 0, "goose"), ("children", 0, "child"), ("les", 0, "le"),
+                   ("les", 1, "la"), ("des", 0, "de"))
+ASCII_WORD = "[a-z]+"
+
+
+@query
+def noun_lemmas(spark, folder):
+    """Every distinct word of ``documents`` with its noun lemma by rule and its count. The index holds the
+    listed lemmas and every word of 3 or more occurrences that does not end in "s"."""
+    words = table(spark, folder, "documents").select(F.explode(F.regexp_extract_all(
+        F.translate(F.coalesce("text", F.lit("")), string.ascii_uppercase, string.ascii_lowercase),
+        F.lit(ASCII_WORD), F.lit(0))).alias("word"))
+    counts = stage(words.groupBy("word").agg(F.count("*").alias("n")))
+    index = counts.filter((F.col("n") >= 3) & ~F.col("word").endswith("s")).select(F.col("word").alias("lemma")) \
+        .unionByName(small_table(spark, [(w,) for w in NOUN_INDEX], lemma=pa.string()))
+    exceptions = small_table(spark, NOUN_EXCEPTIONS, form=pa.string(), pos=pa.int32(), lemma=pa.string())
+    found = lemmas.noun_lemmas(counts, index, exceptions)
+    return counts.join(found, "word").select("word", "lemma", "n")
+
+
 @query
 def unpivot_long(spark, folder):
     part = table(spark, folder, "part").select(

@@ -3,7 +3,10 @@ DataFrame code: tokens are unnested and counted with windows and groupings."""
 
 from __future__ import annotations
 
+import string
+
 from ..functions import wordlists as L
+from ..operators.lemmas import NOUN_RULES
 from . import catalog as C
 
 SP = r"\p{Z}\x{09}-\x{0D}\x{1C}-\x{1F}\x{85}"
@@ -329,6 +332,35 @@ def build() -> dict[str, str]:
         GROUP BY ALL"""
     out["csv_sink"] = "SELECT doc_id, text, lang FROM documents"
     out["csv_one_file_split"] = out["csv_sink"]
+    listed = ", ".join(f"('{w}')" for w in C.NOUN_INDEX)
+    irregular = ", ".join(f"('{f}', {p}, '{w}')" for f, p, w in C.NOUN_EXCEPTIONS)
+    rules = ", ".join(f"({i}, '{a}', '{b}')" for i, (a, b) in enumerate(NOUN_RULES))
+    out["noun_lemmas"] = f"""WITH RECURSIVE
+        w AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), '{string.ascii_uppercase}',
+            '{string.ascii_lowercase}'), '[a-z]+')) AS word FROM documents),
+        counts AS (SELECT word, count(*) AS n FROM w GROUP BY word),
+        idx AS (SELECT word AS form FROM counts WHERE n >= 3 AND NOT suffix(word, 's')
+                UNION SELECT form FROM (VALUES {listed}) v(form)),
+        exc(word, pos, form) AS (VALUES {irregular}),
+        rules(i, old, new) AS (VALUES {rules}),
+        irr AS (SELECT word FROM counts WHERE word IN (SELECT word FROM exc)),
+        cand AS (SELECT word, [-1] AS path, word AS form FROM irr
+                 UNION ALL SELECT e.word, [e.pos], e.form FROM exc e JOIN irr USING (word)),
+        irr_lemma AS (SELECT word, form AS lemma FROM (SELECT *, row_number() OVER (
+            PARTITION BY word ORDER BY length(form), path) AS rn FROM cand WHERE form IN (SELECT form FROM idx)) WHERE rn = 1),
+        f(word, r, path, form) AS (
+            SELECT word, 1, [i], left(word, length(word) - length(old)) || new FROM counts, rules
+            WHERE suffix(word, old) AND word NOT IN (SELECT word FROM exc)
+            UNION ALL
+            SELECT f.word, f.r + 1, list_append(f.path, i), left(f.form, length(f.form) - length(old)) || new
+            FROM f, rules WHERE suffix(f.form, old)),
+        levels AS (SELECT word, 1 AS r, [-1] AS path, word AS form FROM counts WHERE word NOT IN (SELECT word FROM exc)
+                   UNION ALL SELECT word, r, path, form FROM f),
+        reg_lemma AS (SELECT word, form AS lemma FROM (SELECT *, row_number() OVER (
+            PARTITION BY word ORDER BY r, length(form), path) AS rn FROM levels WHERE form IN (SELECT form FROM idx))
+            WHERE rn = 1)
+        SELECT c.word, coalesce(l.lemma, c.word) AS lemma, c.n FROM counts c
+        LEFT JOIN (SELECT * FROM irr_lemma UNION ALL SELECT * FROM reg_lemma) l USING (word)"""
     cells = [("part", "p_partkey", c) for c in ("p_name", "p_brand", "p_type", "p_size")] + [
         ("supplier", "s_suppkey", c) for c in ("s_name", "s_nationkey")]
     out["workbook_by_sheet"] = "\nUNION ALL ".join(
