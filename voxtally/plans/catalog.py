@@ -22,7 +22,7 @@ from ..functions.arrays import explode_rows
 from ..operators import (cleaning, ids, keyphrases, lemmas, matching, quality, reports, reshape, sentiment,
                          summary, topics, vectors)
 from ..session import shared_dir, small_table, spread, stage
-from ..sources import csv_folder, csv_split, vocabulary, workbook_source
+from ..sources import csv_folder, csv_split, vocabulary, wide_variant, workbook_source
 from ..sources.files import list_files
 from ..sources.sink import write_csv
 
@@ -162,6 +162,23 @@ def workbook_by_sheet(spark, folder):
     return found[0].unionByName(found[1])
 
 
+WIDE_FILES = 2000      # files of the wide load, half with each header
+
+
+@query
+def wide_variant_load(spark, folder):
+    """``documents`` as 2,000 small CSV files of two headers, loaded as one table through VARIANT rows."""
+    out = f"{shared_dir(spark)}/wide-{uuid.uuid4().hex}"
+    docs = table(spark, folder, "documents")
+    for parity, extra in ((0, "lang"), (1, "source")):
+        part = docs.filter(F.col("doc_id") % 2 == parity).select("doc_id", "text", extra)
+        part.repartition(WIDE_FILES // 2, "doc_id").write.option("header", True).option("quote", '"') \
+            .option("escape", '"').csv(f"{out}/{extra}")
+    paths = list_files(spark, f"{out}/lang", "csv") + list_files(spark, f"{out}/source", "csv")
+    wide = wide_variant.load_wide_variant(spark, paths)
+    return wide.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source")
+
+
 # Known lemmas beside those taken from the text, and irregular forms (form, order, lemma): parameters of noun_lemmas.
 NOUN_INDEX = ("mouse", "goose", "child", "glass", "box", "church", "wife", "city", "man", "bus", "wish", "quiz")
 NOUN_EXCEPTIONS = (("mice", 0, "mouse"), ("geese", 0, "goose"), ("children", 0, "child"), ("les", 0, "le"),

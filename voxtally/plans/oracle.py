@@ -332,6 +332,8 @@ def build() -> dict[str, str]:
         GROUP BY ALL"""
     out["csv_sink"] = "SELECT doc_id, text, lang FROM documents"
     out["csv_one_file_split"] = out["csv_sink"]
+    out["wide_variant_load"] = """SELECT doc_id, text, CASE WHEN doc_id % 2 = 0 THEN lang END AS lang,
+        CASE WHEN doc_id % 2 = 1 THEN source END AS source FROM documents"""
     listed = ", ".join(f"('{w}')" for w in C.NOUN_INDEX)
     irregular = ", ".join(f"('{f}', {p}, '{w}')" for f, p, w in C.NOUN_EXCEPTIONS)
     rules = ", ".join(f"({i}, '{a}', '{b}')" for i, (a, b) in enumerate(NOUN_RULES))
