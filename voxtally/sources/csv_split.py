@@ -58,19 +58,21 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, np.ndar
     """
     current, parity = None, 0
     for batch in batches:
-        files = batch.column("file").to_pylist()
+        if not batch.num_rows:
+            continue
+        files = pc.dictionary_encode(batch.column("file")).indices.to_numpy(zero_copy_only=False)
         blocks = batch.column("block").to_numpy(zero_copy_only=False)
         quotes = pc.count_substring(batch.column("value").fill_null(""), '"').to_numpy(zero_copy_only=False) & 1
-        cuts = [0] + [i for i in range(1, len(files)) if files[i] != files[i - 1] or blocks[i] != blocks[i - 1]] + [len(files)]
+        changes = np.flatnonzero((files[1:] != files[:-1]) | (blocks[1:] != blocks[:-1])) + 1
+        cuts = [0, *changes.tolist(), batch.num_rows]
+        ords = batch.column("ord").to_numpy()
         for a, b in zip(cuts[:-1], cuts[1:]):
-            if a == b:
-                continue
-            key = (files[a], int(blocks[a]))
+            key = (batch.column("file")[a].as_py(), int(blocks[a]))
             if key != current:
                 current, parity = key, 0
             before = (np.concatenate([[0], np.cumsum(quotes[a:b])[:-1]]) + parity) & 1
             parity = int((parity + quotes[a:b].sum()) & 1)
-            yield key[0], key[1], batch.column("ord").to_numpy()[a:b], before, batch.slice(a, b - a), parity
+            yield key[0], key[1], ords[a:b], before, batch.slice(a, b - a), parity
 
 
 def _block_summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,52 +118,58 @@ PIECE = "file string, key_block long, key_ord long, part long, kind string, is_h
 def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Records cut inside each block: ``whole`` ones, the ``head`` of one that goes on, the ``tail`` of one carried in.
 
-    The first record of a file's first block is marked as its header.
+    The first record of a file's first block is marked as its header. A
+    block's lines are gathered (a block is the unit read, bounded by the block
+    size) and cut at once: line starts from the parities, records joined by
+    Arrow.
     """
-    out: list[tuple] = []
-    state: dict = {}
-    for file, block, ords, before, rows, _ in _runs(batches):
-        if state.get("key") != (file, block):
-            _close(state, out)
-            state = {"key": (file, block), "entry": rows.column("entry")[0].as_py(),
-                     "exit": rows.column("exit")[0].as_py(), "header": rows.column("first_block")[0].as_py(),
-                     "carry": (rows.column("carry_block")[0].as_py(), rows.column("carry_ord")[0].as_py()),
-                     "tail": [], "open": None, "lines": [], "is_header": False}
-        values = rows.column("value").fill_null("").to_pylist()
-        for value, o, b in zip(values, ords, before):
-            if b == state["entry"]:                                      # a record starts here
-                if state["open"] is not None:
-                    out.append((file, block, state["open"], block, "whole", state["is_header"], "\n".join(state["lines"])))
-                state["open"], state["lines"] = int(o), [value]
-                state["is_header"], state["header"] = state["header"], False
-            elif state["open"] is None:
-                state["tail"].append(value)
-            else:
-                state["lines"].append(value)
-        if len(out) >= 1000:
-            yield _batch(out)
-    _close(state, out)
-    if out:
-        yield _batch(out)
-
-
-def _close(state: dict, out: list) -> None:
-    if not state:
-        return
-    file, block = state["key"]
-    if state["tail"]:
-        out.append((file, state["carry"][0], state["carry"][1], block, "tail", False, "\n".join(state["tail"])))
-    if state["open"] is not None:
-        kind = "head" if state["exit"] else "whole"
-        out.append((file, block, state["open"], block, kind, state["is_header"], "\n".join(state["lines"])))
-
-
-def _batch(out: list) -> pa.RecordBatch:
-    cols = list(zip(*out))
-    out.clear()
-    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.string()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)],
-                                      ["file", "key_block", "key_ord", "part", "kind", "is_header", "record"])
+    gathered: list = []
+    for run in _runs(batches):
+        if gathered and (run[0], run[1]) != (gathered[0][0], gathered[0][1]):
+            yield _cut_block(gathered)
+            gathered = []
+        gathered.append(run)
+    if gathered:
+        yield _cut_block(gathered)
+
+
+def _cut_block(runs: list) -> pa.RecordBatch:
+    file, block = runs[0][0], runs[0][1]
+    first = runs[0][4]
+    entry, exit_parity = first.column("entry")[0].as_py(), first.column("exit")[0].as_py()
+    carry = (first.column("carry_block")[0].as_py(), first.column("carry_ord")[0].as_py())
+    header = first.column("first_block")[0].as_py()
+    values = pa.concat_arrays([r[4].column("value").fill_null("") for r in runs])
+    ords = np.concatenate([r[2] for r in runs])
+    before = np.concatenate([r[3] for r in runs])
+    starts = np.flatnonzero(before == entry)
+    n = len(ords)
+    head_end = int(starts[0]) if len(starts) else n
+    pieces = {"key_block": [], "key_ord": [], "kind": [], "is_header": []}
+    texts = []
+    if head_end:      # lines before the first start end a record carried in
+        tail = pa.ListArray.from_arrays(pa.array([0, head_end], pa.int32()), values.slice(0, head_end))
+        texts.append(pc.binary_join(tail, "\n"))
+        pieces["key_block"].append(carry[0])
+        pieces["key_ord"].append(carry[1])
+        pieces["kind"].append("tail")
+        pieces["is_header"].append(False)
+    if len(starts):
+        offsets = np.append(starts, n) - starts[0]
+        records = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values.slice(int(starts[0])))
+        texts.append(pc.binary_join(records, "\n"))
+        k = len(starts)
+        pieces["key_block"] += [block] * k
+        pieces["key_ord"] += ords[starts].tolist()
+        pieces["kind"] += ["whole"] * (k - 1) + ["head" if exit_parity else "whole"]
+        pieces["is_header"] += [bool(header)] + [False] * (k - 1)
+    count = len(pieces["kind"])
+    return pa.RecordBatch.from_arrays(
+        [pa.array([file] * count, pa.string()), pa.array(pieces["key_block"], pa.int64()),
+         pa.array(pieces["key_ord"], pa.int64()), pa.array([block] * count, pa.int64()),
+         pa.array(pieces["kind"], pa.string()), pa.array(pieces["is_header"], pa.bool_()),
+         pa.concat_arrays(texts).cast(pa.string()) if texts else pa.array([], pa.string())],
+        ["file", "key_block", "key_ord", "part", "kind", "is_header", "record"])
 
 
 def csv_records(spark: SparkSession, paths: list[str], block_bytes: int | None = None) -> DataFrame:
