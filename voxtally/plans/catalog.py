@@ -10,6 +10,7 @@ from __future__ import annotations
 import string
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -140,7 +141,8 @@ def csv_one_file_split(spark, folder):
 
 @query
 def workbook_by_sheet(spark, folder):
-    """``part`` and ``supplier`` written as workbooks of 100-row sheets, read back one task per sheet, as
+    """``part``, ``supplier`` and ``documents`` (without text) written as workbooks of 100-row sheets, read back one
+    task per sheet, as
     ``(tbl, key, header, value)`` for every cell beside the key column."""
     out = f"{shared_dir(spark)}/books-{uuid.uuid4().hex}"
     written = {
@@ -150,6 +152,9 @@ def workbook_by_sheet(spark, folder):
         "supplier": table(spark, folder, "supplier").select(
             F.col("s_suppkey").cast("string").alias("s_suppkey"), "s_name",
             F.col("s_nationkey").cast("string").alias("s_nationkey")),
+        "documents": table(spark, folder, "documents").select(
+            F.col("doc_id").cast("string").alias("doc_id"), "lang", "source",
+            F.col("n_chars").cast("string").alias("n_chars")),
     }
     found = []
     for name, df in written.items():
@@ -159,7 +164,7 @@ def workbook_by_sheet(spark, folder):
         keys = cells.filter("col_pos = 0").select(*where, F.col("value").alias("key"))
         found.append(cells.filter("col_pos > 0").join(keys, where).select(
             F.lit(name).alias("tbl"), "key", "header", "value"))
-    return found[0].unionByName(found[1])
+    return reduce(DataFrame.unionByName, found)
 
 
 WIDE_FILES = 2000      # files of the wide load, half with each header

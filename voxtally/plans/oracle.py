@@ -364,7 +364,8 @@ def build() -> dict[str, str]:
         SELECT c.word, coalesce(l.lemma, c.word) AS lemma, c.n FROM counts c
         LEFT JOIN (SELECT * FROM irr_lemma UNION ALL SELECT * FROM reg_lemma) l USING (word)"""
     cells = [("part", "p_partkey", c) for c in ("p_name", "p_brand", "p_type", "p_size")] + [
-        ("supplier", "s_suppkey", c) for c in ("s_name", "s_nationkey")]
+        ("supplier", "s_suppkey", c) for c in ("s_name", "s_nationkey")] + [
+        ("documents", "doc_id", c) for c in ("lang", "source", "n_chars")]
     out["workbook_by_sheet"] = "\nUNION ALL ".join(
         f"SELECT '{t}' AS tbl, {k}::VARCHAR AS key, '{c}' AS header, {c}::VARCHAR AS value FROM {t} WHERE {c} IS NOT NULL"
         for t, k, c in cells)
