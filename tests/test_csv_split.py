@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxtally.sources import csv_folder
-from voxtally.sources.csv_split import _lines, blocks_of, csv_records, read_csv_split
+from voxtally.sources.csv_split import _lines, _packed, blocks_of, csv_records, read_csv_split
 
 COLUMNS = ["a", "b", "c"]
 
@@ -91,3 +91,22 @@ def test_folder_scan_by_blocks(spark, tmp_path):
     order = lambda df: [r.response_text for r in df.orderBy("block", "row_pos", "col_pos").collect()]
     first = csv_folder.scan_csv_long(spark, str(tmp_path), block_bytes=2048).filter(F.col("sheet_name") == "s0")
     assert order(first) == order(csv_folder.scan_csv_long(spark, str(tmp_path)).filter(F.col("sheet_name") == "s0"))
+
+
+def test_small_blocks_share_tasks(spark, tmp_path):
+    rng = random.Random(5)
+    path = write(tmp_path, "p.csv", [[field(rng) for _ in range(3)] for _ in range(1500)])
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    with blocks_of(spark, 2048):
+        lines = _lines(spark, [path])
+        assert lines.rdd.getNumPartitions() > 5 * tasks
+        assert _packed(lines, 2048, 1 << 27).rdd.getNumPartitions() == tasks
+    # the jobs of a whole read, with several passes over the file, have few tasks
+    group = f"packed-{tmp_path.name}"
+    spark.sparkContext.setJobGroup(group, "split read")
+    got = split(spark, [path], 2048)
+    tracker = spark.sparkContext.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert stages and max(s.numTasks for s in stages if s) <= tasks
+    assert got == whole(spark, [path])

@@ -1,7 +1,8 @@
 """CSV files with line breaks inside quotes, read in parallel blocks.
 
-A file is split at line ends wherever Spark's scan splits it. Whether a line
-end closes a record depends only on the parity of the quotes before it, so:
+A file is split at line ends wherever Spark's scan splits it; a task takes
+many blocks when they are small. Whether a line end closes a record depends
+only on the parity of the quotes before it, so:
 
 1. each block counts its quotes line by line (one pass, nothing but a few
    numbers a block leaves the task);
@@ -27,6 +28,7 @@ from ..session import stage
 
 CSV_OPTIONS = {"quote": '"', "escape": '"', "mode": "PERMISSIVE"}
 BLOCKS_BROADCAST = 1_000_000      # rows of the block table sent whole to every task; beyond, it is joined
+TASKS_PER_CORE = 4                # at least so many tasks a core where blocks are packed
 
 
 @contextmanager
@@ -50,6 +52,18 @@ def _lines(spark: SparkSession, paths: list[str]) -> DataFrame:
                        F.monotonically_increasing_id().alias("ord"))
 
 
+def _packed(lines: DataFrame, block_bytes: int | None, split_bytes: int) -> DataFrame:
+    """Small blocks dealt whole to a few tasks a core, or one per ``split_bytes`` (a plain scan's tasks) if that is more.
+
+    A task for each block would cost far more than reading it.
+    """
+    if not block_bytes or block_bytes >= split_bytes:
+        return lines
+    blocks = lines.rdd.getNumPartitions()
+    cores = lines.sparkSession.sparkContext.defaultParallelism
+    return lines.coalesce(max(1, min(blocks, max(TASKS_PER_CORE * cores, -(-blocks * block_bytes // split_bytes)))))
+
+
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, np.ndarray, np.ndarray, pa.RecordBatch, int]]:
     """Per batch and block: file, block, ords, the quote parity before each line within its block, the rows, the parity after.
 
@@ -183,8 +197,10 @@ def csv_records(spark: SparkSession, paths: list[str], block_bytes: int | None =
     file makes the rest of the file one record, as in a whole-file read, but without the file's last line break.
     """
     lines = _lines(spark, paths)
+    split_bytes = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
     # both passes over the lines run here, so that they see the same blocks
     with blocks_of(spark, block_bytes):
+        lines = _packed(lines, block_bytes, split_bytes)
         blocks = stage(_blocks(lines))
         small = blocks.limit(BLOCKS_BROADCAST + 1).count() <= BLOCKS_BROADCAST
         if small:
