@@ -56,3 +56,30 @@ def test_writer_round_trip_and_empty_tasks(spark, tmp_path):
                   for i, t, o in df.collect())
     assert got == want
     assert write_workbooks(spark.createDataFrame([], "a string"), str(tmp_path / "e")).collect() == []
+
+
+def test_many_small_sheets_share_tasks(spark, tmp_path):
+    sheets = {f"s{i}": [["id", "text"], *[[f"{i}-{r}", f"t{r}"] for r in range(3)]] for i in range(60)}
+    write_xlsx(tmp_path / "a.xlsx", sheets)
+    write_xlsx(tmp_path / "b.xlsx", sheets)
+    (tmp_path / "n.xlsx").write_bytes(b"not a zip")
+    cells = read_sheets(spark, str(tmp_path))
+    assert cells.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism + 1
+    whole = workbook.read_cells(spark, f"file://{tmp_path}/a.xlsx", f"file://{tmp_path}/b.xlsx")
+    assert rows(cells.filter("error IS NULL")) == rows(whole)
+    assert [r.source_file for r in cells.filter("error IS NOT NULL").collect()] == ["n.xlsx"]
+
+
+def test_damaged_sheet_among_packed_ones(spark, tmp_path):
+    sheets = {f"s{i}": [["k"], [f"v{i}"]] for i in range(60)}
+    write_xlsx(tmp_path / "a.xlsx", sheets)
+    with zipfile.ZipFile(tmp_path / "a.xlsx") as src, zipfile.ZipFile(tmp_path / "d.xlsx", "w") as dst:
+        for item in src.infolist():
+            data = src.read(item)
+            dst.writestr(item, data[: len(data) // 2] if item.filename.endswith("sheet7.xml") else data)
+    (tmp_path / "a.xlsx").unlink()
+    cells = read_sheets(spark, str(tmp_path))
+    assert cells.rdd.getNumPartitions() < 60
+    bad = [r.sheet_name for r in cells.filter("error IS NOT NULL").collect()]
+    good = {r.sheet_name for r in cells.filter("error IS NULL AND row_pos > 0").collect()}
+    assert len(bad) == 1 and good == set(sheets) - set(bad)

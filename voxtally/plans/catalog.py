@@ -14,6 +14,7 @@ from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import phrases as P
@@ -141,8 +142,8 @@ def csv_one_file_split(spark, folder):
 
 @query
 def workbook_by_sheet(spark, folder):
-    """``part``, ``supplier`` and ``documents`` (without text) written as workbooks of 100-row sheets, read back one
-    task per sheet, as
+    """``part``, ``supplier`` and ``documents`` (without text) written as workbooks of 100-row sheets, read back
+    sheet by sheet, many to a task, as
     ``(tbl, key, header, value)`` for every cell beside the key column."""
     out = f"{shared_dir(spark)}/books-{uuid.uuid4().hex}"
     written = {
@@ -160,10 +161,12 @@ def workbook_by_sheet(spark, folder):
     for name, df in written.items():
         workbook_source.write_workbooks(df, f"{out}/{name}", rows_per_sheet=100).collect()
         cells = workbook_source.read_sheets(spark, f"{out}/{name}").filter("error IS NULL AND row_pos > 0")
-        where = ["source_file", "sheet_pos", "row_pos"]
-        keys = cells.filter("col_pos = 0").select(*where, F.col("value").alias("key"))
-        found.append(cells.filter("col_pos > 0").join(keys, where).select(
-            F.lit(name).alias("tbl"), "key", "header", "value"))
+        # a row's cells meet its key cell by one shuffle, so that the sheets are parsed once
+        row = W.partitionBy("source_file", "sheet_pos", "row_pos")
+        key = F.max(F.when(F.col("col_pos") == 0, F.col("value"))).over(row)
+        found.append(cells.select("col_pos", "header", "value", key.alias("key"))
+                     .filter("col_pos > 0 AND key IS NOT NULL")
+                     .select(F.lit(name).alias("tbl"), "key", "header", "value"))
     return reduce(DataFrame.unionByName, found)
 
 
