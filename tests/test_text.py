@@ -167,3 +167,20 @@ def test_marks_belong_to_their_letter(spark, monkeypatch):
     assert run() == want
     monkeypatch.setattr(matching, "INLINE_LIMIT", 1)
     assert run() == want
+
+
+def test_rounding_is_half_up_on_the_digits(spark):
+    values = [0.0078125, 1 / 3, 2.0, 5.0000005, 123.4567895, 0.1 + 0.2, 1e-7]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    assert [P._round(v) for v in values] == [r[0] for r in df.select(F.round("x", 6)).collect()]
+
+
+def test_bags_evaluate_each_text_step_once(spark):
+    """One pass ranks a text; the vocabulary is matched once a row, not once a bag entry."""
+    from voxtally.operators import keyphrases
+    df = spark.createDataFrame([(1, "big data of data"), (2, None)], "response_id int, response_text_original string")
+    bags = keyphrases.add_keywords(df, ["of"], ["data", "big"], excluded=[])
+    rows = {r["response_id"]: [(k["keyword"], k["count"]) for k in r["keywords"]] for r in bags.collect()}
+    assert rows == {1: [("big data", 1), ("data", 2 + 1), ("big", 1)], 2: []}
+    plan = bags._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.count("regexp_extract_all") == 1

@@ -1,71 +1,124 @@
 """Ranked key phrases (RAKE; Rose et al., 2010) inside one row.
 
-Everything is linear in the text but for two sorts of its content words, and
-nothing is shuffled: a group of equal texts or one hot source costs no more
-than the same number of different texts.
+Texts are cut by column expressions; phrases are scored and ranked in Arrow
+batches, with a dictionary of words per text. Everything is linear in the text
+but for the sort of its phrases, and nothing is shuffled: a group of equal
+texts or one hot source costs no more than the same number of different texts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import ROUND_HALF_UP, Decimal
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .arrays import let, runs_of_equal, tally
+from .arrays import let, tally
 from .text import (SPACE, WORD, as_text, clean_tokens, drop_words, replace_words, strip,
                    substring_count)
 
-PHRASES = "array<struct<score:double,phrase:string>>"
+PHRASES = T.ArrayType(T.StructType([T.StructField("score", T.DoubleType()), T.StructField("phrase", T.StringType())]))
+KEYWORDS = T.ArrayType(T.StructType([T.StructField("keyword", T.StringType()), T.StructField("count", T.IntegerType())]))
+_DIGITS = Decimal("0.000001")
 BAG = "array<struct<keyword:string,count:int>>"
 
 
-def candidate_phrases(text: Column, stop: Sequence[str]) -> Column:
-    """Maximal runs of word tokens between stop words, punctuation and line ends."""
+def marked_phrases(text: Column, stop: Sequence[str]) -> Column:
+    """The lower-cased words in order, with "|" for each stop word, punctuation run and line end."""
     marked = F.regexp_replace(F.lower(as_text(text)), rf"[^{WORD}{SPACE}]+|[\r\n]+", " | ")
     tokens = F.split(marked, rf"[{SPACE}]+")
-    kept = F.transform(tokens, lambda t: F.when(t.isin(list(stop)), F.lit("|")).otherwise(t))
-    pieces = F.split(F.array_join(kept, " "), r"\|")
+    return F.array_join(F.transform(tokens, lambda t: F.when(t.isin(list(stop)), F.lit("|")).otherwise(t)), " ")
+
+
+def candidate_phrases(text: Column, stop: Sequence[str]) -> Column:
+    """Maximal runs of word tokens between stop words, punctuation and line ends."""
+    pieces = F.split(marked_phrases(text, stop), r"\|")
     return F.filter(F.transform(pieces, lambda p: F.trim(p)), lambda p: p != "")
 
 
-def phrase_scores(phrases: Column) -> Column:
-    """Score per candidate, in order: sum over its words of degree / frequency.
+def _scores(phrases: list[list[str]]) -> list[float]:
+    """Score per candidate: sum over its words of degree / frequency.
 
     The degree of a word is the summed length of the phrases it occurs in, per
-    occurrence. Scores are rounded to 6 digits so that ranks do not depend on
-    the order of addition.
+    occurrence. Ratios are added from the smallest on.
     """
-    def occurrences(p: Column, at: Column) -> Column:
-        return let(F.split(p, " "), lambda words: F.transform(words, lambda w: F.struct(
-            w.alias("word"), F.size(words).alias("len"), at.alias("at"))))
-
-    def with_ratio(group: Column) -> Column:
-        degree = F.aggregate(group, F.lit(0.0), lambda acc, o: acc + o["len"])
-        return let(degree / F.size(group), lambda r: F.transform(
-            group, lambda o: F.struct(o["at"].alias("at"), r.alias("ratio"))))
-
-    by_word = runs_of_equal(F.sort_array(F.flatten(F.transform(phrases, occurrences))),
-                            lambda a, b: a["word"] != b["word"])
-    ratios = F.sort_array(F.flatten(F.transform(by_word, with_ratio)))
-    by_phrase = runs_of_equal(ratios, lambda a, b: a["at"] != b["at"])
-    return F.transform(by_phrase, lambda g: F.round(
-        F.aggregate(g, F.lit(0.0), lambda acc, o: acc + o["ratio"]), 6))
+    degree: dict[str, float] = {}
+    frequency: dict[str, int] = {}
+    for words in phrases:
+        n = len(words)
+        for w in words:
+            degree[w] = degree.get(w, 0.0) + n
+            frequency[w] = frequency.get(w, 0) + 1
+    ratio = {w: d / frequency[w] for w, d in degree.items()}
+    out = []
+    for words in phrases:
+        score = 0.0      # not sum(), which corrects its rounding errors
+        for r in sorted([ratio[w] for w in words]) if len(words) > 2 else [ratio[w] for w in words]:
+            score += r
+        out.append(score)
+    return out
+
+
+def _round(score: float) -> float:
+    """Half-up on the decimal digits, as Spark rounds."""
+    return score if score == int(score) else float(Decimal(repr(score)).quantize(_DIGITS, ROUND_HALF_UP))
+
+
+def _ranked(marked: str) -> tuple[list[float], list[str]]:
+    """Scores (rounded) and phrases of a marked text: score descending, then phrase descending."""
+    found = [p for p in [piece.strip(" ") for piece in marked.split("|")] if p]
+    best = sorted(zip(map(_round, _scores([p.split(" ") for p in found])), found), reverse=True)
+    return [s for s, _ in best], [p for _, p in best]
+
+
+def _lists(ends: list[int], **fields: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(
+        list(fields.values()), list(fields)))
+
+
+@F.arrow_udf(PHRASES)
+def rank_marked(marked: pa.Array) -> pa.Array:
+    """The ranked candidates of marked texts, repeats kept."""
+    ends, scores, phrases = [0], [], []
+    for text in marked.to_pylist():
+        s, p = _ranked(text or "")
+        scores += s
+        phrases += p
+        ends.append(len(phrases))
+    return _lists(ends, score=pa.array(scores, pa.float64()), phrase=pa.array(phrases, pa.string()))
 
 
 def ranked_phrases(text: Column, stop: Sequence[str], distinct: bool = True) -> Column:
-    """``array<struct<score, phrase>>``: score descending, then phrase descending."""
-    def rank(phrases: Column) -> Column:
-        pairs = F.zip_with(phrase_scores(phrases), phrases,
-                           lambda s, p: F.struct(s.alias("score"), p.alias("phrase")))
-        best_first = F.sort_array(pairs, asc=False)
-        if not distinct:
-            return best_first
-        return let(best_first, lambda arr: F.filter(
-            arr, lambda x, i: (i == 0) | (x["phrase"] != F.get(arr, i - 1)["phrase"])))
+    """``array<struct<score, phrase>>``: score descending, then phrase descending.
 
-    return let(candidate_phrases(text, stop), lambda ph: F.when(F.size(ph) > 0, rank(ph))
-               .otherwise(F.array().cast(PHRASES)))
+    Scores are rounded to 6 digits so that ranks do not depend on the order of addition.
+    """
+    best_first = rank_marked(marked_phrases(text, stop))
+    if not distinct:
+        return best_first
+    return let(best_first, lambda arr: F.filter(
+        arr, lambda x, i: (i == 0) | (x["phrase"] != F.get(arr, i - 1)["phrase"])))
+
+
+def _bag_maker(excluded: frozenset[str], k: int):
+    @F.arrow_udf(KEYWORDS)
+    def bags(clean: pa.Array, marked: pa.Array) -> pa.Array:
+        """Keyword bags of texts, from the text and its marked form."""
+        ends, keywords, counts = [0], [], []
+        for text, candidates in zip(clean.to_pylist(), marked.to_pylist()):
+            # equal phrases have equal scores: neighbours, one of them is kept
+            best = dict.fromkeys(_ranked(candidates)[1])
+            picked = list(islice((p for p in best if p not in excluded and p in text), k))
+            keywords += picked
+            counts += [text.count(p) for p in picked]
+            ends.append(len(keywords))
+        return _lists(ends, keyword=pa.array(keywords, pa.string()), count=pa.array(counts, pa.int32()))
+
+    return bags
 
 
 def top_phrases(text: Column, stop: Sequence[str], excluded: Sequence[str], k: int = 5) -> Column:
@@ -74,23 +127,9 @@ def top_phrases(text: Column, stop: Sequence[str], excluded: Sequence[str], k: i
     The value is the literal, non-overlapping count of the phrase in the text.
     Texts shorter than three characters give an empty bag.
     """
-    empty = F.array().cast(BAG)
-    excluded = list(excluded)
-
-    def pick(clean: Column) -> Column:
-        def step(acc: Column, p: Column) -> Column:
-            usable = F.contains(clean, p["phrase"])
-            if excluded:
-                usable = ~p["phrase"].isin(excluded) & usable
-            return F.when(F.size(acc) >= k, acc).when(
-                usable, F.concat(acc, F.array(p["phrase"]))).otherwise(acc)
-
-        best = F.aggregate(ranked_phrases(clean, stop), F.array().cast("array<string>"), step)
-        return F.transform(best, lambda p: F.struct(
-            p.alias("keyword"), substring_count(clean, p).alias("count")))
-
-    return let(F.lower(strip(as_text(text))),
-               lambda clean: F.when(F.length(clean) >= 3, pick(clean)).otherwise(empty))
+    clean = F.lower(strip(as_text(text)))
+    long_enough = F.when(F.length(clean) >= 3, clean).otherwise("")
+    return _bag_maker(frozenset(excluded), k)(clean, marked_phrases(long_enough, stop))
 
 
 def top_phrases_simple(text: Column, stop: Sequence[str], k: int = 5) -> Column:
@@ -114,7 +153,7 @@ def frequent_tokens(text: Column, stop: Sequence[str], excluded: Sequence[str],
 
 def boost(bag: Column, keywords: Column) -> Column:
     """Add one to each keyword already in the bag and append the others with 1."""
-    def merge(b: Column) -> Column:
+    def merge(b: Column, keywords: Column) -> Column:
         raised = F.transform(b, lambda x: F.struct(
             x["keyword"].alias("keyword"),
             (x["count"] + F.when(F.array_contains(keywords, x["keyword"]), 1).otherwise(0))
@@ -124,7 +163,8 @@ def boost(bag: Column, keywords: Column) -> Column:
             kw.alias("keyword"), F.lit(1).alias("count")))
         return F.concat(raised, fresh)
 
-    return let(bag, merge)
+    # both evaluated once a row, not once an entry
+    return let(F.struct(bag.alias("bag"), keywords.alias("found")), lambda s: merge(s["bag"], s["found"]))
 
 
 def bag_keys(bag: Column) -> Column:

@@ -93,6 +93,7 @@ def per_distinct_text(df: DataFrame, text: str, out: str,
     """
     distinct = df.select(F.col(text).alias("_t")).filter("_t is not null").distinct()
     results = distinct.withColumn(out, expression(F.col("_t")))
-    # a NULL text joins with nothing and gets what the expression gives for it
+    # a NULL text joins with nothing and gets what the expression gives for it; given as a literal,
+    # since a Python function in it is evaluated for every row
     return df.join(results, F.col(text) == F.col("_t"), "left").drop("_t").withColumn(
-        out, F.coalesce(F.col(out), F.when(F.col(text).isNull(), expression(F.col(text)))))
+        out, F.coalesce(F.col(out), F.when(F.col(text).isNull(), expression(F.lit(None).cast("string")))))
