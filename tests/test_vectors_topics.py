@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from voxtally.operators import topics, vectors
 
@@ -148,3 +149,16 @@ def test_topic_matrix(spark):
     assert counts == {"T1": 2, "t2": 1}
     cells = sum(v != "" for r in matrix.drop("row_no").collect() for v in r)
     assert cells == sum(counts.values())
+
+
+def test_postings_count_terms_in_one_pass(spark):
+    texts = ["Big data, big Data now", "one", "a b", "", None, "the big the data"]
+    df = spark.createDataFrame(list(enumerate(texts)), "response_id int, t string")
+    got = {}
+    for r in topics.postings(df, "t", "response_id", ["the"]).collect():
+        got.setdefault(r["response_id"], {})[r["term"]] = r["tf"]
+    assert got == {0: {"big": 2, "data": 2, "now": 1, "big data": 2, "data big": 1, "data now": 1},
+                   1: {"one": 1}, 5: {"big": 1, "data": 1, "big data": 1}}
+    counted = df.select(topics.term_counts(F.array_join(topics.words(F.col("t"), ["the"]), " ")).alias("n"))
+    plan = counted._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "sort_array" not in plan

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.arrays import explode_rows, let, tally
+from ..functions.arrays import explode_rows
 from ..functions.text import WORD, as_text, is_blank
 from ..functions.wordlists import GENERIC_WORDS
 from ..session import stage
@@ -25,13 +28,29 @@ FIRST_TEST = 60        # candidates tested in the first pass over the texts
 TEST_LIMIT = 960       # and at most in any later pass
 
 
-def terms(text: Column, stop: Sequence[str]) -> Column:
-    """One- and two-word terms; stop words go before pairs are formed."""
-    tokens = F.filter(F.regexp_extract_all(F.lower(as_text(text)), F.lit(rf"[{WORD}]{{2,}}"), F.lit(0)),
-                      lambda t: ~t.isin(list(stop)))
-    return let(tokens, lambda ts: F.when(F.size(ts) > 1, F.concat(ts, F.zip_with(
-        F.slice(ts, 1, F.size(ts) - 1), F.slice(ts, 2, F.size(ts) - 1),
-        lambda a, b: F.concat(a, F.lit(" "), b)))).otherwise(ts))
+TERMS = T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("tf", T.IntegerType())]))
+
+
+def words(text: Column, stop: Sequence[str]) -> Column:
+    """The words of terms: two characters or more, lower-cased, without stop words."""
+    return F.filter(F.regexp_extract_all(F.lower(as_text(text)), F.lit(rf"[{WORD}]{{2,}}"), F.lit(0)),
+                    lambda t: ~t.isin(list(stop)))
+
+
+@F.arrow_udf(TERMS)
+def term_counts(spaced: pa.Array) -> pa.Array:
+    """One- and two-word terms of space-separated words, each once with its count."""
+    ends, terms, counts = [0], [], []
+    for text in spaced.to_pylist():
+        if text:
+            one = text.split(" ")
+            found = Counter(one)
+            found.update([f"{a} {b}" for a, b in zip(one, one[1:])])
+            terms += found
+            counts += found.values()
+        ends.append(len(terms))
+    pairs = pa.StructArray.from_arrays([pa.array(terms, pa.string()), pa.array(counts, pa.int32())], ["term", "tf"])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
 
 
 def usable(df: DataFrame, text: str) -> DataFrame:
@@ -45,8 +64,7 @@ def postings(df: DataFrame, text: str, key: str, stop: Sequence[str]) -> DataFra
     Counted inside the row, so repeats are never shuffled. Written once:
     document frequencies and weights are both read from it.
     """
-    counted = F.transform(tally(terms(F.col(text), stop)),
-                          lambda t: F.struct(t["item"].alias("term"), t["n"].cast("int").alias("tf")))
+    counted = term_counts(F.array_join(words(F.col(text), stop), " "))
     return stage(explode_rows(df, [key], counted, "_t").select(key, "_t.term", "_t.tf"))
 
 
