@@ -162,3 +162,17 @@ def test_postings_count_terms_in_one_pass(spark):
     counted = df.select(topics.term_counts(F.array_join(topics.words(F.col("t"), ["the"]), " ")).alias("n"))
     plan = counted._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and "sort_array" not in plan
+
+
+def test_weights_of_a_large_vocabulary_equal_those_of_a_small_one(spark, monkeypatch):
+    """Beyond the limit the vocabulary is hashed in shares; only counts cross the exchange by document."""
+    texts = [" ".join(["alpha"] * (i % 3 + 1) + [f"word{i % 4}", "beta"]) for i in range(24)] + [None, ""]
+    df = spark.createDataFrame([(i // 2, t) for i, t in enumerate(texts)], "response_id int, t string")   # keys repeat
+    whole = lambda: topics.tfidf(df, "t", "response_id", [], min_docs=2, max_share=1.0)
+    rows = lambda d: sorted((r[0], r[1], r[2], round(r[3], 9)) for r in d.collect())
+    small = rows(whole())
+    monkeypatch.setattr(topics, "BROADCAST_TERMS", 1)
+    large = whole()
+    plan = large._jdf.queryExecution().executedPlan().toString()
+    assert small and rows(large) == small
+    assert "ShuffledHashJoin" in plan and plan.count("_w") and "_w" not in plan[plan.index("REPARTITION_BY_COL"):]

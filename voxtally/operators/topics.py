@@ -26,6 +26,7 @@ MIN_TERM_CHARS = 5
 TERMS_PER_TOPIC = 3
 FIRST_TEST = 60        # candidates tested in the first pass over the texts
 TEST_LIMIT = 960       # and at most in any later pass
+BROADCAST_TERMS = 100_000   # terms up to which the optimizer may broadcast the vocabulary; beyond, it is hashed in shares
 
 
 TERMS = T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("tf", T.IntegerType())]))
@@ -70,25 +71,30 @@ def postings(df: DataFrame, text: str, key: str, stop: Sequence[str]) -> DataFra
 
 def document_terms(posted: DataFrame, n: int, min_docs: int = MIN_DOCS,
                    max_share: float = MAX_DOC_SHARE) -> DataFrame:
-    """``(term, df, idf)`` of the terms in enough but not too many of the n documents.
+    """``(term, df, term_id)`` of the terms in enough but not too many of the n documents.
 
     Written once: it is used to prune, to weight and as a join side of known size.
     """
     per_term = posted.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log((1.0 + F.lit(n)) / (1.0 + F.col("df"))) + 1.0
     return stage(per_term.filter((F.col("df") >= min_docs) & (F.col("df") <= max_share * n))
-                 .select("term", "df", idf.alias("idf")))
+                 .select("term", "df", F.monotonically_increasing_id().alias("term_id")))
 
 
-def weights(posted: DataFrame, vocabulary: DataFrame, key: str) -> DataFrame:
-    """``(key, term, tf, weight)``: tf * idf scaled to length 1 per document.
+def weights(posted: DataFrame, vocabulary: DataFrame, key: str, n: int, name: str = "term") -> DataFrame:
+    """``(key, term, tf, weight)``: tf * idf scaled to length 1 per document. With
+    ``name="term_id"`` terms go by their short number.
 
-    The vocabulary is broadcast while small, otherwise the sort-merge join
-    splits frequent terms (AQE). One exchange by document serves the norm.
+    The vocabulary is broadcast while small. Otherwise each task hashes its share
+    of it, so that the postings are not sorted by term; AQE splits frequent
+    terms. One exchange by document serves the norm; it carries the counts, and
+    the weights are made from them behind it.
     """
-    raw = posted.join(vocabulary.select("term", "idf"), "term").withColumn("_w", F.col("tf") * F.col("idf"))
+    few = vocabulary.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    joined = posted.join(vocabulary if few else vocabulary.hint("shuffle_hash"), "term")
+    idf = F.log((1.0 + F.lit(n)) / (1.0 + F.col("df"))) + 1.0
+    raw = joined.select(key, name, "tf", "df").repartition(F.col(key)).withColumn("_w", F.col("tf") * idf)
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(W.partitionBy(key)))
-    return raw.select(key, "term", "tf", (F.col("_w") / norm).alias("weight"))
+    return raw.select(key, name, "tf", (F.col("_w") / norm).alias("weight"))
 
 
 def tfidf(df: DataFrame, text: str, key: str, stop: Sequence[str], min_docs: int = MIN_DOCS,
@@ -96,7 +102,8 @@ def tfidf(df: DataFrame, text: str, key: str, stop: Sequence[str], min_docs: int
     """TF-IDF weights of all documents as a long table."""
     valid = usable(df, text)
     posted = postings(valid, text, key, stop)
-    return weights(posted, document_terms(posted, valid.count(), min_docs, max_share), key)
+    n = valid.count()
+    return weights(posted, document_terms(posted, n, min_docs, max_share), key, n)
 
 
 def inferred_topics(df: DataFrame, text: str, key: str, stop: Sequence[str], num_topics: int = 5,
@@ -119,12 +126,11 @@ def inferred_topics(df: DataFrame, text: str, key: str, stop: Sequence[str], num
     limit = max_text_share * n
     blocked = [w for w in {*stop, *excluded} if len(w) >= MIN_TERM_CHARS]
     scored = stage(
-        weights(posted, vocabulary, key).groupBy("term")
-        .agg(F.round(F.sum("weight"), 6).alias("score"))
+        weights(posted, vocabulary, key, n, "term_id").groupBy("term_id")
+        .agg(F.round(F.sum("weight"), 6).alias("score")).join(vocabulary, "term_id")
         .filter((F.length("term") >= MIN_TERM_CHARS) & ~F.col("term").isin(blocked)
                 & ~F.replace("term", F.lit(" "), F.lit("")).rlike(r"^\p{Nd}+$"))
         # a single word is a substring wherever it is a token: prune before testing
-        .join(vocabulary.select("term", "df"), "term")
         .filter(F.contains("term", F.lit(" ")) | (F.col("df") <= limit)))
     best = scored.orderBy(F.desc("score"), "term").select("term")
 
