@@ -136,3 +136,21 @@ def test_sections_may_not_overlap_and_null_lists(spark):
     none = counted(df, sections=F.lit(None).cast(C.SPAN))
     assert none == {1: [(-1, 2, 0)] * 2}
     assert counted(docs_table(spark, [])) == {}
+
+
+def test_only_new_words_are_encoded():
+    words = W.Encoder(JSON)
+    whole, handed = words.coder, []
+
+    class Counting:
+        def encode_batch_fast(self, texts, **options):
+            handed.extend(texts)
+            return whole.encode_batch_fast(texts, **options)
+
+    words.coder = Counting()
+    texts = [f"Some  words,\n\tsome  more words {i % 7}." for i in range(500)]
+    assert words.ids(texts) == [np.array(e.ids, np.uint32).tobytes() for e in whole.encode_batch_fast(texts)]
+    assert sum(map(len, handed)) < 200
+    del handed[:]
+    words.ids(texts)
+    assert not any(handed)

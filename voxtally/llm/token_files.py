@@ -4,39 +4,105 @@ from __future__ import annotations
 
 import json
 import os
-import re
+import string
 import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import shared_dir, small_table
+from .hashing import text_bytes
 from .range_coder import decode_block, encode_block
 from .text import bound_batches
 
 BLOCK = 1 << 20                    # ids of a block at least, except for a part's last
-BATCH = 1 << 21                    # characters that are encoded at once
+BATCH = 1 << 22                    # bytes of text that are encoded at once, or one longer text
+CACHE = 400_000                    # words whose ids a Python worker remembers
+JOINED = 100                       # words that are handed over as one text
+
+OTHER, SPACE, CONTROL, LETTER, STOP, HIGH = range(6)
+_KINDS = np.full(256, OTHER, np.uint8)
+_KINDS[[0x20, *range(0x09, 0x0E)]] = SPACE
+_KINDS[0x1C:0x20] = CONTROL                                # white space to some
+_KINDS[np.frombuffer(string.ascii_letters.encode(), np.uint8)] = LETTER
+_KINDS[np.frombuffer(b".,;:!?", np.uint8)] = STOP
+_KINDS[0x80:] = HIGH
+
+
+def _after_wide_space(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the character before each place, not an ASCII one, is white space."""
+    a, b, c = data[at - 1], data[at - 2], data[at - 3]
+    return ((b == 0xC2) & ((a == 0x85) | (a == 0xA0))
+            | (c == 0xE2) & (b == 0x80) & ((a <= 0x8B) | (a == 0xA8) | (a == 0xA9) | (a == 0xAF))
+            | (c == 0xE2) & (b == 0x81) & (a == 0x9F) | (c == 0xE3) & (b == 0x80) & (a == 0x80)
+            | (c == 0xE1) & ((b == 0x9A) & (a == 0x80) | (b == 0xA0) & (a == 0x8E)))
+
+
+def word_starts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Places at which the byte-level pattern cuts whatever stands around them.
+
+    These are the starts of texts and of runs of white space, an ASCII stop
+    after an ASCII letter, and what follows a single white space other than a
+    space. A run of white space is never parted from what follows it
+    otherwise, since the pattern looks ahead there.
+    """
+    if not len(data):
+        return np.empty(0, np.int64)
+    starts = bounds[:-1][bounds[1:] > bounds[:-1]]
+    kind = _KINDS[data]
+    before = np.empty_like(kind)
+    before[1:] = kind[:-1]
+    before[starts] = OTHER
+    run = (kind == SPACE) & (before != SPACE) & (before != CONTROL)
+    wide = np.flatnonzero(run & (before == HIGH))
+    run[wide[_after_wide_space(data, wide)]] = False
+    cut = run | (kind == STOP) & (before == LETTER)
+    cut[1:] |= run[:-1] & (data[:-1] != 0x20) & ((kind[1:] == OTHER) | (kind[1:] == LETTER) | (kind[1:] == STOP))
+    cut[starts] = True
+    return np.flatnonzero(cut)
+
+
+class Runs:
+    """Words and the ids of each, one after another."""
+
+    def __init__(self, words: pa.Array, ids: np.ndarray, n: np.ndarray) -> None:
+        self.words, self.ids, self.n = words, ids, n
+
+    def of(self, at: np.ndarray) -> np.ndarray:
+        """The ids of the words at these places."""
+        n = self.n[at]
+        shift = (np.cumsum(self.n) - self.n)[at] - (np.cumsum(n) - n)
+        return self.ids[np.repeat(shift, n) + np.arange(n.sum())]
+
+    def take(self, at: np.ndarray) -> Runs:
+        return Runs(self.words.take(pa.array(at)), self.of(at), self.n[at])
+
+    def plus(self, other: Runs) -> Runs:
+        return Runs(pa.concat_arrays([self.words, other.words]), np.concatenate([self.ids, other.ids]),
+                    np.concatenate([self.n, other.n]))
 
 
-CACHE = 400_000                    # words whose ids a task remembers
-SPACE_RUN = re.compile(r"\s ")
+def _runs(words: pa.Array, coded: list[bytes]) -> Runs:
+    return Runs(words, np.frombuffer(b"".join(coded), np.uint32), np.array([len(c) // 4 for c in coded], np.int64))
 
 
 class Encoder:
     """Ids of whole texts by the tokenizers library.
 
-    A tokenizer that cuts a text before it merges bytes, and always before a
-    single space, gives the same ids word by word as for the whole text. For
-    those each distinct word of a task is encoded once, up to ``CACHE`` at a
-    time; texts with a space after other white space, and all texts of other
-    tokenizers, are encoded whole.
+    A tokenizer that cuts a text by the byte-level pattern before it merges
+    bytes gives the same ids word by word (``word_starts``) as for the whole
+    text. For those each distinct word of a batch is looked up among the last
+    words of the Python worker, ``CACHE`` beside those of the batch, and only
+    new ones are encoded; texts of other tokenizers are encoded whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -50,39 +116,108 @@ class Encoder:
         self.by_word = (plan["normalizer"] is None and plan["post_processor"] is None
                         and cut.get("type") == "ByteLevel" and cut["use_regex"] and not cut["add_prefix_space"]
                         and all(t["special"] for t in plan["added_tokens"]))
-        self.known: dict[str, bytes] = {}
+        vocabulary = self.coder.get_vocab()
+        self.bytes_of = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)   # one character a byte
+        self.bytes_of[list(vocabulary.values())] = [len(t) for t in vocabulary]
+        self.known = _runs(pa.array([], pa.large_string()), [])
+        self.met = np.empty(0, np.int64)                    # the batch that last had each known word
+        self.batch = 0
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.coder.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _joined(self, words: pa.Array) -> Runs | None:
+        """Ids of words each of which the pattern parts from any other before it."""
+        data, bounds = text_bytes(words)
+        edges = bounds[[*range(0, len(words), JOINED), len(words)]].tolist()
+        raw = data.tobytes()
+        coded = self.coder.encode_batch_fast([raw[a:b].decode() for a, b in zip(edges, edges[1:])],
+                                             add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, np.uint32) for e in coded])
+        ends = np.concatenate([[0], np.cumsum(self.bytes_of[ids])])
+        at = np.searchsorted(ends, bounds)
+        if at[-1] != len(ids) or (ends[at] != bounds).any():
+            return None                                     # bytes that the vocabulary cannot spell
+        return Runs(words, ids, np.diff(at))
+
+    def _encoded(self, words: pa.Array) -> Runs:
+        """Ids of new words."""
+        data, bounds = text_bytes(words)
+        first, last = bounds[:-1], bounds[1:] - 1
+        second = data[np.minimum(first + 1, last)]
+        joint = (data[first] == 0x20) & (last > first) & ~np.isin(_KINDS[second], (SPACE, CONTROL)) \
+            & ~np.isin(second, (0xC2, 0xE1, 0xE2, 0xE3)) & ~np.isin(_KINDS[data[last]], (SPACE, CONTROL))
+        high = np.flatnonzero(joint & (data[last] >= 0x80))
+        joint[high[_after_wide_space(data, last[high] + 1)]] = False
+        found = self._joined(words.filter(pa.array(joint))) if joint.any() else None
+        if found is None:
+            return _runs(words, self._raw(words.to_pylist()))
+        rest = words.filter(pa.array(~joint))
+        order = np.argsort(np.argsort(~joint, kind="stable"), kind="stable")
+        return found.plus(_runs(rest, self._raw(rest.to_pylist()))).take(order)
+
+    def _look_up(self, words: pa.Array) -> np.ndarray:
+        """Places of distinct words among the known ones, after new ones were added."""
+        found = pc.index_in(words, value_set=self.known.words)
+        is_new = found.is_null().to_numpy(zero_copy_only=False)
+        new = words.filter(pa.array(is_new))
+        at = found.fill_null(0).to_numpy().astype(np.int64)
+        self.met[at[~is_new]] = self.batch
+        if len(self.known.n) + len(new) > CACHE + len(words):
+            # the words of this batch stay, then those met last
+            kept = np.sort(np.argsort(-self.met, kind="stable")[:max(CACHE // 2, len(words) - len(new))])
+            self.known, self.met = self.known.take(kept), self.met[kept]
+            at = np.searchsorted(kept, at)
+        if len(new):
+            at[is_new] = len(self.known.n) + np.arange(len(new))
+            self.known = self.known.plus(self._encoded(new))
+            self.met = np.append(self.met, np.full(len(new), self.batch))
+        self.batch += 1
+        return at
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after another, and how many each has; NULL is empty."""
+        if not self.by_word:
+            coded = _runs(texts, self._raw(texts.fill_null("").to_pylist()))
+            return coded.ids, coded.n
+        data, bounds = text_bytes(texts)
+        starts = word_starts(data, bounds)
+        if not len(starts):
+            return np.empty(0, np.uint32), np.zeros(len(texts), np.int64)
+        words = pa.LargeStringArray.from_buffers(
+            len(starts), pa.py_buffer(np.append(starts, len(data))), pa.py_buffer(data)).dictionary_encode()
+        at = self._look_up(words.dictionary)[words.indices.to_numpy()]
+        upto = np.concatenate([[0], np.cumsum(self.known.n[at])])
+        return self.known.of(at), np.diff(upto[np.searchsorted(starts, bounds)])
+
     def ids(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as unsigned 32-bit integers."""
-        if not self.by_word:
-            return self._raw(texts)
-        cut = [None if SPACE_RUN.search(t) else t.replace(" ", "\0 ").split("\0") if "\0" not in t else None for t in texts]
-        whole = [i for i, words in enumerate(cut) if words is None]
-        found = dict(zip(whole, self._raw([texts[i] for i in whole])))
-        words = {w for part in cut if part is not None for w in part}
-        if len(self.known) + len(words) > CACHE:
-            self.known = {}
-        new = [w for w in words if w not in self.known]
-        self.known.update(zip(new, self._raw(new)))
-        known = self.known.__getitem__
-        return [found[i] if part is None else b"".join(map(known, part)) for i, part in enumerate(cut)]
-
-
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
-    """Ids and texts in portions of about ``BATCH`` characters."""
-    ids, texts, size = [], [], 0
+        ids, n = self.encode(pa.array(texts, pa.large_string()))
+        raw, ends = ids.tobytes(), np.cumsum(4 * n).tolist()
+        return [raw[a:b] for a, b in zip([0, *ends], ends)]
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """The encoder of this Python worker; the tasks it runs share the words they met."""
+    return Encoder(path)
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Ids and texts in portions of about ``BATCH`` bytes, whole texts."""
+    held, size = [], 0
     for batch in batches:
-        for doc, text in zip(batch.column(0), batch.column(1)):
-            ids.append(doc), texts.append(text.as_py() or "")
-            size += len(texts[-1])
+        bytes_ = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        first, done = 0, 0
+        while first < len(batch):
+            stop = min(len(batch), int(np.searchsorted(bytes_, done + BATCH - size)) + 1)
+            held.append(batch.slice(first, stop - first))
+            first, size, done = stop, size + int(bytes_[stop - 1]) - done, int(bytes_[stop - 1])
             if size >= BATCH:
-                yield ids, texts
-                ids, texts, size = [], [], 0
-    if ids:
-        yield ids, texts
+                yield tuple(pa.concat_arrays([b.column(i) for b in held]) for i in (0, 1))
+                held, size = [], 0
+    if held:
+        yield tuple(pa.concat_arrays([b.column(i) for b in held]) for i in (0, 1))
 
 
 def token_lengths(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -95,11 +230,9 @@ def token_lengths(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str
     schema = T.StructType([source.schema["doc_id"], T.StructField("n_tokens", T.LongType())])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Encoder(path)
+        coder = encoder(path)
         for ids, texts in _texts(batches):
-            sizes = [len(coded) // 4 for coded in coder.ids(texts)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([i.as_py() for i in ids], ids[0].type), pa.array(sizes, pa.int64())], schema.names)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(coder.encode(texts)[1])], schema.names)
 
     return source.mapInArrow(measure, schema)
 
@@ -129,7 +262,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int = 0,
         T.StructField("sizes", T.ArrayType(T.LongType())), T.StructField("payload", T.BinaryType())])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, part = Encoder(path), TaskContext.get().partitionId()
+        coder, part = encoder(path), TaskContext.get().partitionId()
         block, before, held = 0, 0, 0
         docs_: list[pa.Scalar] = []
         runs: list[np.ndarray] = []
@@ -143,9 +276,10 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int = 0,
             return pa.RecordBatch.from_arrays(row, schema.names)
 
         for ids, texts in _texts(batches):
-            for doc, coded in zip(ids, coder.ids(texts)):
+            coded, sizes = coder.encode(texts)
+            for doc, run in zip(ids, np.split(coded, np.cumsum(sizes)[:-1])):
                 docs_.append(doc)
-                runs.append(np.append(np.frombuffer(coded, np.uint32), np.uint32(end_id)))
+                runs.append(np.append(run, np.uint32(end_id)))
                 held += len(runs[-1])
                 if held >= BLOCK:
                     yield close()
