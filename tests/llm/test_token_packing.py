@@ -1,6 +1,7 @@
 """Packing by tokens, in the query, the stage and on texts without spaces."""
 
 import corpus_pipeline
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from tokenizers import Tokenizer
 
 from voxtally.llm import packing as P
 from voxtally.llm.queries import QUERIES
+from voxtally.llm.text import map_arrow, release_memory
 
 from ..test_catalog import SF
 from .samples import awkward_docs, docs_table
@@ -43,3 +45,22 @@ def test_query_and_stage_measure_tokens(spark):
     want = dict(zip((r.doc_id for r in rows), lengths(r.text for r in rows)))
     for out in (QUERIES["op7_packing"](spark, str(SF)), corpus_pipeline.packing(spark, docs, str(SF))):
         assert {r.doc_id: r.n for r in out.groupBy("doc_id").agg(F.sum("n").alias("n")).collect()} == want
+
+
+def resident():
+    with open("/proc/self/statm") as f:
+        return int(f.read().split()[1]) * 4096
+
+
+def test_freed_memory_is_handed_back():
+    """What a task held in pieces, the last of them kept, goes back to the system."""
+    pieces = [np.ones(8000) for _ in range(3200)]
+    kept, most = pieces[-1], resident()
+    del pieces
+    release_memory()
+    assert kept.sum() == 8000 and resident() < most - 100e6
+
+
+def test_tasks_release_at_their_end(spark):
+    out = map_arrow(spark.range(10), lambda batches: batches, "id long")
+    assert sorted(r.id for r in out.collect()) == list(range(10))

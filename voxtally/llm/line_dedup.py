@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..session import stage
 from .hashing import _SPACES, U64, mix, pack_text, powers, text_bytes, unpack_text, word_hashes
-from .text import SPACE, SPACED_WORD, bound_batches
+from .text import SPACE, SPACED_WORD, bound_batches, map_arrow
 
 NEWLINE = 0x0A
 # Kinds of keys: exact line, first and last half for both kinds of edit, variants.
@@ -179,7 +179,7 @@ def _line_names(docs: DataFrame, least: int | None) -> DataFrame:
                      *(pa.array(np.ascontiguousarray(keys[:, i]).view(np.int64), mask=lines.units == 0)
                        for i in range(4))], schema.names)
 
-    return docs.select("doc_id", "text").mapInArrow(work, schema)
+    return map_arrow(docs.select("doc_id", "text"), work, schema)
 
 
 def _chosen_lines(column: pa.Array, numbers: pa.Array) -> tuple[list[int], list[int], list[int], list[str]]:
@@ -213,7 +213,7 @@ def _variants(picked: DataFrame, least: int | None) -> DataFrame:
                      pa.array([lines[i] if r == 2 else None for i, r in zip(line.tolist(), role.tolist())], pa.string())],
                     schema.names)
 
-    return picked.select("doc_id", "packed", "numbers").mapInArrow(work, schema)
+    return map_arrow(picked.select("doc_id", "packed", "numbers"), work, schema)
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -223,7 +223,7 @@ def _packed(docs: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pack_text(batch.column(1))], schema.names)
 
-    return docs.select("doc_id", "text").mapInArrow(work, schema)
+    return map_arrow(docs.select("doc_id", "text"), work, schema)
 
 
 def repeated_lines(docs: DataFrame, least: int | None = None) -> DataFrame:
@@ -332,8 +332,8 @@ def line_dedup(docs: DataFrame, least: int | None = None, doc_id: str = "doc_id"
                     [*columns, pa.array(total, pa.int32()), pa.array([len(g) for g in gone], pa.int32())],
                     [*keep, *added])
 
-    packed = docs.select(*keep).mapInArrow(shrink, packed_schema)
+    packed = map_arrow(docs.select(*keep), shrink, packed_schema)
     joined = packed.join(stays, F.col(f"c{at}").eqNullSafe(F.col("_id")), "left").drop("_id")
     result = T.StructType([*schema.fields, T.StructField("n_lines", T.IntegerType()),
                            T.StructField("n_dropped", T.IntegerType())])
-    return joined.mapInArrow(rebuild, result)
+    return map_arrow(joined, rebuild, result)

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from ..session import stage
 from .graph import components
 from .hashing import U64, mix, pack_text, shingle_sets, unpack_text
-from .text import bound_batches
+from .text import bound_batches, map_arrow
 
 LEVEL = U64(56)                    # a slot's value: permutation rank above, random part below
 EMPTY = U64(0xFFFFFFFFFFFFFFFF)
@@ -106,7 +106,7 @@ def sketches(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
                     _lists([k if len(s) else k[:0] for k, s in zip(keys, sets)])],
                     ["doc_id", "n", "set_id", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(work, schema)
+    return map_arrow(docs.select("doc_id", "text"), work, schema)
 
 
 def token_sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -122,7 +122,7 @@ def token_sets(docs: DataFrame, shingle: int) -> DataFrame:
                     [batch.column(0), pa.array([len(s) for s in sets], pa.int32()), _lists(sets)],
                     ["node", "n", "tokens"])
 
-    return docs.select("node", "packed").mapInArrow(work, schema)
+    return map_arrow(docs.select("node", "packed"), work, schema)
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -132,7 +132,7 @@ def _packed(docs: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pack_text(batch.column(1))], ["doc_id", "packed"])
 
-    return docs.select("doc_id", "text").mapInArrow(work, schema)
+    return map_arrow(docs.select("doc_id", "text"), work, schema)
 
 
 def rarity(sets: DataFrame, bits: int = 20) -> np.ndarray:
@@ -147,7 +147,7 @@ def rarity(sets: DataFrame, bits: int = 20) -> np.ndarray:
             part = at[i:i + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], ["cell", "n"])
 
-    cells = (sets.select("tokens").mapInArrow(work, "cell int, n long")
+    cells = (map_arrow(sets.select("tokens"), work, "cell int, n long")
              .groupBy("cell").agg(F.sum("n").alias("n")).toArrow())
     counts = np.zeros(1 << bits, dtype=np.int64)
     counts[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
@@ -188,7 +188,7 @@ def prefix_entries(sets: DataFrame, counts: np.ndarray, percent: int) -> DataFra
                 pa.array(np.repeat([p[3] for p in picked], [len(p[1]) for p in picked]).astype(np.float32))],
                 ["node", "token", "n", "at", "common"])
 
-    return sets.select("node", "n", "tokens").mapInArrow(work, schema)
+    return map_arrow(sets.select("node", "n", "tokens"), work, schema)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

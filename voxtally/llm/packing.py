@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import small_table, stage
-from .text import SPACED_WORD, whole
+from .text import SPACED_WORD, map_arrow, whole
 from .token_files import token_lengths
 
 
@@ -111,7 +111,7 @@ def _number(placed: DataFrame, batch_tokens: int) -> DataFrame:
                 seen[b] = seen.get(b, 0) + len(rows)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at)], [*batch.schema.names, "at"])
 
-    numbered = stage(ranged.mapInArrow(count_up, schema))
+    numbered = stage(map_arrow(ranged, count_up, schema))
     # one row per part and bucket: bounded by the partitions, not by the data
     sizes = numbered.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("size")).collect()
     before: dict[tuple[int, int], int] = {}

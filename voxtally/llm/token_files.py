@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from ..session import shared_dir, small_table
 from .hashing import text_bytes
 from .range_coder import decode_block, encode_block
-from .text import bound_batches
+from .text import bound_batches, map_arrow
 
 BLOCK = 1 << 20                    # ids of a block at least, except for a part's last
 BATCH = 1 << 22                    # bytes of text that are encoded at once, or one longer text
@@ -234,7 +234,7 @@ def token_lengths(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str
         for ids, texts in _texts(batches):
             yield pa.RecordBatch.from_arrays([ids, pa.array(coder.encode(texts)[1])], schema.names)
 
-    return source.mapInArrow(measure, schema)
+    return map_arrow(source, measure, schema)
 
 
 def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int = 0,
@@ -287,7 +287,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int = 0,
         if docs_:
             yield close()
 
-    ranged.mapInArrow(encode, schema).write.parquet(folder)
+    map_arrow(ranged, encode, schema).write.parquet(folder)
 
 
 def read_tokens(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFrame:
@@ -330,7 +330,7 @@ def read_tokens(spark: SparkSession, folder: str, with_ids: bool = False) -> Dat
         starts.append((r["part"], total))
         total += r["n"]
     first = small_table(spark, starts, part=pa.int32(), first=pa.int64())
-    found = blocks.mapInArrow(decode, schema).join(first, "part")
+    found = map_arrow(blocks, decode, schema).join(first, "part")
     return found.select("doc_id", (F.col("first") + F.col("at")).alias("start"), "n_tokens", "ids_crc32",
                         *["ids"] * with_ids)
 
