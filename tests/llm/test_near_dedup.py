@@ -3,6 +3,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from voxtally.llm import near_dedup as N
 from voxtally.llm.graph import components as spark_components
@@ -101,3 +102,34 @@ def test_components_of_chains_and_stars(spark):
     want = components({x for e in links for x in e}, links)
     assert got == {x: want[x] for x in nodes}
     assert spark_components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def prefix_brute(sets, percent):
+    held = {}
+    for s in sets:
+        for t in s:
+            held[t] = held.get(t, 0) + 1
+    out = []
+    for node, s in enumerate(sets):
+        size = len(s) - -(-percent * len(s) // 100) + 1
+        for at, t in enumerate(sorted(s, key=lambda t: (held[t], t))[:size]):
+            if held[t] > 1:
+                out.append((node, t, len(s), at, round(sum(held[u] for u in s) / len(s), 3)))
+    return sorted(out)
+
+
+def test_prefix_holds_the_rarest_tokens_that_others_share(spark):
+    rng = random.Random(8)
+    sets = [sorted(rng.sample(range(-60, 60), rng.randint(1, 40))) + [1000 + i] for i in range(40)]
+    rows = [(i, i, len(s), s) for i, s in enumerate(sets)]
+    df = spark.createDataFrame(rows, "row long, node long, n int, tokens array<long>")
+    for percent in (50, 80):
+        got = N.prefix_entries(df, percent).collect()
+        assert sorted((r.node, r.token, r.n, r.at, round(r.common, 3)) for r in got) == prefix_brute(sets, percent)
+
+
+def test_prefix_of_sets_that_share_little_stays_empty_in_a_large_corpus(spark):
+    # pairs of sets share 100 of 1000 tokens, which the prefix of 201 rarest does not reach; 3.8 million distinct tokens in all
+    token = F.expr("transform(sequence(0, 999), i -> xxhash64(if(i < 100, id div 2, id + 1000000000), i))")
+    sets = spark.range(4000).select(F.col("id").alias("row"), F.col("id").alias("node"), F.lit(1000).alias("n"), token.alias("tokens"))
+    assert N.prefix_entries(sets, 80).count() == 0

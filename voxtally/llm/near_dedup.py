@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -135,60 +135,26 @@ def _packed(docs: DataFrame) -> DataFrame:
     return map_arrow(docs.select("doc_id", "text"), work, schema)
 
 
-def rarity(sets: DataFrame, bits: int = 20) -> np.ndarray:
-    """Counts of tokens by their top ``bits`` bits: a fixed-size picture of what is frequent."""
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << bits, dtype=np.int64)
-        for batch in batches:
-            cells = batch.column(0).flatten().to_numpy(zero_copy_only=False).view(U64) >> U64(64 - bits)
-            total += np.bincount(cells.astype(np.int64), minlength=1 << bits)
-        at = np.flatnonzero(total)
-        for i in range(0, len(at), 100_000):
-            part = at[i:i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], ["cell", "n"])
-
-    cells = (map_arrow(sets.select("tokens"), work, "cell int, n long")
-             .groupBy("cell").agg(F.sum("n").alias("n")).toArrow())
-    counts = np.zeros(1 << bits, dtype=np.int64)
-    counts[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
-    return counts
-
-
-def prefix_entries(sets: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
+def prefix_entries(sets: DataFrame, percent: int) -> DataFrame:
     """``token, node, n, at, common``: each set's necessary prefix, rarest tokens first.
 
     Two sets of the wanted similarity share a token in these prefixes. ``at``
     is the token's rank in its set, ``common`` the mean count of the set's
-    tokens. Tokens whose cell counts 1 stand in no other set and are left out.
+    tokens. Tokens are counted exactly. Those of one set alone come first and
+    are left out: the rest of the prefix is taken from the shared ones, so a
+    set's entries depend on what it shares and not on the size of the corpus.
     """
-    shared = sets.sparkSession.sparkContext.broadcast(counts.astype(np.int32))
-    bits = int(np.log2(len(counts)))
-    schema = (sets.select("node").schema.add("token", "long").add("n", "integer").add("at", "integer").add("common", "float"))
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
-        for batch in batches:
-            lists, picked = batch.column(2), []
-            bounds = lists.offsets.to_numpy()
-            flat = lists.values.to_numpy(zero_copy_only=False).view(U64)
-            for i in range(len(batch)):
-                tokens = flat[bounds[i]:bounds[i + 1]]
-                seen = table[(tokens >> U64(64 - bits)).astype(np.int64)]
-                order = np.lexsort((tokens, seen))
-                size = len(tokens) - -(-percent * len(tokens) // 100) + 1
-                order = order[:size]
-                at = np.flatnonzero(seen[order] > 1)
-                picked.append((i, tokens[order[at]], at, float(seen.mean()), len(tokens)))
-            rows = np.repeat([p[0] for p in picked], [len(p[1]) for p in picked]).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0).take(pa.array(rows)),
-                pa.array(np.concatenate([p[1] for p in picked]).view(np.int64)),
-                pa.array(np.repeat([p[4] for p in picked], [len(p[1]) for p in picked]).astype(np.int32)),
-                pa.array(np.concatenate([p[2] for p in picked]).astype(np.int32)),
-                pa.array(np.repeat([p[3] for p in picked], [len(p[1]) for p in picked]).astype(np.float32))],
-                ["node", "token", "n", "at", "common"])
-
-    return map_arrow(sets.select("node", "n", "tokens"), work, schema)
+    tokens = sets.select("row", "node", "n", F.explode("tokens").alias("token"))
+    held = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
+    own = Window.partitionBy("row", "node", "n")
+    alone = F.col("n") - F.col("shared")
+    size = F.col("n") - F.ceil(F.col("n").cast("long") * percent / 100) + 1
+    return (tokens.join(held, "token")
+            .withColumns({"place": F.row_number().over(own.orderBy("held", "token")),
+                          "shared": F.count(F.lit(1)).over(own), "sum": F.sum("held").over(own)})
+            .withColumn("at", (alone + F.col("place") - 1).cast("int"))
+            .filter(F.col("at") < size)
+            .select("node", "token", "n", "at", ((alone + F.col("sum")) / F.col("n")).cast("float").alias("common")))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -211,7 +177,7 @@ def links_between(sets: DataFrame, percent: int) -> DataFrame:
     are verified one by one; so a large group costs as many pairs as it has
     members, and no link between groups is missed.
     """
-    entries = stage(prefix_entries(sets, rarity(sets), percent))
+    entries = stage(prefix_entries(sets, percent))
     leader = F.struct(F.col("common"), F.col("n"), F.col("node"))
     leaders = (entries.groupBy("token").agg(F.max(leader).alias("lead"), F.count(F.lit(1)).alias("held"))
                .filter("held > 1"))
@@ -264,7 +230,7 @@ def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int
               .filter("lo <> hi").select("key"))
     candidates = stage(entries.join(shared, "key", "left_semi").select("node").distinct())
     texts = (_packed(source).withColumnRenamed("doc_id", "node").join(candidates, "node", "left_semi"))
-    sets = stage(token_sets(texts, shingle))
+    sets = stage(token_sets(texts, shingle).withColumn("row", F.monotonically_increasing_id()))
     groups = components(links_between(sets, percent).union(copies))
     found = drawn.join(groups, drawn["doc_id"] == groups["node"], "left")
     component = F.coalesce("component", "doc_id")
