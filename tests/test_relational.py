@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxtally.functions import phrases as P
+from voxtally.functions.text import run_ngrams
 from voxtally.operators import cleaning, ids, keyphrases, quality, reshape, sentiment, summary
 from voxtally.operators import matching, reports, topics
 
@@ -202,6 +203,26 @@ def test_matches_joined_equals_inline(spark, monkeypatch):
     assert rows(listed, "keyword") == rows(joined, "keyword")
 
 
+@pytest.mark.parametrize("limit", [10_000, 12, 6, 0])
+def test_ngrams_are_made_where_keywords_can_stand(spark, monkeypatch, limit):
+    """Beginnings of 1 to 7 runs, of fewer or none are listed: same matches, and listed ones make no other n-gram."""
+    words = ["a b c d e f g", "a b x", "b", "c++", "a b c d e f", "g h", "a b x"]
+    texts = ["a b c d e f g h", "a a a b a a b a x", "a b x c++", "c++ a b c d e g", "", None, "z z z"]
+    df = spark.createDataFrame(list(enumerate(texts)), "response_id int, t string")
+    want = rows(matching.matches(df, words, "t", "response_id"), "response_id", "keyword")
+    assert len(want) == 8
+    monkeypatch.setattr(matching, "INLINE_LIMIT", limit)
+    found = matching.matches_joined(df, words, "t", "response_id").select("response_id", "keyword")
+    assert rows(found, "response_id", "keyword") == want
+    listed = matching.listed_prefixes(spark.createDataFrame(
+        [("a b c d", 7), ("a b x", 5), ("b", 1), ("c++", 2)], "span string, size int"))
+    assert sorted(listed) == {10_000: [1, 2, 3, 4, 5, 6, 7], 12: [1, 2, 3, 4, 5, 6, 7], 6: [1, 2, 3], 0: []}[limit]
+    if limit >= 12:
+        made = df.select("response_id", F.explode(run_ngrams(F.col("t"), [1, 2, 5, 7], listed)["span"]).alias("s"))
+        assert rows(made.distinct(), "response_id", "s") == [
+            (0, "a b c d"), (0, "b"), (1, "b"), (2, "a b x"), (2, "b"), (2, "c++"), (3, "a b c d"), (3, "b")]
+
+
 SCHEMA = ("survey_id int, question_id int, question_text string, response_id int, response_text string, "
           "Timestamp string, email string")
 

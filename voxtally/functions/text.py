@@ -163,28 +163,41 @@ def matching_keywords(text: Column, keywords: Sequence[str]) -> Column:
     return let(text_runs(text), lambda runs: F.when(F.size(runs) > 0, search(runs)).otherwise(empty))
 
 
-def run_ngrams(text: Column, sizes: Sequence[int], heads: Sequence[str] | None = None) -> Column:
+def run_ngrams(text: Column, sizes: Sequence[int], prefixes: dict[int, dict[str, bool]] | None = None) -> Column:
     """Distinct ``struct<span, lead, trail>`` of run n-grams of the given sizes.
 
     ``lead`` / ``trail`` tell whether a word character stands before / after,
-    which a keyword with a non-word edge requires. With ``heads`` only n-grams
-    that begin with one of those runs are made.
+    which a keyword with a non-word edge requires. ``prefixes`` names, for the
+    sizes it holds, the beginnings of that many runs that wanted n-grams have,
+    and whether one is a whole n-gram: a place is followed only while its runs
+    begin a wanted n-gram, and of these sizes only whole ones are made.
     """
+    listed = prefixes or {}
     empty = F.array().cast("array<struct<span:string,lead:boolean,trail:boolean>>")
 
     def spans(runs: Column) -> Column:
-        every = F.sequence(F.lit(1), F.size(runs))
-        starts = every if heads is None else F.filter(
-            every, lambda i: F.get(runs, i - 1).isin(list(heads)))
-
-        def of_size(begin: Column, size: int) -> Column:
-            fitting = F.filter(begin, lambda i: i + (size - 1) <= F.size(runs))
-            return F.transform(fitting, lambda i: F.struct(
-                (F.array_join(F.slice(runs, i, size), "") if size > 1 else F.get(runs, i - 1))
-                .alias("span"),
-                (i > 1).alias("lead"), (i + (size - 1) < F.size(runs)).alias("trail")))
-
-        return let(starts, lambda begin: distinct_sorted(
-            F.flatten(F.array(*[of_size(begin, size) for size in sizes]))))
+        def span(i: Column, size: int) -> Column:
+            return F.array_join(F.slice(runs, i, size), "") if size > 1 else F.get(runs, i - 1)
+
+        def wanted(begin: Column, size: int, names: list[str]) -> Column:
+            return F.filter(begin, lambda i: span(i, size).isin(names)) if names else F.slice(begin, 1, 0)
+
+        def made(begin: Column, size: int) -> Column:
+            if size in listed:
+                begin = wanted(begin, size, [p for p, whole in listed[size].items() if whole])
+            return F.transform(begin, lambda i: F.struct(
+                span(i, size).alias("span"), (i > 1).alias("lead"),
+                (i + (size - 1) < F.size(runs)).alias("trail")))
+
+        def grow(begin: Column, left: list[int], found: list[Column]) -> Column:
+            if not left:
+                return distinct_sorted(F.flatten(F.array(*found)))
+            size, *rest = left
+            begin = F.filter(begin, lambda i: i + (size - 1) <= F.size(runs))
+            if size in listed:
+                begin = wanted(begin, size, list(listed[size]))
+            return let(begin, lambda b: grow(b, rest, [*found, made(b, size)] if size in sizes else found))
+
+        return grow(F.sequence(F.lit(1), F.size(runs)), sorted({*sizes, *listed}), [])
 
     return let(text_runs(text), lambda runs: F.when(F.size(runs) > 0, spans(runs)).otherwise(empty))

@@ -66,6 +66,29 @@ def _pattern(span: str) -> Column:
         F.when(F.col(span).rlike(f"{word}$"), f"($|{other})").otherwise(word))
 
 
+def listed_prefixes(table: DataFrame) -> dict[int, dict[str, bool]]:
+    """By number of runs, the beginnings of the spans and whether one is a whole span.
+
+    From one run up to ANCHOR_RUNS, as many as fit into INLINE_LIMIT beginnings
+    in all; longer ones are left to the join.
+    """
+    runs = F.regexp_extract_all(F.col("span"), F.lit(RUN), F.lit(0))
+    starts = (table.select("size", runs.alias("runs"), F.explode(F.sequence(F.lit(1), F.col("size"))).alias("level"))
+              .groupBy("level", F.array_join(F.slice("runs", 1, F.col("level")), "").alias("prefix"))
+              .agg(F.bool_or(F.col("size") == F.col("level")).alias("whole")))
+    # at most ANCHOR_RUNS rows
+    room, deepest = INLINE_LIMIT, 0
+    for r in starts.groupBy("level").count().orderBy("level").collect():
+        room -= r["count"]
+        if room < 0:
+            break
+        deepest = r["level"]
+    listed: dict[int, dict[str, bool]] = {}
+    for r in starts.filter(F.col("level") <= deepest).collect():
+        listed.setdefault(r["level"], {})[r["prefix"]] = r["whole"]
+    return listed
+
+
 def matches_joined(df: DataFrame, keywords: Keywords, text: str, key: str) -> DataFrame:
     """``(key, pos, keyword, spelling)`` per match, by a join with the keyword table.
 
@@ -83,11 +106,8 @@ def matches_joined(df: DataFrame, keywords: Keywords, text: str, key: str) -> Da
         "need_trail": ~F.reverse("keyword").rlike(word)}))
     # sizes present: at most ANCHOR_RUNS rows
     found = table.groupBy("size").agg(F.bool_or("long").alias("long")).orderBy("size").collect()
-    heads = bounded_rows(table.select(F.get(F.regexp_extract_all(
-        F.col("span"), F.lit(RUN), F.lit(0)), F.lit(0)).alias("head")).distinct())
     grams = explode_rows(df, [key], run_ngrams(
-        F.col(text), [r["size"] for r in found],
-        None if heads is None else [r["head"] for r in heads]), "g")
+        F.col(text), [r["size"] for r in found], listed_prefixes(table)), "g")
     hits = (grams.select(key, "g.*").join(table, "span")
             .filter((~F.col("need_lead") | F.col("lead"))
                     & (~F.col("need_trail") | F.col("trail") | F.col("long")))
