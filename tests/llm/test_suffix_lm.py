@@ -4,9 +4,13 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
+from voxtally.llm import suffix_lm as module
 from voxtally.llm.suffix_lm import suffix_lm
 
 from ..test_catalog import SF
@@ -103,3 +107,54 @@ def test_query_against_brute_force(spark):
     got = [tuple(r) for r in QUERIES["op12_suffix_lm"](spark, str(SF)).select(
         "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score").collect()]
     assert same(got, brute(rows))
+
+
+def disk_written(spark):
+    """Bytes under the block manager's folders."""
+    dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return sum(f.stat().st_size for d in dirs for f in Path(d.getPath()).rglob("*") if f.is_file())
+
+
+def test_shuffles_less_than_four_times_the_text(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, " ".join(f"word{w}" for w in rng.zipf(1.3, 400) % 50_000)) for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    before = disk_written(spark)
+    suffix_lm(df).write.format("noop").mode("overwrite").save()
+    assert disk_written(spark) - before < 4 * sum(len(t) for _, t in rows)
+
+
+@pytest.mark.parametrize("depth", [2, 3])
+def test_heavy_words_and_merged_events(monkeypatch, depth):
+    """The steps of one job, in this process: contexts of heavy words dealt over parts, equal events added up early."""
+    for name, value in (("HEAVY", 20), ("PENDING", 40), ("CHUNK", 300), ("SPOOL", 6400)):
+        monkeypatch.setattr(module, name, value)
+    rows = [r for r in ROWS if r[0] is not None and r[0] != 103] + [(103, "x " * 500)]
+    rows = list({r[0]: r for r in rows}.values())
+    texts = pa.RecordBatch.from_arrays([
+        pa.array(range(len(rows))), pa.array([zlib.crc32(str(d).encode()) % 5 == 1 for d, _ in rows]),
+        pa.array([t for _, t in rows])], names=["_row", "held_out", "_text"])
+    buckets, salt = 2, 3
+    words = pa.Table.from_batches(module.count_words(iter([texts]), buckets, salt)).sort_by("name")
+    counted = pa.Table.from_batches(module.add_words(iter(words.to_batches(max_chunksize=7)))).to_pylist()
+    totals = [r for r in counted if r["bucket"] is None]
+    n, v, heavy = totals[0]["n"], totals[0]["v"], totals[0]["heavy"]
+    assert len(totals) == 1 and len(heavy) > 2 and not totals[0]["clash"]
+    blocks = [{k: r[k] for k in module.BLOCK.names} for r in counted if r["bucket"] is not None] + [
+        r for b in module.cut_events(iter([texts]), depth, buckets, salt, 3, heavy, 4) for r in b.to_pylist()]
+    placed = pa.Table.from_pylist(sorted(blocks, key=lambda r: r["bucket"]), module.BLOCK)
+    sums = defaultdict(lambda: [0, 0, 0.0, 0.0])
+    for found in module.score_buckets(iter(placed.to_batches(max_chunksize=5)), light=3, n=n, v=v, depth=depth,
+                                      min_count=3, threshold=8.0):
+        for row, *values in zip(*found.to_pydict().values()):
+            sums[row] = [a + b for a, b in zip(sums[row], values)]
+    got = [(d, zlib.crc32(str(d).encode()) % 5 == 1, *sums[i][:2], n, *sums[i][2:]) for i, (d, _) in enumerate(rows)]
+    assert same(got, brute(rows, depth))
+
+
+def test_names_that_clash_are_found():
+    batch = pa.RecordBatch.from_pylist([
+        {"name": 5, "word": w, "n": 1, "buckets": b"\0\0"} for w in ("a", "a", "b")])
+    for rows, clash in ((batch.slice(0, 2), False), (batch, True)):
+        out = pa.Table.from_batches(module.add_words(iter([rows.slice(0, 1), rows.slice(1)]))).to_pylist()
+        assert out[-1]["clash"] is clash
