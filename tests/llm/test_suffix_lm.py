@@ -1,10 +1,12 @@
 """Suffix-tree scoring against a brute force in plain Python."""
 
+import glob
 import math
+import os
 import re
+import threading
 import zlib
 from collections import Counter, defaultdict
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -109,19 +111,32 @@ def test_query_against_brute_force(spark):
     assert same(got, brute(rows))
 
 
-def disk_written(spark):
-    """Bytes under the block manager's folders."""
-    dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
-    return sum(f.stat().st_size for d in dirs for f in Path(d.getPath()).rglob("*") if f.is_file())
-
-
 def test_shuffles_less_than_four_times_the_text(spark):
+    """The most that Spark's own folders hold at a time, looked at every 20 ms."""
     rng = np.random.default_rng(1)
-    rows = [(i, " ".join(f"word{w}" for w in rng.zipf(1.3, 400) % 50_000)) for i in range(1500)]
+    rows = [(i, " ".join(f"{w:x}" for w in rng.integers(0, 3000, 800))) for i in range(800)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    before = disk_written(spark)
-    suffix_lm(df).write.format("noop").mode("overwrite").save()
-    assert disk_written(spark) - before < 4 * sum(len(t) for _, t in rows)
+    dirs = [d.getPath() for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    sizes, done = [], threading.Event()
+
+    def held():
+        return sum(os.path.getsize(f) for d in dirs for f in glob.glob(f"{d}/*/shuffle_*") if os.path.exists(f))
+
+    def watch():
+        while not done.wait(0.02):
+            try:
+                sizes.append(held())
+            except FileNotFoundError:       # deleted while looked at
+                pass
+
+    before, watcher = held(), threading.Thread(target=watch)
+    watcher.start()
+    try:
+        suffix_lm(df).write.format("noop").mode("overwrite").save()
+    finally:
+        done.set()
+        watcher.join()
+    assert (max(sizes) - before) / sum(len(t) for _, t in rows) < 4
 
 
 @pytest.mark.parametrize("depth", [2, 3])
