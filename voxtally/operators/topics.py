@@ -15,6 +15,7 @@ from ..functions.arrays import explode_rows
 from ..functions.text import WORD, as_text, is_blank
 from ..functions.wordlists import GENERIC_WORDS
 from ..session import stage
+from . import term_blocks
 from .ids import dense_index
 from .matching import Keywords, matches, with_matches
 from .reshape import quoted
@@ -27,6 +28,7 @@ TERMS_PER_TOPIC = 3
 FIRST_TEST = 60        # candidates tested in the first pass over the texts
 TEST_LIMIT = 960       # and at most in any later pass
 BROADCAST_TERMS = 100_000   # terms up to which the optimizer may broadcast the vocabulary; beyond, it is hashed in shares
+SCORED_TERMS = 50_000       # terms scored at first, about
 
 
 TERMS = T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("tf", T.IntegerType())]))
@@ -62,48 +64,103 @@ def usable(df: DataFrame, text: str) -> DataFrame:
 def postings(df: DataFrame, text: str, key: str, stop: Sequence[str]) -> DataFrame:
     """``(key, term, tf)``, each term of a document once.
 
-    Counted inside the row, so repeats are never shuffled. Written once:
-    document frequencies and weights are both read from it.
+    Counted inside the row, so repeats are never shuffled. Written once.
     """
     counted = term_counts(F.array_join(words(F.col(text), stop), " "))
     return stage(explode_rows(df, [key], counted, "_t").select(key, "_t.term", "_t.tf"))
 
 
-def document_terms(posted: DataFrame, n: int, min_docs: int = MIN_DOCS,
+def document_terms(blocks: DataFrame, buckets: int, n: int, min_docs: int = MIN_DOCS,
                    max_share: float = MAX_DOC_SHARE) -> DataFrame:
-    """``(term, df, term_id)`` of the terms in enough but not too many of the n documents.
+    """Document frequencies of the terms in enough but not too many of the n
+    documents, as an answer to each block (``term_blocks``).
 
-    Written once: it is used to prune, to weight and as a join side of known size.
+    Written once: it is used to prune and to weight.
     """
-    per_term = posted.groupBy("term").agg(F.count("*").alias("df"))
-    return stage(per_term.filter((F.col("df") >= min_docs) & (F.col("df") <= max_share * n))
-                 .select("term", "df", F.monotonically_increasing_id().alias("term_id")))
+    return stage(term_blocks.document_frequencies(blocks, buckets, min_docs, max_share * n))
 
 
-def weights(posted: DataFrame, vocabulary: DataFrame, key: str, n: int, name: str = "term") -> DataFrame:
-    """``(key, term, tf, weight)``: tf * idf scaled to length 1 per document. With
-    ``name="term_id"`` terms go by their short number.
+def answered(blocks: DataFrame, vocabulary: DataFrame, terms: int) -> DataFrame:
+    """``blocks`` with ``found``, the answers of all buckets in order.
 
-    The vocabulary is broadcast while small. Otherwise each task hashes its share
-    of it, so that the postings are not sorted by term; AQE splits frequent
-    terms. One exchange by document serves the norm; it carries the counts, and
-    the weights are made from them behind it.
+    They are broadcast while the vocabulary is small. Otherwise each task hashes
+    its share of them; blocks, not postings, cross the exchange.
     """
-    few = vocabulary.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    joined = posted.join(vocabulary if few else vocabulary.hint("shuffle_hash"), "term")
-    idf = F.log((1.0 + F.lit(n)) / (1.0 + F.col("df"))) + 1.0
-    raw = joined.select(key, name, "tf", "df").repartition(F.col(key)).withColumn("_w", F.col("tf") * idf)
-    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(W.partitionBy(key)))
-    return raw.select(key, name, "tf", (F.col("_w") / norm).alias("weight"))
+    found = vocabulary.filter("block >= 0").groupBy("block").agg(
+        F.array_sort(F.collect_list(F.struct("bucket", "dfs"))).alias("found"))
+    if terms <= BROADCAST_TERMS:
+        return blocks.join(found, "block")
+    return blocks.repartition(F.col("block")).join(found.hint("shuffle_hash"), "block")
+
+
+def key_norms(asked: DataFrame, buckets: int, n: int) -> DataFrame:
+    """``asked`` with ``norms``: per document the squared norm over all documents of its key.
+
+    Only needed when a key has several documents.
+    """
+    own = stage(term_blocks.weigh(asked, buckets, n, T.StructType([
+        T.StructField("block", T.LongType()), T.StructField("at", T.LongType()),
+        T.StructField("key", asked.schema["keys"].dataType.elementType), T.StructField("own", T.DoubleType())])))
+    total = own.groupBy("key").agg(F.sum("own").alias("norm")).withColumnRenamed("key", "k")
+    listed = own.join(total, F.col("key").eqNullSafe(F.col("k"))).groupBy("block").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("at", "norm"))), lambda x: x["norm"]).alias("norms"))
+    return asked.join(listed, "block")
+
+
+class Weighted:
+    """Texts in blocks with the frequencies of their terms, ready to be weighted.
+
+    ``n`` documents have a text. Made of two passes over the words: one counts,
+    one (``weights``, ``scores``) weights.
+    """
+
+    def __init__(self, df: DataFrame, text: str, key: str, stop: Sequence[str], min_docs: int, max_share: float):
+        self.blocks = stage(term_blocks.word_blocks(
+            usable(df, text), key, F.array_join(words(F.col(text), stop), " ")))
+        self.key, self.key_type = key, df.schema[key].dataType
+        self.n = self.blocks.agg(F.sum(F.size("keys"))).first()[0] or 0
+        if not self.enough(min_docs, max_share):
+            return
+        self.buckets = term_blocks.bucket_count(self.blocks)
+        vocabulary = document_terms(self.blocks, self.buckets, self.n, min_docs, max_share)
+        self.histogram = term_blocks.frequency_histogram(vocabulary)
+        self.asked = answered(self.blocks, vocabulary, int(self.histogram.sum()))
+        repeated = self.blocks.select(F.explode("keys").alias("key")).groupBy("key").count().filter("count > 1")
+        if not repeated.isEmpty():
+            self.asked = key_norms(self.asked, self.buckets, self.n)
+
+    def enough(self, min_docs: int, max_share: float) -> bool:
+        """Whether any term can be in enough and not too many documents."""
+        return self.n > 0 and max_share * self.n >= min_docs
+
+    def weights(self) -> DataFrame:
+        """``(key, term, tf, weight)``: tf * idf scaled to length 1 per key."""
+        raw = term_blocks.weigh(self.asked, self.buckets, self.n, T.StructType([
+            T.StructField("key", self.key_type), T.StructField("term", T.StringType()),
+            T.StructField("tf", T.IntegerType()), T.StructField("_w", T.DoubleType()),
+            T.StructField("_norm", T.DoubleType())]))
+        return raw.select(F.col("key").alias(self.key), "term", "tf", (F.col("_w") / F.sqrt("_norm")).alias("weight"))
+
+    def scores(self, least: int) -> DataFrame:
+        """``(term, df, score)``: the summed weight of each term in ``least`` documents or more.
+
+        Weights are summed inside each block, only sums are moved.
+        """
+        sums = term_blocks.weigh(self.asked, self.buckets, self.n, T.StructType([
+            T.StructField("term", T.StringType()), T.StructField("df", T.LongType()),
+            T.StructField("score", T.DoubleType())]), least)
+        return sums.groupBy("term").agg(F.max("df").alias("df"), F.round(F.sum("score"), 6).alias("score"))
 
 
 def tfidf(df: DataFrame, text: str, key: str, stop: Sequence[str], min_docs: int = MIN_DOCS,
           max_share: float = MAX_DOC_SHARE) -> DataFrame:
     """TF-IDF weights of all documents as a long table."""
-    valid = usable(df, text)
-    posted = postings(valid, text, key, stop)
-    n = valid.count()
-    return weights(posted, document_terms(posted, n, min_docs, max_share), key, n)
+    weighted = Weighted(df, text, key, stop, min_docs, max_share)
+    if not weighted.enough(min_docs, max_share):
+        schema = T.StructType([df.schema[key], T.StructField("term", T.StringType()),
+                               T.StructField("tf", T.IntegerType()), T.StructField("weight", T.DoubleType())])
+        return df.sparkSession.createDataFrame([], schema)
+    return weighted.weights()
 
 
 def inferred_topics(df: DataFrame, text: str, key: str, stop: Sequence[str], num_topics: int = 5,
@@ -115,29 +172,46 @@ def inferred_topics(df: DataFrame, text: str, key: str, stop: Sequence[str], num
     A term must not occur as a substring in more than 30 % of the texts. Only
     the best candidates are tested, a bounded number in each pass over the
     texts, until enough pass, so the result is the same as testing all.
+
+    Only terms in ``least`` documents or more are scored at first. No weight is
+    above 1, so every other term scores less than ``least``; when a candidate
+    that is wanted may be among them, ``least`` is lowered and all is scored anew.
     """
     wanted = num_topics * TERMS_PER_TOPIC
-    valid = usable(df, text)
-    n = valid.count()
-    if n < 2 or max_share * n < min_docs:
+    weighted = Weighted(df, text, key, stop, min_docs, max_share)
+    n = weighted.n
+    if n < 2 or not weighted.enough(min_docs, max_share):
         return []
-    posted = postings(valid, text, key, stop)
-    vocabulary = document_terms(posted, n, min_docs, max_share)
     limit = max_text_share * n
     blocked = [w for w in {*stop, *excluded} if len(w) >= MIN_TERM_CHARS]
-    scored = stage(
-        weights(posted, vocabulary, key, n, "term_id").groupBy("term_id")
-        .agg(F.round(F.sum("weight"), 6).alias("score")).join(vocabulary, "term_id")
-        .filter((F.length("term") >= MIN_TERM_CHARS) & ~F.col("term").isin(blocked)
-                & ~F.replace("term", F.lit(" "), F.lit("")).rlike(r"^\p{Nd}+$"))
-        # a single word is a substring wherever it is a token: prune before testing
-        .filter(F.contains("term", F.lit(" ")) | (F.col("df") <= limit)))
-    best = scored.orderBy(F.desc("score"), "term").select("term")
+
+    def best_of(least: int) -> DataFrame:
+        scored = stage(
+            weighted.scores(least)
+            .filter((F.length("term") >= MIN_TERM_CHARS) & ~F.col("term").isin(blocked)
+                    & ~F.replace("term", F.lit(" "), F.lit("")).rlike(r"^\p{Nd}+$"))
+            # a single word is a substring wherever it is a token: prune before testing
+            .filter(F.contains("term", F.lit(" ")) | (F.col("df") <= limit)))
+        return scored.orderBy(F.desc("score"), "term").select("term", "score")
+
+    valid = usable(df, text)
+    terms = SCORED_TERMS
+    least = term_blocks.frequency_of_the_first(weighted.histogram, terms)
+    best = best_of(least)
 
     chosen: list[str] = []
     tested, batch = 0, max(FIRST_TEST, 4 * wanted)
     while len(chosen) < wanted:
-        found = [r["term"] for r in best.offset(tested).limit(batch).collect()]
+        rows = best.offset(tested).limit(batch).collect()
+        if least > min_docs and (len(rows) < batch or rows[-1]["score"] < least):
+            if len(rows) == batch:
+                least = int(rows[-1]["score"])
+            else:
+                terms *= 32
+                least = min(least - 1, term_blocks.frequency_of_the_first(weighted.histogram, terms))
+            best, chosen, tested, batch = best_of(least), [], 0, max(FIRST_TEST, 4 * wanted)
+            continue
+        found = [r["term"] for r in rows]
         if found:
             chosen += _not_too_common(valid, text, found, limit)
         if len(found) < batch:
